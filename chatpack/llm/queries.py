@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe
+from chatpack.llm import bpe, quality_rules, simhash
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,8 +22,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, score and verdict of every document; the documents of quality 1 are the target."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.score_documents(table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op7_simhash": op7_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 #: None of these results can be written in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
