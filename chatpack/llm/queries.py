@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe, quality_rules, simhash
+from chatpack.llm import bpe, quality_rules, simhash, urls, vectors
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,11 +22,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+#: Fixed values of the url query: verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, score and verdict of every document; the documents of quality 1 are the target."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
@@ -35,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_urls": op4_urls,
     "op7_simhash": op7_simhash,
+    "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
 }
 #: None of these results can be written in SQL; tests/llm compares them with brute force.
