@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe, quality_rules, simhash, urls, vectors
+from chatpack.llm import bpe, quality_rules, secrets, simhash, urls, vectors
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 #: Fixed values of the url query: verdict, host and path of each rule.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -55,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
     "op7_simhash": op7_simhash,
     "op9_vectors": op9_vectors,
