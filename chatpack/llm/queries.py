@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe, quality_rules, secrets, simhash, urls, vectors
+from chatpack.llm import bpe, licenses, quality_rules, secrets, simhash, urls, vectors
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, word and place counts, labels and score of every document."""
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
+    "op5_licenses": op5_licenses,
     "op7_simhash": op7_simhash,
     "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
