@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe, licenses, quality_rules, secrets, simhash, urls, vectors
+from chatpack.llm import bpe, licenses, quality_model, quality_rules, secrets, simhash, toxicity, urls, vectors
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,11 +47,21 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -68,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
     "op5_licenses": op5_licenses,
+    "op6_quality_model": op6_quality_model,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
 }
