@@ -488,3 +488,29 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+def tokens(df: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, lossless) of every document: its ids, and whether they decode to its text."""
+    v = _Vocabulary(df.sparkSession, vocabulary)
+    digest, shared = v.digest, v.shared
+
+    def make():
+        coder = _encoder(digest, shared)
+        d = Decoder(coder.table)
+
+        def step(batch):
+            n, flat, same = [], [], []
+            for t in texts(batch, "text"):
+                ids = unpacked(coder.encode(t))
+                n.append(len(ids))
+                flat.append(ids.astype(np.int32))
+                same.append(d.decode(ids.tolist()) == t)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+            return [batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(same, pa.bool_())]
+
+        return step
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return map_rows(df.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", ["doc_id", "n_tokens", "ids", "lossless"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatpack.llm import bpe, licenses, quality_model, quality_rules, secrets, simhash, toxicity, urls, vectors
+from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, secrets, simhash, toxicity, urls, vectors
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, block, place, slot, release, deadline of every document."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     return secrets.digests(table(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
     "op5_licenses": op5_licenses,
