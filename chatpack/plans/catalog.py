@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from chatpack.plans import chat_queries, math_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = chat_queries.QUERIES | math_queries.QUERIES
+ORACLE_SQL: dict[str, str] = chat_queries.ORACLE_SQL | math_queries.ORACLE_SQL
