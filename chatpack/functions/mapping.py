@@ -31,7 +31,7 @@ def merged_rules(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def inverse_rules(rules: DataFrame) -> DataFrame:
     """Rules that lead back: targets become patterns, groups become templates."""
-    pattern = F.regexp_replace(F.regexp_replace("target", r"\.", r"\\\\."), r"\$\d+", "([0-9]+)")
+    pattern = F.regexp_replace(F.regexp_replace("target", r"\.", r"\\."), r"\$\d+", "([0-9]+)")
     # Each group of the pattern becomes the next number.
     parts = F.split(F.regexp_replace("pattern", r"\\\.", "."), r"\(.*?\)")
     target = F.aggregate(F.slice(parts, 2, F.size(parts) - 1), F.struct(F.get(parts, F.lit(0)).alias("s"), F.lit(0).alias("n")),
