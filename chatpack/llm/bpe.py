@@ -89,8 +89,11 @@ class MergeTable:
         self._right = {}
         self._left = {}
         self.pairs: dict[int, bool] = {}
-        # Only tokens that merges can build take part.
-        self.usable = {b: i for b, i in vocab.items() if len(b) == 1 or i in self.parts}
+        # Only tokens that their own bytes are merged to take part.
+        self.usable = {bytes([b]): vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
+        for a, b in merges:
+            if a in self.usable and b in self.usable and self._only_crossing(vocab[a], vocab[b]):
+                self.usable[a + b] = vocab[a + b]
         self._automaton()
 
     def _automaton(self) -> None:
@@ -172,22 +175,30 @@ class MergeTable:
             self._left[t] = out
         return out
 
-    def stable_pair(self, a: int, b: int) -> bool:
-        """Whether no merge joins bytes of ``a`` and ``b`` while both are built side by side.
+    def _crossings(self, a: int, b: int):
+        """Pairs of edge tokens of ``a`` and ``b`` that a merge joins while both are built side by side.
 
         A rule that would take both edges fires before the rule that ends the right
         edge; against the rule that ends the left edge it may be equal, as equal
         rules go from left to right.
         """
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
         rank, right = self.rank, self.left_spine(b)
-        ok = not any(
-            (r := rank.get((s, t))) is not None and r < s_end and r <= t_end
+        return (
+            (s, t)
             for s, s_end in self.right_spine(a)
             for t, t_end in right
+            if (r := rank.get((s, t))) is not None and r < s_end and r <= t_end
         )
-        self.pairs[a << 24 | b] = ok
+
+    def _only_crossing(self, a: int, b: int) -> bool:
+        """Whether the rule (a, b) is the only one that joins them, so that their bytes become its token."""
+        return all(pair == (a, b) for pair in self._crossings(a, b))
+
+    def stable_pair(self, a: int, b: int) -> bool:
+        """Whether no merge joins bytes of ``a`` and ``b``."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        ok = self.pairs[a << 24 | b] = next(self._crossings(a, b), None) is None
         return ok
 
 
