@@ -37,13 +37,18 @@ MAX_ROWS = 30_000
 HELD_OUT = (4, 2)
 CUT = 0.3
 #: Bytes of a window and between windows, of the n-grams, and of the ordinary dictionary.
-WINDOW, STEP, GRAM, DICTIONARY = 32, 24, 6, 24_000
+WINDOW, STEP, GRAM, DICTIONARY = 64, 32, 6, 24_000
 #: N-grams and words that the driver takes, ordinary texts for the trainer, bytes of toxic words.
 MAX_GRAMS, MAX_WORDS, TRAINER_TEXTS, TOXIC_BYTES = 20_000, 3_000, 400, 16_000
 #: Log ratio of document shares from which an n-gram stands out, and the least share of toxic documents.
-LOG_RATIO, LEAST_SHARE = 3.0, 1 / 80
-#: Byte differences whose windows are counted.
-THRESHOLDS = (4, 5, 6, 8)
+LOG_RATIO, LEAST_SHARE = 4.0, 1 / 50
+#: Share of toxic documents that hold a word of the toxic dictionary, at least.
+LEAST_WORD_SHARE = 1 / 160
+#: Byte differences whose windows are counted; the last counts windows nearer to ordinary text.
+THRESHOLDS = (3, 4, 5, 6, 8)
+NEARER = -3
+#: Numbers of a document: three best windows, counts by threshold, nearer ones, windows, constant.
+NUMBERS = 3 + len(THRESHOLDS) + 3
 
 
 def normal(text: bytes) -> bytes:
@@ -98,10 +103,10 @@ class Windows:
         plain, toxic = self.plain, self.toxic
         d = np.array([len(plain(w)) - len(toxic(w)) for w in (t[k : k + WINDOW] for k in range(0, max(1, len(t) - WINDOW + STEP), STEP))])
         top = np.sort(np.concatenate([d, [0, 0, 0]]))[::-1][:3]
-        return [*top, *(np.log1p((d >= x).sum()) for x in THRESHOLDS), np.log(len(d)), 1.0]
+        return [*top, *(np.log1p((d >= x).sum()) for x in THRESHOLDS), np.log1p((d <= NEARER).sum()), np.log(len(d)), 1.0]
 
     def rows(self, texts) -> np.ndarray:
-        return np.array([self.row(t) for t in texts], np.float64).reshape(-1, len(THRESHOLDS) + 5)
+        return np.array([self.row(t) for t in texts], np.float64).reshape(-1, NUMBERS)
 
 
 def _tallied(rows: DataFrame, make) -> DataFrame:
@@ -133,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     rows = stored(sample(docs, labels, "toxic", *HELD_OUT, most))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, plain = n.get(1, 0), n.get(0, 0)
-    flat = np.zeros(len(THRESHOLDS) + 5)
+    flat = np.zeros(NUMBERS)
     if not toxic or not plain:
         flat[-1] = 30.0 if toxic else -30.0
         return Model(b"ordinary", b"toxic", flat)
@@ -148,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
         grams = shared.value
         return lambda text: standing_words(text, grams)
 
-    found = _tallied(rows.where("label = 1"), finder).where("toxic >= 3").orderBy(F.desc("toxic"), "item").limit(MAX_WORDS).collect()
+    found = _tallied(rows.where("label = 1"), finder).where(F.col("toxic") >= max(3, toxic * LEAST_WORD_SHARE)).orderBy(F.desc("toxic"), "item").limit(MAX_WORDS).collect()
     words = b"".join(bytes(r["item"]) for r in reversed(found))[-TOXIC_BYTES:]
     texts = [normal(r["text"].encode()) for r in rows.where("label = 0 and length(text) > 0").orderBy(F.xxhash64("text")).select("text").limit(TRAINER_TEXTS).collect()]
     ordinary = _trained(texts)
