@@ -75,6 +75,31 @@ def rope_positions(runs: DataFrame, row: str, ordinal: str, merge: int) -> DataF
         axis(F.pmod(F.floor(F.col("k") / F.col("gw")), F.col("gh"))).cast("long").alias("ph"), axis(F.pmod("k", F.col("gw"))).cast("long").alias("pw"))
 
 
+def split_frames(grids: DataFrame, row: str, ordinal: str) -> DataFrame:
+    """Grids of videos as one grid for each frame: (row, ordinal, t = 1, h, w) with new ordinals."""
+    frames = grids.select(row, F.col(ordinal).alias("__o"), F.explode(F.sequence(F.lit(1), "t")).alias("__f"), "h", "w")
+    nth = F.row_number().over(Window.partitionBy(row).orderBy("__o", "__f")) - 1
+    return frames.select(row, nth.alias(ordinal), F.lit(1).alias("t"), "h", "w")
+
+
+def token_runs(tokens: DataFrame, grids: DataFrame, row: str, pos: str, token: str, image_token: int) -> DataFrame:
+    """(row, ordinal, n, t, h, w) runs of a token stream: each stretch of image tokens takes the next grid (row, ordinal).
+
+    Stretches are told apart by the text between them; one without a grid is an error.
+    """
+    w = Window.partitionBy(row).orderBy(pos)
+    image = F.col(token) == image_token
+    changed = (F.lag("__image").over(w).isNull() | (F.lag("__image").over(w) != F.col("__image"))).cast("int")
+    numbered = tokens.withColumn("__image", image).withColumn("__c", changed).withColumn("__run", F.sum("__c").over(w))
+    runs = numbered.groupBy(row, "__run", "__image").agg(F.count("*").cast("int").alias("n"))
+    nth = F.when(F.col("__image"), F.sum(F.col("__image").cast("int")).over(Window.partitionBy(row).orderBy("__run")) - 1)
+    own = grids.withColumnRenamed("ordinal", "__nth")
+    joined = runs.withColumn("__nth", nth).join(own, [row, "__nth"], "left")
+    missing = F.col("__image") & F.col("t").isNull()
+    t = F.when(missing, F.raise_error(F.lit("image tokens without a grid")).cast("int")).otherwise(F.col("t"))
+    return joined.select(row, F.col("__run").alias("ordinal"), F.when(~F.col("__image"), F.col("n")).alias("n"), t.alias("t"), "h", "w")
+
+
 def rope_delta(positions: DataFrame, row: str) -> DataFrame:
     """(row, delta): the largest position plus 1, less the number of tokens."""
     return positions.groupBy(row).agg((F.max(F.greatest("pt", "ph", "pw")) + 1 - F.count("*")).cast("long").alias("delta"))

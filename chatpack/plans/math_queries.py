@@ -118,6 +118,21 @@ def mrope_delta(spark, sf_dir):
     return vision.rope_delta(vision.rope_positions(_runs(spark), "ex", "ordinal", 2), "ex")
 
 
+@query(_ROPE + "SELECT * FROM p")
+def mrope_from_tokens(spark, sf_dir):
+    """The same positions from a token stream, in which each image is a stretch of one token."""
+    size = F.coalesce(F.col("t") * F.floor(F.col("h") / 2) * F.floor(F.col("w") / 2), F.col("n"))
+    each = _runs(spark).select("ex", "ordinal", F.col("t").isNotNull().alias("image"), F.explode(F.sequence(F.lit(1).cast("long"), size.cast("long"))).alias("k"))
+    stream = each.select("ex", (F.col("ordinal") * 1000 + F.col("k")).alias("pos"), F.when(F.col("image"), 7).otherwise(1).alias("token"))
+    images = _runs(spark).where("t is not null").select("ex", F.when((F.col("ex") == 2) & (F.col("ordinal") == 3), 1).otherwise(0).alias("ordinal"), "t", "h", "w")
+    return vision.rope_positions(vision.token_runs(stream, images, "ex", "pos", "token", 7), "ex", "ordinal", 2)
+
+
+@query(f"SELECT ex, row_number() OVER (PARTITION BY ex ORDER BY ordinal, f) - 1 AS frame, h, w FROM {_GRIDS}, range(1, 10) r(f) WHERE f <= t")
+def video_frames(spark, sf_dir):
+    return vision.split_frames(grids(spark), "ex", "ordinal").select("ex", F.col("ordinal").cast("long").alias("frame"), "h", "w")
+
+
 @query(f"SELECT i, floor(i * 15 / 6.0)::BIGINT AS low, least(floor(i * 15 / 6.0) + 1, 15)::BIGINT AS high, {_near('i * 15 / 6.0::DOUBLE - floor(i * 15 / 6.0)')} AS weight FROM range(7) r(i)")
 def bilinear_neighbours(spark, sf_dir):
     b = vision.bilinear(F.lit(7), F.col("id"), 16)

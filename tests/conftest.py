@@ -1,6 +1,14 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+# The package is found from any working folder, by the tests and by Python workers.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

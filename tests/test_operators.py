@@ -155,3 +155,23 @@ def test_stream_waits_for_early_messages(spark, tmp_path):
     for s in range(6):
         expected |= {(s, i): c for i, c in enumerate(chunks_of([n for t, _, n in rows if t == s], 9))}
     assert got == expected
+
+
+def test_plugins(spark):
+    from chatpack.functions import plugins
+
+    rows = spark.createDataFrame([(1, "a bb", [("text", None), ("image", "x.png"), ("image", None)])], "i int, t string, blocks array<struct<type:string,url:string>>")
+    encode = plugins.text_tokenizer(lambda: lambda t: [len(w) for w in t.split()])
+    assert rows.select(encode("t").alias("ids")).first().ids == [1, 2]
+    assert [tuple(r) for r in plugins.image_refs(rows, ["i"]).collect()] == [(1, 0, "x.png")]
+    assert rows.select(F.size(plugins.guarded(F.col("blocks"), True)).alias("n")).first().n == 3
+    with pytest.raises(Exception, match="need a processor"):
+        rows.select(plugins.guarded(F.col("blocks"), False)).collect()
+
+
+def test_vision_budget(spark):
+    one = spark.range(1)
+    plan = one.select(vision.pad_plan(F.lit(16), F.lit(1), 64, 3, 2).alias("p")).first().p
+    assert plan.status == "ok" and [tuple(g) for g in plan.grids] == [(1, 2, 22), (1, 2, 2)]
+    assert one.select(vision.pad_plan(F.lit(16), F.lit(1), 20, 1, 2).alias("p")).first().p.status != "ok"
+    assert vision.budget_divides(64, 3, 2) and not vision.budget_divides(63, 1, 2)
