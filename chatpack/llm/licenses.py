@@ -5,11 +5,14 @@ equal k-grams in the license templates. A match votes for a diagonal, the docume
 position minus the template position. A diagonal on which all of a phrase's k-grams
 vote is a place of the phrase. For longer templates, diagonals next to each other are
 merged (words may be added or lost), and a template whose k-grams voted for enough is
-found there. The spans are then verified against the documents' words.
+found there. Spans are verified as they are found: a vote counts only if the words of
+both k-grams are equal, so a full diagonal is the phrase word for word, and a
+template's share of votes is a share of its own words in order.
 
-The templates are configuration of a fixed size, so their k-grams are broadcast; a
-document's k-grams are never shuffled, only their few votes are. Votes are bit sets, so
-repeated rows of a document count once and still give each row its result.
+The templates are configuration of a fixed size, so their k-grams are broadcast. Neither
+texts nor a document's k-grams are shuffled, only the few votes, and a row of ids and a
+word count for each document. Votes are bit sets, so repeated rows of a document count
+once and still give each row its result.
 
 Defined results: a null or empty text has no words, no places and no labels; texts of
 fewer words than a k-gram have no votes; a null id is a value like any other;
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 K = 3
 #: Diagonals at most so far apart are merged.
 GAP = 3
-#: Share of a template's k-grams that must vote, and of its words that must be in the span.
+#: Share of a template's k-grams that must vote.
 SIMILARITY = 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,18 +74,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def gram_hashes(words: Column) -> Column:
-    """The hash of the k-gram at each position; ``words`` is a column of a projection below, so that it is made once."""
-    at = lambda i, k: F.get(words, i + k)
+def grams(words: Column) -> Column:
+    """The k-gram at each position; ``words`` is a column of a projection below, so that it is made once."""
     n = F.greatest(F.size(words) - (K - 1), F.lit(0))
-    return F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, *[at(i, k) for k in range(1, K)]))
+    return F.transform(F.slice(words, 1, n), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, K)]))
 
 
 def template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
-    """(hash, tpl, tpl_pos) of all templates, by the same expressions as the documents'."""
+    """(hash, tpl_gram, tpl, tpl_pos) of all templates, by the same expressions as the documents'."""
     df = spark.createDataFrame([(i, t.text) for i, t in enumerate(templates)], "tpl int, text string")
-    df = df.withColumn("words", words_of(F.col("text")))
-    return df.select("tpl", F.posexplode(gram_hashes(F.col("words"))).alias("tpl_pos", "hash"))
+    df = df.withColumn("words", words_of(F.col("text"))).select("tpl", F.posexplode(grams(F.col("words"))).alias("tpl_pos", "tpl_gram"))
+    return df.withColumn("hash", F.xxhash64("tpl_gram"))
 
 
 def find_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENTENCES, similarity: float = SIMILARITY) -> DataFrame:
@@ -96,8 +98,9 @@ def find_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENT
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"))
     votes = (
         keyed.select("doc_id", "__text", words_of(F.col("text")).alias("words"))
-        .select("doc_id", "__text", F.posexplode(gram_hashes(F.col("words"))).alias("pos", "hash"))
-        .join(F.broadcast(template_grams(spark, templates)), "hash")
+        .select("doc_id", "__text", F.posexplode(grams(F.col("words"))).alias("pos", "gram"))
+        .withColumn("hash", F.xxhash64("gram"))
+        .join(F.broadcast(template_grams(spark, templates)), "hash").where("gram = tpl_gram")
         .groupBy("doc_id", "__text", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"))
         .agg(F.expr("bit_or(shiftleft(1L, tpl_pos))").alias("votes"))
     )
@@ -127,22 +130,10 @@ def find_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENT
         .groupBy("doc_id", "__text").agg(F.collect_list(F.struct("tpl", "first", "last", "share")).alias("spans"))
         .withColumnRenamed("doc_id", "__id").withColumnRenamed("__text", "__key")
     )
-    same = keyed["doc_id"].eqNullSafe(spans["__id"]) & (keyed["__text"] == spans["__key"])
-    words = F.col("words")
-    tpl_words = F.array(*[F.array(*[F.lit(w) for w in t.text.split()]) for t in templates])
-
-    def verified(s):
-        own = F.element_at(tpl_words, s["tpl"] + 1)
-        there = F.slice(words, F.greatest(s["first"], F.lit(0)) + 1, s["last"] - F.greatest(s["first"], F.lit(0)) + F.size(own))
-        exact = F.slice(words, F.greatest(s["first"], F.lit(0)) + 1, F.size(own)) == own
-        part = F.size(F.array_intersect(own, there)) / F.size(F.array_distinct(own))
-        return F.when(pick([t.phrase for t in templates], s["tpl"]), exact).otherwise(part >= similarity)
-
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
     none = F.expr("cast(array() as array<struct<tpl:int,first:int,last:int,share:double>>)")
-    return (
-        keyed.join(spans, same, "left").select("doc_id", words_of(F.col("text")).alias("words"), F.coalesce("spans", none).alias("spans"))
-        .select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter("spans", verified).alias("spans"))
-    )
+    counted = keyed.select("doc_id", "__text", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return counted.join(spans, same, "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
 
 
 def digests(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENTENCES) -> DataFrame:
