@@ -5,9 +5,9 @@ table: one of all documents, one of the trusted documents (the target). A docume
 score is the mean of log(p_target / p_raw) over its n-grams, and documents whose
 score is under a threshold are rejected, besides those that the plain rules reject.
 
-The target is fitted on at most ``MAX_TRUSTED`` documents, whose ids are broadcast (8
-bytes each); beyond that a share of them is taken by the hash of their id. So no text is
-shuffled. All documents are in the raw counts, whatever their number.
+All documents are in the raw counts and all trusted ones in the target's, whatever their
+number. Up to ``MAX_BROADCAST`` trusted ids are broadcast, so that no text is shuffled;
+more of them are joined by a shuffle, with the same counts.
 
 Counting is one pass. Each task adds up its documents in arrays of ``buckets``
 entries and emits the buckets it has seen, so the shuffle holds at most
@@ -38,8 +38,8 @@ BUCKETS = 1 << 17
 SMOOTHING = 10.0
 #: Documents with a lower mean log ratio are rejected.
 THRESHOLD = -0.14
-#: Trusted documents that the target is fitted on, about; it bounds the broadcast ids.
-MAX_TRUSTED = 400_000
+#: Ids of trusted documents that are broadcast at most; beyond it they are joined by a shuffle.
+MAX_BROADCAST = 400_000
 #: Words that a task remembers with their hash.
 CACHED_WORDS = 200_000
 
@@ -110,38 +110,35 @@ def failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
 
 
-def trusted_ids(trusted: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
-    """The sorted doc_id of the target's documents, at most about ``most``."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return np.sort(ids.toArrow().column("doc_id").to_numpy())
+def marked(docs: DataFrame, trusted: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """(text, target) of every document: whether it is one of ``trusted``, by its doc_id."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
+    marks = ids.withColumn("target", F.lit(True))
+    if ids.count() <= most:
+        marks = F.broadcast(marks)
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("__doc")).join(marks, F.col("__doc") == F.col("__id"), "left")
+    return rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def count_grams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int = MAX_BROADCAST) -> DataFrame:
     """(bucket, raw_n, target_n) over all documents; ``trusted`` has the doc_id of the target's."""
-    shared = docs.sparkSession.sparkContext.broadcast(trusted_ids(trusted))
 
     def run(batches):
-        known, target_ids = _Hashes(), shared.value
+        known = _Hashes()
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for part in pieces(batch):
-                ids = part.column("doc_id").cast(pa.int64())
-                marks = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), target_ids) & ids.is_valid().to_numpy(zero_copy_only=False)
-                for text, mark in zip(raw_texts(part, "text"), marks.tolist()):
-                    if words := text.split():
-                        g = np.bincount(grams(words, known, buckets))
-                        raw[: len(g)] += g
-                        if mark:
-                            target[: len(g)] += g
+            for text, mark in zip(raw_texts(batch, "text"), batch.column("target").to_pylist()):
+                if words := text.split():
+                    g = np.bincount(grams(words, known, buckets))
+                    raw[: len(g)] += g
+                    if mark:
+                        target[: len(g)] += g
         seen = np.flatnonzero(raw)
         for at in range(0, len(seen), 10_000):
             k = seen[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(raw[k]), pa.array(target[k])], names=["bucket", "raw_n", "target_n"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "bucket long, raw_n long, target_n long")
+    found = marked(docs, trusted, most).mapInArrow(run, "bucket long, raw_n long, target_n long")
     return found.groupBy("bucket").agg(F.sum("raw_n").alias("raw_n"), F.sum("target_n").alias("target_n"))
 
 

@@ -90,6 +90,8 @@ def test_quality_rules(spark):
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(again))
         assert got[i].base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w))
     assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 94))
+    shuffled = quality_rules.count_grams(df, trusted.union(trusted), most=0)
+    assert sorted(shuffled.collect()) == sorted(quality_rules.count_grams(df, trusted).collect())
     kept = quality_rules.filter_documents(df, trusted)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60)) and kept.columns == df.columns
     assert quality_rules.score_documents(df.limit(0), trusted.limit(0)).count() == 0
