@@ -14,7 +14,10 @@ a group. Exact copies share a fingerprint and are one row from the start.
 
 Wide fingerprints (several lanes of 64 bits) and large radii have no such choice of
 blocks that would keep keys small. There keys are samples of bits: enough of them
-that two fingerprints at the radius meet in one with a probability near 1.
+that two fingerprints at the radius meet in one with a probability near 1. Fingerprints
+so far apart say little about texts, so there the links of a key are a minimum spanning
+forest (what is connected at any smaller distance stays connected by its links), and each
+link is then checked by the similarity of the texts' shingles.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint
 zero and links like any other; texts of fewer words than a shingle are one shingle;
@@ -37,8 +40,8 @@ from chatpack.llm.arrow import pieces, raw_texts
 from chatpack.llm.components import connected_components, stored
 
 SEED = 42
-#: Rows of a tile in the exact comparison.
-TILE = 256
+#: Rows of a tile in the exact comparison, and pairs of tiles that wait to be joined.
+TILE, PENDING = 256, 1_000_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -81,17 +84,40 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp): the fingerprint as an array of signed 64-bit lanes packed in hex."""
+def sketch(h: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` smallest distinct hashes, cut to 31 bits; all of them if there are fewer."""
+    return np.unique((h >> np.uint64(33)).astype(np.int32))[:size]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
+    """Similarity of two sets by their sketches: exact if both are whole, else over the ``size`` smallest of both."""
+    both = np.sort(np.concatenate([a, b]))
+    again = both[1:] == both[:-1]
+    n = len(both) - int(again.sum())
+    if max(len(a), len(b)) >= size and n > size:
+        again, n = again[np.cumsum(~again) < size], size
+    return float(again.sum()) / n if n else 1.0
+
+
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, size: int = 0) -> DataFrame:
+    """(doc_id, fp), and with ``size`` a sketch of so many hashes: the fingerprint's lanes in hex."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                fps = ["".join(f"{x:016x}" for x in fingerprint(shingle_hashes(t, words), lanes)) for t in raw_texts(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.string())], names=["doc_id", "fp"])
+                fps, own = [], []
+                for t in raw_texts(part, "text"):
+                    h = shingle_hashes(t, words)
+                    fps.append("".join(f"{x:016x}" for x in fingerprint(h, lanes)))
+                    if size:
+                        own.append(sketch(h, size))
+                columns = {"doc_id": part.column("doc_id"), "fp": pa.array(fps, pa.string())}
+                if size:
+                    columns["sketch"] = pa.array(own, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp string" + ", sketch array<int>" * bool(size))
 
 
 def block_masks(radius: int, blocks: int) -> list[list[int]]:
@@ -124,11 +150,12 @@ def _node(low: str, fp: str):
     )
 
 
-def near_links(classes: DataFrame, radius: int, masks: list[list[int]]) -> DataFrame:
-    """Links between distinct fingerprints ``classes`` (fp, low) that connect those within the radius.
+def near_links(classes: DataFrame, radius: int, masks: list[list[int]], spanning: bool = False) -> DataFrame:
+    """(low_a, fp_a, low_b, fp_b): links between distinct fingerprints ``classes`` (fp, low) that connect those within the radius.
 
     Fingerprints that agree under one of ``masks`` are compared; the links returned have
     the connected components of all pairs found, with at most one link a row and mask.
+    With ``spanning`` they are pairs within the radius, nearest ones first.
     """
     lanes = len(masks[0])
     fields = [f"f{k}" for k in range(lanes)]
@@ -148,14 +175,30 @@ def near_links(classes: DataFrame, radius: int, masks: list[list[int]]) -> DataF
 
     def compare(batches):
         for key, x, low in runs(batches, lanes):
-            for a, b in star_links(key, x, radius):
+            for a, b in (spanning_links if spanning else star_links)(key, x, radius):
                 yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
 
     columns = ", ".join(f"{k} long" for k in fields)
     spread = classes.select("fp", "low").mapInArrow(keys, f"choice int, part long, pop int, low long, {columns}")
     near = spread.repartition("choice", "part").sortWithinPartitions("choice", "part", "pop", *fields)
-    found = near.mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
-    return found.select(_node("low_a", "fp_a").alias("a"), _node("low_b", "fp_b").alias("b"))
+    return near.mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
+
+
+def similar(links: DataFrame, fps: DataFrame, least: float, size: int) -> DataFrame:
+    """Those of ``links`` whose texts' shingles have a similarity of ``least``, by the sketches in ``fps``."""
+    ends = links.select(F.col("fp_a").alias("fp"), F.col("low_a").alias("low")).union(links.select("fp_b", "low_b")).distinct()
+    rows = fps.select("fp", F.col("doc_id").cast("long").alias("low"), "sketch")
+    # The row of the smallest id stands for all of its fingerprint, so a hot fingerprint is one row.
+    own = stored(rows.join(ends, ["fp", "low"]).groupBy("fp").agg(F.min("sketch").alias("sketch")))
+    both = links.join(own.toDF("fp_a", "sketch_a"), "fp_a").join(own.toDF("fp_b", "sketch_b"), "fp_b")
+
+    def check(batches):
+        for batch in batches:
+            a, b = (batch.column(k) for k in ("sketch_a", "sketch_b"))
+            near = [jaccard(x.values.to_numpy(), y.values.to_numpy(), size) >= least for x, y in zip(a, b)]
+            yield batch.select(["low_a", "fp_a", "low_b", "fp_b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("low_a", "fp_a", "low_b", "fp_b", "sketch_a", "sketch_b").mapInArrow(check, "low_a long, fp_a string, low_b long, fp_b string")
 
 
 def hex_names(x: np.ndarray) -> pa.Array:
@@ -201,54 +244,113 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def star_links(key: np.ndarray, x: np.ndarray, radius: int):
-    """Positions (a, b) of links that connect what lies within the radius inside each key.
-
-    Small keys are compared together, each row with the next one, the one after that
-    and so on while any key is that long. Long keys are compared tile by tile.
-    """
+def small_and_long(key: np.ndarray):
+    """Positions of the rows whose keys fit a tile, and (start, length) of each longer key."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    own = np.arange(len(x))
-    for at, n in zip(first[size > TILE].tolist(), size[size > TILE].tolist()):
-        label = tiled(x[at : at + n], radius) + at
-        child = np.flatnonzero(label != own[at : at + n]) + at
-        yield child, label[child - at]
-    small = own[np.repeat(size <= TILE, size)]
-    key, part, found = key[small], x[small], []
+    return np.flatnonzero(np.repeat(size <= TILE, size)), list(zip(first[size > TILE].tolist(), size[size > TILE].tolist()))
+
+
+def near_pairs(key: np.ndarray, x: np.ndarray, radius: int):
+    """(a, b, distance) of all pairs of a key within the radius, for keys that fit a tile.
+
+    All keys are compared together, each row with the next one, the one after that and so
+    on while any key is that long.
+    """
+    found = []
     for d in range(1, TILE):
         i = np.flatnonzero(key[d:] == key[:-d])
         if not len(i):
             break
-        near = i[distance(part[i], part[i + d]) <= radius]
-        if len(near):
-            found.append((near, near + d))
-    if found:
-        a, b = (np.concatenate(v) for v in zip(*found))
-        label = merged(np.arange(len(part)), a, b)
-        child = np.flatnonzero(label != np.arange(len(part)))
+        far = distance(x[i], x[i + d])
+        near = far <= radius
+        found.append((i[near], i[near] + d, far[near]))
+    return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def star_links(key: np.ndarray, x: np.ndarray, radius: int):
+    """Positions (a, b) of links that connect what lies within the radius inside each key."""
+    small, long = small_and_long(key)
+    for at, n in long:
+        label = tiled(x[at : at + n], radius)[0]
+        child = np.flatnonzero(label != np.arange(n))
+        yield child + at, label[child] + at
+    a, b, _ = near_pairs(key[small], x[small], radius)
+    if len(a):
+        label = merged(np.arange(len(small)), a, b)
+        child = np.flatnonzero(label != np.arange(len(small)))
         yield small[child], small[label[child]]
 
 
+def spanning_links(key: np.ndarray, x: np.ndarray, radius: int):
+    """Positions (a, b) of a minimum spanning forest of the pairs within the radius inside each key.
+
+    Long keys skip tiles that are connected already; there the forest is of the pairs compared.
+    """
+    small, long = small_and_long(key)
+    for at, n in long:
+        for a, b in tiled(x[at : at + n], radius)[1]:
+            yield a + at, b + at
+    a, b, far = near_pairs(key[small], x[small], radius)
+    if len(a):
+        k = forest(np.arange(len(small)), a, b, far)[1]
+        yield small[a[k]], small[b[k]]
+
+
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray):
+    """Labels after the pairs (a, b) are joined, and which pairs join them: a minimum spanning forest by ``far``.
+
+    In each round every group takes its nearest pair (ties: the first by a, then b), until no
+    pair joins two groups.
+    """
+    order = np.lexsort((b, a, far))
+    taken = [np.zeros(0, np.int64)]
+    while True:
+        one, two = label[a[order]], label[b[order]]
+        apart = one != two
+        order, one, two = order[apart], one[apart], two[apart]
+        if not len(order):
+            return label, np.concatenate(taken)
+        best = np.full(len(label), len(order))
+        np.minimum.at(best, np.concatenate([one, two]), np.tile(np.arange(len(order)), 2))
+        pick = order[np.unique(best[best < len(order)])]
+        taken.append(pick)
+        label = merged(label, a[pick], b[pick])
+
+
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after the positions of each pair (a, b) are joined: the smallest position of each group."""
+    """Labels after the groups of each pair (a, b) are joined: the smallest position of each group."""
+    a, b, root = label[a], label[b], np.arange(len(label))
     while True:
-        before = label
-        label = label.copy()
-        low = np.minimum(label[a], label[b])
+        before = root
+        root = root.copy()
+        low = np.minimum(before[a], before[b])
         for k in (before[a], before[b], a, b):
-            np.minimum.at(label, k, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            return label
+            np.minimum.at(root, k, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            return root[label]
+
 
+def tiled(x: np.ndarray, radius: int):
+    """For one long key, sorted by population count: the smallest connected position of each row, and links.
 
-def tiled(x: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest connected position of each row of one long key, sorted by population count."""
+    The links are lists of pairs (a, b) within the radius that connect what is connected. Pairs
+    are joined as soon as there are ``PENDING`` of them, so that a large group takes little memory.
+    """
     count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    label = np.arange(len(x))
+    label, links, pairs = np.arange(len(x)), [], []
+
+    def join():
+        nonlocal label
+        if pairs:
+            a, b, far = (np.concatenate(v) for v in zip(*pairs))
+            label, k = forest(label, a, b, far)
+            links.append((a[k], b[k]))
+            pairs.clear()
+
     for at in range(0, len(x), TILE):
-        stop, pairs = min(at + TILE, len(x)), []
+        stop = min(at + TILE, len(x))
         for to in range(at, len(x), TILE):
             if count[to] - count[stop - 1] > radius:
                 break  # this tile and all later ones differ too much in population count
@@ -256,23 +358,25 @@ def tiled(x: np.ndarray, radius: int) -> np.ndarray:
             group = np.concatenate([label[at:stop], label[to:until]])
             if group.min() == group.max():
                 continue  # all of them are connected already
-            i, j = np.nonzero(distance(x[at:stop, None], x[None, to:until]) <= radius)
+            far = distance(x[at:stop, None], x[None, to:until])
+            i, j = np.nonzero(far <= radius)
             off = label[i + at] != label[j + to]
-            pairs.append((i[off] + at, j[off] + to))
-        if pairs:
-            a, b = (np.concatenate(v) for v in zip(*pairs))
-            if len(a):
-                label = merged(label, a, b)
-    return label
+            pairs.append((i[off] + at, j[off] + to, far[i, j][off]))
+            if sum(len(p[0]) for p in pairs) > PENDING:
+                join()
+        join()
+    return label, links
 
 
-def components(fps: DataFrame, radius: int, masks: list[list[int]]) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp).
+def classes_of(fps: DataFrame) -> DataFrame:
+    """(fp, low): the distinct fingerprints, each with its smallest doc_id."""
+    return stored(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("low")))
 
-    The component is the smallest doc_id of all documents that its links reach.
-    """
-    classes = stored(fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("low")))
-    cc = stored(connected_components(near_links(classes, radius, masks)))
+
+def components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component_id) of each of ``classes``: the smallest doc_id of all documents that ``links`` reach from it."""
+    nodes = links.select(_node("low_a", "fp_a").alias("a"), _node("low_b", "fp_b").alias("b"))
+    cc = stored(connected_components(nodes))
     root = F.coalesce("component", "node")
     return classes.withColumn("node", _node("low", "fp")).join(cc, "node", "left").select(
         "fp", F.when(~root.getField("no_id"), root.getField("low")).alias("component_id")
@@ -282,15 +386,17 @@ def components(fps: DataFrame, radius: int, masks: list[list[int]]) -> DataFrame
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; exact for every pair of documents."""
     fps = stored(fingerprints(docs, words))
-    found = components(fps, radius, block_masks(radius, blocks))
+    classes = classes_of(fps)
+    found = components(classes, near_links(classes, radius, block_masks(radius, blocks)))
     return fps.join(found, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: For whole-document near copies: five words, and 256 bits. A Jaccard similarity J of shingles
-#: is a cosine of 2J / (1 + J), and bits differ with its angle / pi: 39 of 256 at 0.8, with a
-#: deviation of 5 to 6 bits, which the radius grants. Keys of 16 bits in 40 tables find 95 % of
-#: the pairs at 0.8 and 99 % of those at 0.85.
-COPY_WORDS, COPY_LANES, COPY_RADIUS, COPY_BITS, COPY_TABLES = 5, 4, 44, 16, 40
+#: For whole-document near copies: five words, a Jaccard similarity of 0.8, and 256 bits. A
+#: similarity J of shingles is a cosine of 2J / (1 + J), and bits differ with its angle / pi: 39
+#: of 256 at 0.8, with a deviation of 6 bits; the radius grants two. Keys of 16 bits in 40
+#: tables find 94 % of the pairs at 0.8 and 99 % of those at 0.85. Links are checked by sketches
+#: of 256 hashes: exact up to so many shingles, and beyond with a deviation of 0.025.
+COPY_WORDS, COPY_SIMILARITY, COPY_LANES, COPY_RADIUS, COPY_BITS, COPY_TABLES, COPY_SKETCH = 5, 0.8, 4, 51, 16, 40, 256
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -299,8 +405,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows with equal ids are one document, of which one row stays. Rows without an id
     cannot stand for a group; they stay as they are.
     """
-    fps = stored(fingerprints(docs, COPY_WORDS, COPY_LANES))
-    found = components(fps, COPY_RADIUS, sampled_masks(COPY_LANES, COPY_BITS, COPY_TABLES))
+    fps = stored(fingerprints(docs.where("doc_id is not null"), COPY_WORDS, COPY_LANES, COPY_SKETCH))
+    classes = classes_of(fps)
+    links = stored(near_links(classes, COPY_RADIUS, sampled_masks(COPY_LANES, COPY_BITS, COPY_TABLES), spanning=True).distinct())
+    found = components(classes, similar(links, fps, COPY_SIMILARITY, COPY_SKETCH))
     kept = fps.join(found, "fp").where("doc_id = component_id").select("doc_id").distinct()
     with_id = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))

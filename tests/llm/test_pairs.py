@@ -66,13 +66,52 @@ def test_null_and_equal_ids(spark):
     assert sorted(r.doc_id or 0 for r in simhash.one_of_each(df).collect()) == [0, 0, 5]
 
 
-def test_long_keys_are_compared_tile_by_tile():
+def test_long_keys_are_compared_tile_by_tile(monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 60, (900, 1), dtype=np.uint64)
     x[300:] = x[rng.integers(0, 300, 600)] ^ (np.uint64(1) << rng.integers(0, 60, (600, 1), dtype=np.uint64))
     x = x[np.argsort(np.bitwise_count(x[:, 0]), kind="stable")]
     links = [(i, j) for i in range(900) for j in np.flatnonzero(np.bitwise_count(x[i, 0] ^ x[:i, 0]) <= 4).tolist()]
-    assert simhash.tiled(x, 4).tolist() == unions(900, links)
+    label, found = simhash.tiled(x, 4)
+    assert label.tolist() == unions(900, links)
+    found = [(int(i), int(j)) for a, b in found for i, j in zip(a, b)]
+    assert {(j, i) for i, j in found} <= set(links) and unions(900, found) == unions(900, links)
+    monkeypatch.setattr(simhash, "PENDING", 10)
+    assert simhash.tiled(x, 4)[0].tolist() == unions(900, links)
+
+
+def test_spanning_links_connect_what_is_connected_at_any_distance():
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 30, 400))
+    x = rng.integers(0, 1 << 14, (400, 1), dtype=np.uint64)
+    got = [(int(i), int(j)) for a, b in simhash.spanning_links(key, x, 5) for i, j in zip(a, b)]
+    far = np.bitwise_count(x ^ x[:, 0])
+    for radius in range(6):
+        links = [(i, j) for i in range(400) for j in range(i) if key[i] == key[j] and far[i, j] <= radius]
+        assert unions(400, [p for p in got if far[p] <= radius]) == unions(400, links)
+    assert all(far[p] <= 5 for p in got) and len(got) == 400 - len(set(unions(400, got)))
+
+
+def test_similarity_of_sketches():
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    for a, b in ((h[:90], h[10:100]), (h[:2700], h[300:]), (h[:50], h[:2000]), (h[:0], h[:0]), (h[:0], h[:5])):
+        exact = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) if len(a) or len(b) else 1.0
+        got = simhash.jaccard(simhash.sketch(a, 256), simhash.sketch(b, 256), 256)
+        assert got == exact if len(a) < 256 and len(b) < 256 else abs(got - exact) < 0.1
+
+
+def test_one_of_each_goes_by_similarity(spark):
+    """Removed documents have an earlier one of 0.8 or are linked over others; only those right at the bound may differ."""
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 220))) for _ in range(60)]
+    texts = [x for t in base for x in (t, *(near_copy(rng, t, rng.choice((0.0, 0.01, 0.03, 0.08, 0.3))) for _ in range(3)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    expected = {i for i, c in enumerate(unions(len(texts), links)) if i == c}
+    assert expected <= kept and len(kept - expected) <= 0.03 * len(texts)
 
 
 def near_copy(rng, text, share):
