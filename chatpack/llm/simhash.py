@@ -17,7 +17,9 @@ blocks that would keep keys small. There keys are samples of bits: enough of the
 that two fingerprints at the radius meet in one with a probability near 1. Fingerprints
 so far apart say little about texts, so there the links of a key are a minimum spanning
 forest (what is connected at any smaller distance stays connected by its links), and each
-link is then checked by the similarity of the texts' shingles.
+link is then checked by the similarity of the texts' shingles. A link that fails may have
+stood for pairs that pass. So the rows around failed links meet once more under their keys, and
+each pair within the radius that no checked links connect is checked itself (``hidden``).
 
 Defined results: a null text counts as empty; a text without words has the fingerprint
 zero and links like any other; texts of fewer words than a shingle are one shingle;
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from chatpack.llm.arrow import pieces, raw_texts
 from chatpack.llm.components import connected_components, stored
+from chatpack.llm.vectors import whole_groups
 
 SEED = 42
 #: Rows of a tile in the exact comparison, and pairs of tiles that wait to be joined.
@@ -158,7 +161,20 @@ def near_links(classes: DataFrame, radius: int, masks: list[list[int]], spanning
     With ``spanning`` they are pairs within the radius, nearest ones first.
     """
     lanes = len(masks[0])
-    fields = [f"f{k}" for k in range(lanes)]
+
+    def compare(batches):
+        for rows, key in whole_groups(batches, 2):
+            x, low = lanes_of(rows, lanes), rows.column("low")
+            for a, b in (spanning_links if spanning else star_links)(key, x, radius):
+                yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
+
+    return grouped(keyed(classes.select("fp", "low"), masks), lanes).mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
+
+
+def keyed(classes: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """(choice, part, pop, f0, f1, ..) and the columns of ``classes`` but fp: a row for each fingerprint and mask."""
+    lanes = len(masks[0])
+    others = [c for c in classes.columns if c != "fp"]
 
     def keys(batches):
         for batch in batches:
@@ -170,18 +186,123 @@ def near_links(classes: DataFrame, radius: int, masks: list[list[int]], spanning
                 for k, m in enumerate(mask):
                     part = _mixed((packed[:, k] & np.uint64(m)) ^ part, k + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(packed), number, np.int32)), pa.array(part.view(np.int64)), pa.array(pop), batch.column("low"), *values],
-                    names=["choice", "part", "pop", "low", *fields])
+                    [pa.array(np.full(len(packed), number, np.int32)), pa.array(part.view(np.int64)), pa.array(pop), *values, *(batch.column(c) for c in others)],
+                    names=["choice", "part", "pop", *fields_of(lanes), *others])
 
-    def compare(batches):
-        for key, x, low in runs(batches, lanes):
-            for a, b in (spanning_links if spanning else star_links)(key, x, radius):
-                yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
+    columns = "".join(f", {k} long" for k in [*fields_of(lanes), *others])
+    return classes.mapInArrow(keys, f"choice int, part long, pop int{columns}")
 
-    columns = ", ".join(f"{k} long" for k in fields)
-    spread = classes.select("fp", "low").mapInArrow(keys, f"choice int, part long, pop int, low long, {columns}")
-    near = spread.repartition("choice", "part").sortWithinPartitions("choice", "part", "pop", *fields)
-    return near.mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
+
+def grouped(rows: DataFrame, lanes: int) -> DataFrame:
+    """``rows`` with those of a key together, by population count."""
+    return rows.repartition("choice", "part").sortWithinPartitions("choice", "part", "pop", *fields_of(lanes))
+
+
+def fields_of(lanes: int) -> list[str]:
+    return [f"f{k}" for k in range(lanes)]
+
+
+def lanes_of(rows: pa.RecordBatch, lanes: int) -> np.ndarray:
+    return np.stack([rows.column(k).to_numpy().view(np.uint64) for k in fields_of(lanes)], axis=1)
+
+
+def hidden(classes: DataFrame, links: DataFrame, checked: DataFrame, fps: DataFrame, radius: int, masks: list[list[int]], least: float, size: int) -> DataFrame:
+    """Links that pass the check and that failed ones of ``links`` hid; ``checked`` are those that passed.
+
+    A pair is hidden if its ends are within the radius and meet under a mask, but only links of
+    which some failed connect them. Each of its ends is then in a component of ``checked`` that a failed link
+    touches. Rows of such components are compared again, by fingerprints first, so that only rows
+    with a neighbour in another component need their sketches, and only under the first mask of the pair.
+    """
+    lanes, fields = len(masks[0]), fields_of(len(masks[0]))
+    of = stored(components(classes, checked))
+    sides = links.select("fp_a", "fp_b").join(of.toDF("fp_a", "one"), "fp_a").join(of.toDF("fp_b", "two"), "fp_b").where("one <> two")
+    touched = stored(sides.select("one").union(sides.select("two")).distinct().toDF("component_id"))
+    again = stored(classes.join(of, "fp").join(touched, "component_id").select("fp", "low", F.col("component_id").alias("own")))
+
+    def apart(batches):
+        for rows, key in whole_groups(batches, 2):
+            x, own, choice = lanes_of(rows, lanes), rows.column("own").to_numpy(), rows.column("choice").to_numpy()
+            some = np.zeros(len(x), bool)
+            for a, b, _ in pairs_apart(key, own, choice, x, radius, masks):
+                some[a] = some[b] = True
+            yield rows.filter(pa.array(some))
+
+    kind = "choice int, part long, pop int" + "".join(f", {k} long" for k in [*fields, "low", "own"])
+    near = stored(grouped(keyed(again, masks), lanes).mapInArrow(apart, kind))
+    name = F.concat(*[F.lpad(F.lower(F.hex(k)), 16, "0") for k in fields])
+    # The sketch of a fingerprint is that of its smallest id, as in ``similar``.
+    ends = near.select(name.alias("fp"), "low").distinct()
+    own = stored(fps.select("fp", F.col("doc_id").cast("long").alias("low"), "sketch").join(ends, ["fp", "low"]).groupBy("fp").agg(F.min("sketch").alias("sketch")))
+
+    def check(batches):
+        for rows, key in whole_groups(batches, 2):
+            x, low, sketches = lanes_of(rows, lanes), rows.column("low"), rows.column("sketch")
+            label = rows.column("own").to_numpy()
+            flat, at = sketches.values.to_numpy(), sketches.offsets.to_numpy()
+            alike = lambda i, j: jaccard(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], size) >= least
+            a, b = verified(key, label, rows.column("choice").to_numpy(), x, radius, masks, alike)
+            yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
+
+    both = near.withColumn("fp", name).join(own, "fp").select("choice", "part", "pop", *fields, "low", "own", "sketch")
+    return grouped(both, lanes).mapInArrow(check, "low_a long, fp_a string, low_b long, fp_b string")
+
+
+def pairs_apart(key: np.ndarray, own: np.ndarray, choice: np.ndarray, x: np.ndarray, radius: int, masks: list[list[int]]):
+    """(a, b, distance) of the pairs of a key within the radius and in different components ``own``.
+
+    A pair that also meets under an earlier mask is left to it.
+    """
+    bits = np.array(masks, np.uint64)
+
+    def first(a, b, far):
+        differ, met = x[a] ^ x[b], np.zeros(len(a), bool)
+        for k in range(int(choice[a].max(initial=0))):
+            met |= (k < choice[a]) & ~(differ & bits[k]).any(axis=1)
+        return a[~met], b[~met], far[~met]
+
+    small, long = small_and_long(key)
+    count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    for start, n in long:
+        for at in range(start, start + n, TILE):
+            stop = min(at + TILE, start + n)
+            for to in range(at, start + n, TILE):
+                if count[to] - count[stop - 1] > radius:
+                    break
+                until = min(to + TILE, start + n)
+                other = own[at:stop, None] != own[None, to:until]
+                if other.any():
+                    far = distance(x[at:stop, None], x[None, to:until])
+                    i, j = np.nonzero(other & (far <= radius))
+                    once = i + at < j + to
+                    yield first(i[once] + at, j[once] + to, far[i, j][once])
+    a, b, far = near_pairs(key[small], x[small], radius)
+    other = own[small[a]] != own[small[b]]
+    yield first(small[a[other]], small[b[other]], far[other])
+
+
+def verified(key, own, choice, x, radius: int, masks: list[list[int]], alike):
+    """Positions (a, b) of pairs that pass ``alike`` and connect all that such pairs connect, nearest ones first.
+
+    Only pairs that passed join their components, so none stands in for one that was not checked.
+    """
+    label = np.unique(own, return_inverse=True)[1].tolist()
+    root = list(range(max(label, default=0) + 1))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for a, b, far in pairs_apart(key, own, choice, x, radius, masks):
+        order = np.argsort(far, kind="stable")
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            one, two = find(label[i]), find(label[j])
+            if one != two and alike(i, j):
+                root[max(one, two)] = min(one, two)
+                out.append((i, j))
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 
 def similar(links: DataFrame, fps: DataFrame, least: float, size: int) -> DataFrame:
@@ -206,39 +327,6 @@ def hex_names(x: np.ndarray) -> pa.Array:
     return pa.array([text[k : k + size] for k in range(0, len(text), size)], pa.string())
 
 
-def runs(batches, lanes: int):
-    """Stretches of whole keys of a sorted stream: (key numbers, fingerprints, ids).
-
-    Rows of a key that goes on into the next batch are carried over to it.
-    """
-    held: list[pa.RecordBatch] = []
-    end = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        c, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        same = (c == c[-1]) & (p == p[-1])
-        first = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-        if first:
-            yield from _whole([*held, batch.slice(0, first)], lanes)
-            held = []
-        elif end is not None and (c[0], p[0]) != end:
-            yield from _whole(held, lanes)
-            held = []
-        held.append(batch.slice(first))
-        end = (c[-1], p[-1])
-    yield from _whole(held, lanes)
-
-
-def _whole(parts: list[pa.RecordBatch], lanes: int):
-    if parts:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        c, p = t.column(0).to_numpy(), t.column(1).to_numpy()
-        key = np.cumsum(np.concatenate([[0], (c[1:] != c[:-1]) | (p[1:] != p[:-1])]))
-        x = np.stack([t.column(4 + k).to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
-        yield key, x, t.column("low").chunk(0)
-
-
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits, summed over the lanes of the last axis."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
@@ -407,8 +495,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     fps = stored(fingerprints(docs.where("doc_id is not null"), COPY_WORDS, COPY_LANES, COPY_SKETCH))
     classes = classes_of(fps)
-    links = stored(near_links(classes, COPY_RADIUS, sampled_masks(COPY_LANES, COPY_BITS, COPY_TABLES), spanning=True).distinct())
-    found = components(classes, similar(links, fps, COPY_SIMILARITY, COPY_SKETCH))
+    masks = sampled_masks(COPY_LANES, COPY_BITS, COPY_TABLES)
+    links = stored(near_links(classes, COPY_RADIUS, masks, spanning=True).distinct())
+    checked = stored(similar(links, fps, COPY_SIMILARITY, COPY_SKETCH))
+    more = stored(hidden(classes, links, checked, fps, COPY_RADIUS, masks, COPY_SIMILARITY, COPY_SKETCH))
+    found = components(classes, checked.union(more))
     kept = fps.join(found, "fp").where("doc_id = component_id").select("doc_id").distinct()
     with_id = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))

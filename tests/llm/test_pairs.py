@@ -151,3 +151,32 @@ def test_vectors(spark, tile_rows):
     assert np.mean([got[i][1] == component[i] for i in range(len(x))]) > 0.95
     assert all(got[i] == (0, i, True) for i in (*range(900, 906), 990))
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_copies_in_a_large_family_of_looser_likeness_are_found(spark, monkeypatch):
+    """A key of more than a tile whose pairs are within the radius but not alike does not hide real copies."""
+    monkeypatch.setattr(simhash, "COPY_BITS", 0)  # one key for all, as a key of a much larger family
+    monkeypatch.setattr(simhash, "COPY_TABLES", 2)
+    rng = random.Random(13)
+    shared = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for k in range(330):  # about 0.75 to each other: the same words but for an end of their own
+        texts.append(" ".join(shared + [f"v{k}x{i}" for i in range(30)]))
+    texts += [" ".join([*t.split()[:-4], *(f"q{n}y{i}" for i in range(4))]) for n, t in enumerate(texts[:60])]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    component = unions(len(texts), links)
+    assert len(set(component)) == 330
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(330))
+
+
+def test_only_checked_pairs_join():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 62, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, (700, 4), dtype=np.uint64))
+    x = x[np.argsort(np.bitwise_count(x).sum(axis=1), kind="stable")]
+    own, zero = np.arange(700), np.zeros(700, np.int64)
+    good = {tuple(sorted(p)) for p in rng.integers(0, 700, (200, 2)).tolist()}
+    a, b = simhash.verified(zero, own, zero, x, 51, [[0, 0, 0, 0]], lambda i, j: (i, j) in good)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    assert set(pairs) <= good and unions(700, pairs) == unions(700, [p for p in good if p[0] != p[1]])
