@@ -6,16 +6,18 @@ the released blocks each slot takes the one with the earliest deadline. As the w
 add up to one, every deadline is met, so at any slot a source is less than one block from
 its share, as long as it has blocks. Slots of a source that has run out stay empty.
 
-Weights are multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots. That one
-period is made on the driver and broadcast; its size does not depend on the data. All else
-is columns: a row's rank in its source gives its block, and the block gives its slot.
+Releases and deadlines come from the target weights themselves, in whole numbers without
+rounding. The blocks are dealt by one task, which holds one entry for each source and
+passes over the blocks (a row for each ``BLOCK_ROWS`` documents at most, and no texts); it jumps over
+slots for which no block is left. All else is columns: a row's rank in its source
+gives its block, and the block gives its slot.
 
 Ranks need no task that sees a whole source. Rows are put in buckets by the hash of
 their id, about the square root of all rows in each; a row's rank is the rows in earlier
 buckets of its source plus its place in its bucket. A hot source has more buckets.
 
-Defined results: rows with a null source form the source "(none)"; sources beyond the
-MAX_SOURCES largest share one weight as "(other)"; every row keeps its place once (ties by
+Defined results: rows with a null source form the source "(none)"; sources that given
+weights leave out share one weight as "(other)"; every row keeps its place once (ties by
 hash, then id); no row is dropped; an empty table gives an empty table. Columns
 of the input keep their names and values, whatever they are.
 """
@@ -23,14 +25,16 @@ of the input keep their names and values, whatever they are.
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatpack.llm.components import stored
+
 BLOCK_ROWS = 64
 PERIOD = 1024
-#: Sources that get a weight of their own; it bounds what the driver gets.
-MAX_SOURCES = 256
 #: Default weights follow the number of rows to this power.
 TEMPER = 0.5
 NONE, OTHER = "(none)", "(other)"
@@ -52,61 +56,82 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
 
 def schedule(slots: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, deadline) of one period, by earliest deadline first."""
-    waiting = [(0, -(-period // k), s, 0) for s, k in slots.items()]  # by release
+    return list(dealt([(s, k, k) for s, k in slots.items()], period))
+
+
+def dealt(sources, total: int):
+    """(source, block, slot, release, deadline) of all blocks of ``sources`` (source, weight, blocks), by earliest deadline first.
+
+    Weights are whole numbers of which all sources, also those without blocks, have ``total``.
+    """
+    ready: list[tuple] = []
+    waiting = [(0, -(-total // k), s, 0, k, n) for s, k, n in sources if n]  # by release
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for now in range(period):
+    now = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > now:
+            now = waiting[0][0]  # the slots up to there belong to sources that have run out
         while waiting and waiting[0][0] <= now:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, now, release, deadline))
-        k = slots[s]
-        if j + 1 < k:
-            heapq.heappush(waiting, ((j + 1) * period // k, -(-(j + 2) * period // k), s, j + 1))
-    return out
+            release, deadline, s, j, k, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release, k, n))
+        deadline, s, j, release, k, n = heapq.heappop(ready)
+        yield s, j, now, release, deadline
+        now += 1
+        if j + 1 < n:
+            heapq.heappush(waiting, ((j + 1) * total // k, -(-(j + 2) * total // k), s, j + 1, k, n))
+
+
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratios of ``weights``."""
+    exact = [Fraction(w) for w in weights]
+    scale = max((x.denominator for x in exact), default=1)  # powers of two: the largest holds all
+    return [int(x * scale) for x in exact]
 
 
-def tempered(counts: dict[str, int], power: float = TEMPER) -> dict[str, float]:
-    return {s: n**power for s, n in counts.items()}
+def _deal(batches):
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("mix_source", "weight", "blocks")))]
+    weights = whole([w for _, w, _ in rows])
+    plan = dealt([(s, k, n) for (s, _, n), k in zip(rows, weights)], sum(weights))
+    names = ["mix_source", "block", "slot", "release", "deadline"]
+    while part := [x for _, x in zip(range(8192), plan)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=names)
 
 
-def source_of(source: Column, named: list[str]) -> Column:
+def source_of(source: Column, named: list[str] | None) -> Column:
     own = F.coalesce(source.cast("string"), F.lit(NONE))
-    return F.when(own.isin(named), own).otherwise(OTHER) if named else F.lit(OTHER)
+    return own if named is None else F.when(own.isin(named), own).otherwise(OTHER)
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """(row, mix_source, block, place, slot, release, deadline): each row of ``docs`` as a struct, with its place in the mix.
 
     ``weights`` has the target weight of each source; sources it leaves out share the
     smallest of them. Without it, weights follow the sources' sizes, tempered.
     """
-    spark = docs.sparkSession
-    sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("s")).count()
-    largest = {r["s"]: r["count"] for r in sizes.orderBy(F.desc("count"), "s").limit(MAX_SOURCES).collect()}
-    total, n_sources = sizes.agg(F.sum("count"), F.count("*")).first()
-    named = sorted(weights) if weights else sorted(largest)
-    own = dict(weights) if weights else tempered(largest)
-    if not own or n_sources > len(named) or set(largest) - set(named):
-        rest = (total or 0) - sum(n for s, n in largest.items() if s in named)
-        own[OTHER] = min(own.values(), default=1.0) if weights else max(rest, 1) ** TEMPER
-    plan = schedule(shares(own, period), period)
-    pattern = F.broadcast(spark.createDataFrame(plan, "mix_source string, turn int, at int, from_ int, until_ int"))
-    turns = F.broadcast(spark.createDataFrame(sorted(shares(own, period).items()), "mix_source string, turns int"))
-
-    per_bucket = max(1024, int((total or 0) ** 0.5))
-    buckets = F.broadcast(spark.createDataFrame(
-        [(s, max(1, -(-n // per_bucket))) for s, n in (*((s, n) for s, n in largest.items() if s in named), (OTHER, max(1, (total or 0) - sum(n for s, n in largest.items() if s in named))))],
-        "mix_source string, n_buckets int"))
+    if weights and any(w <= 0 for w in weights.values()):
+        raise ValueError("weights are positive")
+    named = sorted(weights) if weights else None
+    sizes = stored(docs.groupBy(source_of(F.col("source"), named).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows")))
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    per_bucket = max(1024, int(total**0.5))
+    sizes = sizes.withColumn("n_buckets", F.ceil(F.col("n_rows") / per_bucket))
+    if weights:
+        own = docs.sparkSession.createDataFrame([*weights.items(), *([(OTHER, min(weights.values()))] if OTHER not in weights else [])], "mix_source string, weight double")
+        # A source that is named keeps its slots even without rows; "(other)" has some only with rows.
+        shares_ = own.join(sizes, "mix_source", "left").where(F.col("n_rows").isNotNull() | F.col("mix_source").isin(named))
+    else:
+        shares_ = sizes.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(TEMPER)))
+    blocks = F.ceil(F.coalesce("n_rows", F.lit(0)) / block_rows).cast("long")
+    kind = "mix_source string, block long, slot long, release long, deadline long"
+    plan = stored(shares_.select("mix_source", "weight", blocks.alias("blocks")).coalesce(1).mapInArrow(_deal, kind))
+
     hashed = F.xxhash64(F.lit(seed), F.col("row.doc_id"))
     rows = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         .withColumn("mix_source", source_of(F.col("row.source"), named))
-        .join(buckets, "mix_source", "left")
+        .join(sizes.select("mix_source", "n_buckets"), "mix_source")
         .withColumn("hash", hashed)
-        .withColumn("bucket", F.expr("pmod(hash, 1073741824L) * coalesce(n_buckets, 1) div 1073741824L"))
+        .withColumn("bucket", F.expr("pmod(hash, 1073741824L) * n_buckets div 1073741824L"))
     )
     before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("mix_source", "bucket").count().select("mix_source", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
@@ -114,11 +139,9 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     ranked = rows.withColumn("nth", F.row_number().over(inside)).join(offsets, ["mix_source", "bucket"])
     rank = F.col("earlier") + F.col("nth") - 1
     block = F.floor(rank / block_rows).cast("long")
-    cycle = lambda c: (F.floor(F.col("block") / F.col("turns")) * period + F.col(c)).cast("long")
     return (
         ranked.select("row", "mix_source", block.alias("block"), F.pmod(rank, F.lit(block_rows)).cast("long").alias("place"))
-        .join(turns, "mix_source").withColumn("turn", F.pmod("block", "turns").cast("int")).join(pattern, ["mix_source", "turn"])
-        .select("row", "mix_source", "block", "place", cycle("at").alias("slot"), cycle("from_").alias("release"), cycle("until_").alias("deadline"))
+        .join(plan, ["mix_source", "block"]).select("row", "mix_source", "block", "place", "slot", "release", "deadline")
     )
 
 

@@ -158,3 +158,23 @@ def test_mix_keeps_every_row(spark):
     first = [p.mix_source for p in by_weight if p.slot < 60 and p.place == 0]
     assert abs(first.count("big") - 60 * 0.6) < 1.5
     assert mixing.placed(df.limit(0)).count() == 0
+
+
+def test_mix_follows_the_target_weights(spark):
+    """At every slot each source is less than a block from its target, far beyond one period and with many sources."""
+    for weights in ({"a": 0.9, "b": 0.07, "c": 0.03}, {"a": 1.0, "b": 2.0}, {"big": 0.5, **{f"s{k:03d}": 0.5 / 299 for k in range(299)}}):
+        total, numbers = sum(weights.values()), dict(zip(weights, mixing.whole(list(weights.values()))))
+        done = dict.fromkeys(weights, 0)
+        for n, (s, j, slot, release, deadline) in zip(range(4000), mixing.dealt([(s, k, 10**6) for s, k in numbers.items()], sum(numbers.values()))):
+            assert slot == n and release <= slot < deadline and j == done[s]
+            done[s] += 1
+            assert all(abs(done[s] - w / total * (n + 1)) < 1 + 1e-9 for s, w in weights.items())
+    df = spark.createDataFrame([(i, "a" if i < 2500 else "b") for i in range(7500)], "doc_id long, source string")
+    slots = sorted((p.slot, p.mix_source) for p in mixing.placed(df, {"a": 1.0, "b": 2.0}, 1).collect())
+    assert [n for n, _ in slots] == list(range(7500))
+    ahead = 0
+    for n, s in slots:
+        ahead += s == "a"
+        assert abs(ahead - (n + 1) / 3) < 1
+    many = spark.createDataFrame([(i, f"s{i % 300}") for i in range(3000)], "doc_id long, source string")
+    assert {p.mix_source for p in mixing.placed(many, block_rows=2).collect()} == {f"s{k}" for k in range(300)}
