@@ -501,8 +501,8 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     )
 
 
-def tokens(df: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, lossless) of every document: its ids, and whether they decode to its text."""
+def tokens(df: DataFrame, vocabulary: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids, lossless) of every document: its ids, and whether they decode to its text; and its columns ``also``."""
     v = _Vocabulary(df.sparkSession, vocabulary)
     digest, shared = v.digest, v.shared
 
@@ -519,9 +519,10 @@ def tokens(df: DataFrame, vocabulary: str) -> DataFrame:
                 same.append(d.decode(ids.tolist()) == t)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
-            return [batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(same, pa.bool_())]
+            return [batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(same, pa.bool_()), *(batch.column(c) for c in also)]
 
         return step
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return map_rows(df.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", ["doc_id", "n_tokens", "ids", "lossless"])
+    schema = f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean" + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in also)
+    return map_rows(df.select("doc_id", "text", *also), make, schema, ["doc_id", "n_tokens", "ids", "lossless", *also])

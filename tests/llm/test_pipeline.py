@@ -1,4 +1,5 @@
 import corpus_pipeline
+from chatpack.llm import mixing
 from chatpack.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -26,3 +27,19 @@ def test_an_empty_table_passes(spark):
 def test_queries_have_a_row_for_each_row(spark):
     for name, table in (("op1_bpe", "documents"), ("op2_mixing", "documents"), ("op4_urls", "pages"), ("op9_vectors", "embeddings")):
         assert QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+
+
+def test_rows_of_the_run_carry_their_place_in_the_mix(spark, monkeypatch):
+    inputs = {}
+
+    def seen(name, stage):
+        def wrapped(spark, docs, sf_dir):
+            inputs[name] = docs
+            return stage(spark, docs, sf_dir)
+
+        return name, wrapped
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [seen(*s) for s in corpus_pipeline.STAGES])
+    got = {(r.doc_id, r.slot, r.place) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "slot", "place").collect()}
+    placed = mixing.placed(inputs["mixing"]).select("row.doc_id", "slot", "place").collect()
+    assert got == {tuple(r) for r in placed} and len({r[1:] for r in got}) == len(placed) > 100
