@@ -8,9 +8,11 @@ The rows of a key lie together, sorted by population count, and are compared in
 tiles with numpy exclusive-or and bit counts; a pair of tiles whose population
 counts differ by more than the radius cannot hold a link and is skipped.
 
-A key emits one link for each of its fingerprints at most (to the smallest that it
-is connected with inside the key), so links grow with rows, never with the square of
-a group. Exact copies share a fingerprint and are one row from the start.
+A key of more than ``CELL_ROWS`` rows is cut into parts by a hash, and each pair of parts is a
+cell: a group, and so a task's work, of its own. No key has to fit in one task, and
+each pair of a key's rows meets in a cell. A cell emits one link for each of its
+fingerprints at most (to the smallest that it is connected with inside the cell), so a row
+has a link for each mask, and in a key of n cells' rows n - 1 of them. Exact copies share a fingerprint and are one row from the start.
 
 Wide fingerprints (several lanes of 64 bits) and large radii have no such choice of
 blocks that would keep keys small. There keys are samples of bits: enough of them
@@ -45,6 +47,10 @@ from chatpack.llm.vectors import whole_groups
 SEED = 42
 #: Rows of a tile in the exact comparison, and pairs of tiles that wait to be joined.
 TILE, PENDING = 256, 1_000_000
+#: Rows of the parts of long keys: a cell holds up to twice as many. Rows with sketches are larger.
+CELL_ROWS, CELL_SKETCHES = 65_536, 8_192
+#: The columns that make a group.
+CELL = ["choice", "part", "c1", "c2"]
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -163,12 +169,12 @@ def near_links(classes: DataFrame, radius: int, masks: list[list[int]], spanning
     lanes = len(masks[0])
 
     def compare(batches):
-        for rows, key in whole_groups(batches, 2):
+        for rows, key in whole_groups(batches, len(CELL)):
             x, low = lanes_of(rows, lanes), rows.column("low")
             for a, b in (spanning_links if spanning else star_links)(key, x, radius):
                 yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
 
-    return grouped(keyed(classes.select("fp", "low"), masks), lanes).mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
+    return grouped(keyed(classes.select("fp", "low"), masks), lanes, CELL_ROWS).mapInArrow(compare, "low_a long, fp_a string, low_b long, fp_b string")
 
 
 def keyed(classes: DataFrame, masks: list[list[int]]) -> DataFrame:
@@ -193,9 +199,18 @@ def keyed(classes: DataFrame, masks: list[list[int]]) -> DataFrame:
     return classes.mapInArrow(keys, f"choice int, part long, pop int{columns}")
 
 
-def grouped(rows: DataFrame, lanes: int) -> DataFrame:
-    """``rows`` with those of a key together, by population count."""
-    return rows.repartition("choice", "part").sortWithinPartitions("choice", "part", "pop", *fields_of(lanes))
+def grouped(rows: DataFrame, lanes: int, cell_rows: int) -> DataFrame:
+    """``rows`` with those of a cell together, by population count: keys of up to ``cell_rows`` rows are one cell."""
+    others = [c for c in rows.columns if c not in CELL]
+    large = stored(rows.groupBy("choice", "part").count().where(F.col("count") > cell_rows)
+                   .select("choice", "part", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")))
+    if large.isEmpty():
+        rows = rows.withColumns({"c1": F.lit(0), "c2": F.lit(0)})
+    else:
+        rows = rows.join(F.broadcast(large), ["choice", "part"], "left").withColumn("mine", F.pmod(F.xxhash64(*fields_of(lanes)), F.coalesce("parts", F.lit(1))).cast("int"))
+        every = F.filter(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda k: F.col("parts").isNull() | (k != F.col("mine")))
+        rows = rows.withColumn("with", F.explode(every)).withColumns({"c1": F.least("mine", "with"), "c2": F.greatest("mine", "with")})
+    return rows.select(*CELL, *others).repartition(*CELL).sortWithinPartitions(*CELL, "pop", *fields_of(lanes))
 
 
 def fields_of(lanes: int) -> list[str]:
@@ -221,22 +236,22 @@ def hidden(classes: DataFrame, links: DataFrame, checked: DataFrame, fps: DataFr
     again = stored(classes.join(of, "fp").join(touched, "component_id").select("fp", "low", F.col("component_id").alias("own")))
 
     def apart(batches):
-        for rows, key in whole_groups(batches, 2):
+        for rows, key in whole_groups(batches, len(CELL)):
             x, own, choice = lanes_of(rows, lanes), rows.column("own").to_numpy(), rows.column("choice").to_numpy()
             some = np.zeros(len(x), bool)
             for a, b, _ in pairs_apart(key, own, choice, x, radius, masks):
                 some[a] = some[b] = True
-            yield rows.filter(pa.array(some))
+            yield rows.drop_columns(["c1", "c2"]).filter(pa.array(some))
 
     kind = "choice int, part long, pop int" + "".join(f", {k} long" for k in [*fields, "low", "own"])
-    near = stored(grouped(keyed(again, masks), lanes).mapInArrow(apart, kind))
+    near = stored(grouped(keyed(again, masks), lanes, CELL_ROWS).mapInArrow(apart, kind).distinct())
     name = F.concat(*[F.lpad(F.lower(F.hex(k)), 16, "0") for k in fields])
     # The sketch of a fingerprint is that of its smallest id, as in ``similar``.
     ends = near.select(name.alias("fp"), "low").distinct()
     own = stored(fps.select("fp", F.col("doc_id").cast("long").alias("low"), "sketch").join(ends, ["fp", "low"]).groupBy("fp").agg(F.min("sketch").alias("sketch")))
 
     def check(batches):
-        for rows, key in whole_groups(batches, 2):
+        for rows, key in whole_groups(batches, len(CELL)):
             x, low, sketches = lanes_of(rows, lanes), rows.column("low"), rows.column("sketch")
             label = rows.column("own").to_numpy()
             flat, at = sketches.values.to_numpy(), sketches.offsets.to_numpy()
@@ -245,7 +260,7 @@ def hidden(classes: DataFrame, links: DataFrame, checked: DataFrame, fps: DataFr
             yield pa.RecordBatch.from_arrays([low.take(pa.array(a)), hex_names(x[a]), low.take(pa.array(b)), hex_names(x[b])], names=["low_a", "fp_a", "low_b", "fp_b"])
 
     both = near.withColumn("fp", name).join(own, "fp").select("choice", "part", "pop", *fields, "low", "own", "sketch")
-    return grouped(both, lanes).mapInArrow(check, "low_a long, fp_a string, low_b long, fp_b string")
+    return grouped(both, lanes, CELL_SKETCHES).mapInArrow(check, "low_a long, fp_a string, low_b long, fp_b string")
 
 
 def pairs_apart(key: np.ndarray, own: np.ndarray, choice: np.ndarray, x: np.ndarray, radius: int, masks: list[list[int]]):

@@ -180,3 +180,28 @@ def test_only_checked_pairs_join():
     a, b = simhash.verified(zero, own, zero, x, 51, [[0, 0, 0, 0]], lambda i, j: (i, j) in good)
     pairs = list(zip(a.tolist(), b.tolist()))
     assert set(pairs) <= good and unions(700, pairs) == unions(700, [p for p in good if p[0] != p[1]])
+
+
+def test_long_keys_are_cut_into_cells(spark, monkeypatch):
+    """No group holds more than about two parts of a key, and links connect the same as with whole keys."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 20)
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 1 << 40, 300, dtype=np.uint64)
+    x[80:] = x[rng.integers(0, 80, 220)] ^ (np.uint64(1) << rng.integers(0, 40, 220, dtype=np.uint64))
+    x = np.unique(x)
+    classes = spark.createDataFrame([(f"{v:016x}", n) for n, v in enumerate(x.tolist())], "fp string, low long")
+    masks = [[1 << 63], [0b11]]
+    cells = simhash.grouped(simhash.keyed(classes, masks), 1, 20)
+    assert cells.groupBy(*simhash.CELL).count().agg({"count": "max"}).first()[0] <= 75
+    met = cells.select(*simhash.CELL, "low").collect()
+    together = {}
+    for r in met:
+        together.setdefault(tuple(r[:4]), []).append(r.low)
+    pairs = {(r, s) for g in together.values() for r in g for s in g if r < s}
+    assert len(pairs) == len(x) * (len(x) - 1) // 2  # the first mask's one key holds all pairs
+    links = [(i, j) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= 4]
+    for spanning in (False, True):
+        found = [(r.low_a, r.low_b) for r in simhash.near_links(classes, 4, masks, spanning).collect()]
+        assert unions(len(x), found) == unions(len(x), links)
+    monkeypatch.setattr(simhash, "CELL_SKETCHES", 20)
+    test_copies_in_a_large_family_of_looser_likeness_are_found(spark, monkeypatch)
