@@ -1,26 +1,36 @@
 """Near-duplicate vectors by p-stable hashing and exact cosine checks.
 
-Vectors are scaled to length 1. Each of ``tables`` hash tables rounds ``hashes`` random
-projections, shifted at random, to multiples of ``width`` (the projections are Gaussian,
-which is stable for Euclidean distance). At a cosine of 0.93 the distance is 0.374; two
-such vectors agree in one projection with a probability of 0.80, in all 10 of a table with
-0.11, and so in one of 32 tables with 0.975; at 0.98, with over 0.9999. Pairs
-that meet are checked by their cosine in double precision, so no link is below the bound.
-
-Equal vectors of a label become one row with a count before they are hashed. A bucket
-emits one row for each of its vectors at most: how many vectors it links with (each
-pair counts in the first table in which it meets) and the smallest it is connected
+Vectors are scaled to length 1. Each of a number of hash tables rounds random projections,
+shifted at random, to multiples of ``width`` (the projections are Gaussian, which is stable
+for Euclidean distance); vectors with the same roundings share a bucket. At a cosine of 0.93
+the distance is 0.374, and two such vectors agree in one projection with a probability of 0.80.
+The number of projections follows the rows of the largest label, so that a bucket holds few
+vectors that are not near, and the number of tables follows the projections, so that a pair at
+the bound meets in some table with the probability ``RECALL``. The tables grow with about the
+fourth root of the rows.
+
+Vectors themselves are not sent to the buckets: a row of a bucket is its key, the vector's number
+and 64 sign bits of further projections. Only rows that share their bucket with one whose sign
+bits are near, and all rows of buckets of more than ``TILE_ROWS``, then meet with their vectors.
+There pairs are checked by their cosine in double precision, so no link is below the bound.
+
+Equal vectors of a label become one class with a count and a number of its own. A bucket
+emits one row for each of its classes at most: how many vectors it links with (each
+pair counts in the first table in which it meets) and the smallest class it is connected
 with. Buckets of more than ``TILE_ROWS`` rows are cut into tiles, and each pair of
 tiles is a piece of work of its own, so no bucket has to fit in one task.
 
 Defined results: vectors that are null, zero or hold null, NaN or infinite parts, and
 vectors without a label, link with nothing: no links, their own component, kept. Vectors
 of different lengths do not link. Rows with equal vec_id count as vectors of their own
-with one name. An empty table gives an empty table. Other columns are not read.
+with one name; equal ones are one class, others have links and components of their own.
+A null vec_id links with nothing. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +38,31 @@ from pyspark.sql import functions as F
 
 from chatpack.llm.components import connected_components, stored
 
-COSINE, WIDTH, HASHES, TABLES, SEED = 0.93, 1.5, 10, 32, 11
+COSINE, WIDTH, SEED = 0.93, 1.5, 11
+#: Projections of a table at least, others that a bucket holds on average, and pairs at the bound that meet.
+HASHES, OTHERS, RECALL = 10, 4.0, 0.98
+#: Sign bits of a row, and the deviations of their number that differs which count as near.
+SIGNS, DEVIATIONS = 64, 4.0
 #: Rows of a bucket that are compared in one piece of work.
 TILE_ROWS = 4096
 #: Buckets that are cut are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
 
+def agreement(distance: float, width: float) -> float:
+    """Probability that one rounded projection of two points at a distance is equal."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+
+
+def tables_for(rows: int, cosine: float = COSINE, width: float = WIDTH) -> tuple[int, int]:
+    """(projections of a table, tables) for ``rows`` vectors that may link."""
+    far = -math.log(agreement(math.sqrt(2), width))
+    hashes = max(HASHES, math.ceil(math.log(max(rows, 1) / OTHERS) / far))
+    met = agreement(math.sqrt(2 - 2 * cosine), width) ** hashes
+    return hashes, math.ceil(math.log(1 - RECALL) / math.log1p(-met))
+
+
 class PStable:
     """The hash tables for vectors of one length."""
 
@@ -45,6 +73,11 @@ class PStable:
         self.shift = rng.uniform(0, width, tables * hashes)
         self.width = width
         self.mix = rng.integers(1, 1 << 62, hashes, dtype=np.int64) | 1
+        self.sides = rng.standard_normal((size, SIGNS))
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """For each vector on which sides of random planes it lies, as the bits of a number."""
+        return np.packbits(unit @ self.sides > 0, axis=1).view(np.int64)[:, 0]
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """A row for each vector with its key in every table."""
@@ -63,49 +96,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def link_counts(classes: DataFrame, cosine=COSINE, width=WIDTH, hashes=HASHES, tables=TABLES, tile_rows=TILE_ROWS) -> DataFrame:
-    """(low, links, root) from distinct vectors ``classes`` (label, size, low, copies, embedding).
+def link_counts(classes: DataFrame, cosine: float, width: float, hashes: int, tables: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(cid, links, root) from distinct vectors ``classes`` (cid, label, size, copies, embedding).
 
     A row of ``classes`` appears in the result once for each bucket in which it has links
-    of its own or a smaller connected vector; links add up over the rows.
+    of its own or a smaller connected class; links add up over the rows.
     """
-    kind = classes.schema["embedding"].dataType.simpleString()
 
     def keyed(batches):
         made: dict[int, PStable] = {}
         for batch in batches:
-            sizes = batch.column("size").to_numpy()
+            sizes, salt = batch.column("size").to_numpy(), batch.column("salt").to_numpy()
             for size in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == size))
+                own = sizes == size
+                part = batch.filter(pa.array(own))
                 if size not in made:
                     made[size] = PStable(size, width, hashes, tables)
-                keys = made[size].keys(_unit(_matrix(part.column("embedding")), size))
+                unit = _unit(_matrix(part.column("embedding")), size)
+                keys, signs, cid = made[size].keys(unit), pa.array(made[size].signs(unit)), part.column("cid")
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(part.num_rows, t, np.int32)), pa.array(np.ascontiguousarray(keys[:, t])), *part.columns],
-                        names=["tab", "key", *part.schema.names])
-
-    rows = classes.select("label", "size", "low", "copies", "embedding").mapInArrow(
-        keyed, f"tab int, key long, label {classes.schema['label'].dataType.simpleString()}, size int, low long, copies long, embedding {kind}")
-    bucket = ["label", "size", "tab", "key"]
-    large = stored(rows.groupBy(*bucket).count().where(F.col("count") > tile_rows)
-                   .select(*bucket, F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")))
+                    # Rows of different labels, sizes or tables rarely share a key; where they do, the comparison tells them apart.
+                    key = (keys[:, t] ^ salt[own]) * np.int64(0x5851F42D4C957F2D) + np.int64(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(part.num_rows, t, np.int16)), signs, cid], names=["key", "tab", "signs", "cid"])
+
+    rows = classes.select("size", F.xxhash64("label", "size").alias("salt"), "cid", "embedding").mapInArrow(keyed, "key long, tab short, signs long, cid long")
+    large = stored(rows.groupBy("key").count().where(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")))
     n_large = large.count()
+    if 0 < n_large <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    few = rows.join(large, "key", "left_anti") if n_large else rows
+    radius = sign_radius(cosine)
+
+    def met(batches):
+        for part, group in whole_groups(batches, 1):
+            yield part.select(["key", "tab", "cid"]).filter(pa.array(_with_partner(part.column("signs").to_numpy().view(np.uint64), group, radius)))
+
+    cells = (
+        few.repartition("key").sortWithinPartitions("key").mapInArrow(met, "key long, tab short, cid long")
+        .withColumns({"own": F.lit(0), "c1": F.lit(0), "c2": F.lit(0)})
+    )
     if n_large:
-        if n_large <= BROADCAST_ROWS:
-            large = F.broadcast(large)
-        rows = rows.join(large, bucket, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        own = F.pmod(F.xxhash64("low"), F.col("tiles")).cast("int")
+        own = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
         others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, own).alias("c1"), F.greatest(k, own).alias("c2")))
-        rows = rows.withColumn("own", own).withColumn("cell", F.explode(others)).select("*", "cell.c1", "cell.c2").drop("cell", "tiles")
-    else:
-        rows = rows.withColumns({"own": F.lit(0), "c1": F.lit(0), "c2": F.lit(0)})
-    cell = [*bucket, "c1", "c2"]
-    rows = rows.select(*cell, "own", "low", "copies", "embedding").repartition(*cell).sortWithinPartitions(*cell, "low")
+        many = rows.join(large, "key").select("key", "tab", "cid", own.alias("own"), F.explode(others).alias("cell"))
+        cells = cells.unionByName(many.select("key", "tab", "cid", "own", "cell.c1", "cell.c2"))
+    group_of = ["key", "tab", "label", "size", "c1", "c2"]
+    whole = stored(cells).join(classes, "cid").select(*group_of, "own", "cid", "copies", "embedding").repartition(*group_of).sortWithinPartitions(*group_of, "cid")
 
     def compare(batches):
         made: dict[int, PStable] = {}
-        for part, group in whole_groups(batches, len(cell)):
+        for part, group in whole_groups(batches, len(group_of)):
             sizes = part.column("size").to_numpy()
             for size in np.unique(sizes).tolist():
                 if size not in made:
@@ -113,9 +153,36 @@ def link_counts(classes: DataFrame, cosine=COSINE, width=WIDTH, hashes=HASHES, t
                 own = sizes == size
                 out = _links(part.filter(pa.array(own)), group[own], made[size], cosine)
                 if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["low", "links", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["cid", "links", "root"])
+
+    return whole.mapInArrow(compare, "cid long, links long, root long")
+
 
-    return rows.mapInArrow(compare, "low long, links long, root long")
+def sign_radius(cosine: float) -> int:
+    """Sign bits that differ between vectors at the bound, and ``DEVIATIONS`` more."""
+    p = math.acos(cosine) / math.pi
+    return math.ceil(SIGNS * p + DEVIATIONS * math.sqrt(SIGNS * p * (1 - p)))
+
+
+def _with_partner(signs: np.ndarray, group: np.ndarray, radius: int, step: int = 1024) -> np.ndarray:
+    """Which rows have another one in their group within the radius."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(first, len(group)))
+    out, small = np.zeros(len(group), bool), 48
+    for at, n in zip(first[count > small].tolist(), count[count > small].tolist()):
+        for a in range(at, at + n, step):
+            x = slice(a, min(a + step, at + n))
+            near = np.bitwise_count(signs[x, None] ^ signs[None, at : at + n]) <= radius
+            out[x] |= near.sum(axis=1) > 1
+    few = np.flatnonzero(np.repeat(count <= small, count))
+    own, bits = group[few], signs[few]
+    for d in range(1, small):
+        k = np.flatnonzero(own[d:] == own[:-d])
+        if not len(k):
+            break
+        k = k[np.bitwise_count(bits[k] ^ bits[k + d]) <= radius]
+        out[few[k]] = out[few[k + d]] = True
+    return out
 
 
 def whole_groups(batches, n_keys: int):
@@ -183,7 +250,7 @@ def _near_pairs(unit: np.ndarray, group: np.ndarray, cosine: float, small: int =
 
 def _links(rows: pa.RecordBatch, group: np.ndarray, tables: PStable, cosine: float):
     """Links counted in the first table of each pair, and a star to the smallest of each connected set."""
-    low, copies, tab, own = (rows.column(k).to_numpy() for k in ("low", "copies", "tab", "own"))
+    cid, copies, tab, own = (rows.column(k).to_numpy() for k in ("cid", "copies", "tab", "own"))
     apart = rows.column("c1").to_numpy() != rows.column("c2").to_numpy()
     unit = _unit(_matrix(rows.column("embedding")), rows.column("size")[0].as_py())
     i, j = _near_pairs(unit, group, cosine)
@@ -198,7 +265,7 @@ def _links(rows: pa.RecordBatch, group: np.ndarray, tables: PStable, cosine: flo
         meet = keys[where[: len(i)][s]] == keys[where[len(i) :][s]]
         first[s] = ~(meet & (np.arange(keys.shape[1]) < tab[i[s], None])).any(axis=1)
     i, j = i[first], j[first]
-    links, root = np.zeros(len(low), np.int64), np.arange(len(low))
+    links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
     while True:
@@ -210,25 +277,33 @@ def _links(rows: pa.RecordBatch, group: np.ndarray, tables: PStable, cosine: flo
         if np.array_equal(before, root):
             break
     some = np.flatnonzero(links)
-    return low[some], links[some], low[root[some]]
+    return cid[some], links[some], cid[root[some]]
 
 
-def near_duplicates(vectors: DataFrame, cosine=COSINE, width=WIDTH, hashes=HASHES, tables=TABLES, tile_rows=TILE_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: float = WIDTH, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     item = F.col("embedding")
     finite = F.forall(item, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    usable = F.col("label").isNotNull() & item.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(item, lambda x: x != 0)
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & item.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(item, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", F.coalesce(usable, F.lit(False)).alias("usable"))
-    good = rows.where("usable and vec_id is not null")
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-                     .withColumn("size", F.size("embedding")))
+    # Equal vectors have equal names: 128 bits of hashes stand for a vector in shuffles.
+    named = rows.where("usable").select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
+    name = ["label", "h1", "h2"]
+    classes = stored(
+        named.groupBy(*name).agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+        .withColumns({"cid": F.monotonically_increasing_id(), "size": F.size("embedding")})
+    )
+    rows_of_label = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    hashes, tables = tables_for(rows_of_label, cosine, width)
     found = stored(link_counts(classes, cosine, width, hashes, tables, tile_rows))
-    totals = found.groupBy("low").agg(F.sum("links").alias("links"))
-    cc = connected_components(found.select(F.col("low").alias("a"), F.col("root").alias("b")))
-    by_class = stored(
-        classes.join(totals, "low", "left").join(cc.select(F.col("node").alias("low"), "component"), "low", "left")
-        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
+    totals = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    cc = stored(connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid"))
+    # A component is named after the smallest vec_id of its classes.
+    names = cc.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("component_id"))
+    by_class = (
+        classes.select(*name, "cid", "low", "copies").join(totals, "cid", "left").join(cc, "cid", "left").join(names, "component", "left")
+        .select(*name, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     )
-    linked = good.select("vec_id", "label", "embedding").join(by_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = named.select("vec_id", *name).join(stored(by_class), name).select("vec_id", "n_links", "component_id")
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

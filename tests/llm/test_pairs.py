@@ -153,6 +153,38 @@ def test_vectors(spark, tile_rows):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_name_count_for_themselves(spark):
+    a, b, c, d = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.99, 0.05, 0.0], [0.0, 0.99, -0.05, 0.0]
+    rows = [(1, a), (2, [0.99, 0.05, 0.0, 0.0]), (1, b), (3, c), (4, d), (1, a), (None, a)]
+    df = spark.createDataFrame([(i, v, "x", 7) for i, v in rows], "vec_id long, embedding array<double>, label string, cid int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_vectors_at_the_bound_are_found(spark):
+    """Recall of pairs at cosines from 0.93 to 0.95, by brute force, in labels of uneven size."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.93, 0.95, 1500)[:, None]
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * side])
+    label = np.tile(np.where(rng.random(1500) < 0.4, 0, rng.integers(1, 6, 1500)), 2)
+    df = spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(both.tolist(), label))], "vec_id long, embedding array<double>, label int")
+    near = (both @ both.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert sum(got.values()) >= 0.95 * near.sum() > 2000
+
+
+def test_tables_follow_the_rows():
+    sizes = [vectors.tables_for(n) for n in (0, 1_000, 100_000, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0][0] == vectors.HASHES < sizes[-1][0] and sizes[-1][1] < 500
+
+
 def test_copies_in_a_large_family_of_looser_likeness_are_found(spark, monkeypatch):
     """A key of more than a tile whose pairs are within the radius but not alike does not hide real copies."""
     monkeypatch.setattr(simhash, "COPY_BITS", 0)  # one key for all, as a key of a much larger family
