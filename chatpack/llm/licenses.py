@@ -2,38 +2,47 @@
 
 Every rolling word k-gram of every document is hashed and joined with the positions of
 equal k-grams in the license templates. A match votes for a diagonal, the document
-position minus the template position. A diagonal on which all of a phrase's k-grams
-vote is a place of the phrase. For longer templates, diagonals next to each other are
-merged (words may be added or lost), and a template whose k-grams voted for enough is
-found there. Spans are verified as they are found: a vote counts only if the words of
-both k-grams are equal, so a full diagonal is the phrase word for word, and a
-template's share of votes is a share of its own words in order.
-
-The templates are configuration of a fixed size, so their k-grams are broadcast. Neither
-texts nor a document's k-grams are shuffled, only the few votes, and a row of ids and a
-word count for each document. Votes are bit sets, so repeated rows of a document count
-once and still give each row its result.
+position minus the template position. A diagonal on which all of a template's k-grams
+vote is a place of it word for word. Of the other diagonals, neighbouring ones are merged
+(words may be added or lost), and each stretch of merged diagonals that are not further
+apart than added words can put them is verified: the template's and the document's words that voted are
+aligned in order, and the aligned words must be a given share of both the template and the
+span they lie in. So k-grams of a template that are scattered over a text, or out of order, are no place.
+Phrases count only word for word.
+
+The templates are configuration of a fixed size, so their k-grams are broadcast. One pass over the
+texts keeps the k-grams of which a template has the same words, as hashes; neither texts nor other
+k-grams leave it. What is found is stored with a number for each row, so that repeated rows
+are rows of their own, and the votes of that table are few.
 
 Defined results: a null or empty text has no words, no places and no labels; texts of
-fewer words than a k-gram have no votes; a null id is a value like any other;
-an empty table gives an empty table. Only doc_id and text are read.
+fewer words than a k-gram have no votes; a null id is a value like any other; texts are read whole, and
+templates have any length from a k-gram's up; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatpack.llm.arrow import pieces, raw_texts
+from chatpack.llm.components import stored
+from chatpack.llm.vectors import whole_groups
+
 K = 3
-#: Diagonals at most so far apart are merged.
+#: Diagonals at most so far apart are merged, whatever the template's length.
 GAP = 3
-#: Share of a template's k-grams that must vote.
+#: Share of a template's words, and of a span's, that must be aligned.
 SIMILARITY = 0.8
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @dataclass(frozen=True)
@@ -66,84 +75,214 @@ SENTENCES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
     Template("all-rights-reserved", "all rights reserved"),
 )
+WHOLE = (
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+        OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution."""),
+    Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means."""),
+    Template("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions"""),
+    Template("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License."""),
+    Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+)
+TEMPLATES = PHRASES + SENTENCES + WHOLE
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of UTF-8 text with A-Z lower-cased."""
+    return _WORD.findall(text.lower())
+
+
+def gram_hash(words: list[bytes]) -> int:
+    """A k-gram's 64-bit hash, signed."""
+    h = xxhash.xxh64_intdigest(b" ".join(words))
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Grams:
+    """The k-grams of the templates, found in the words of a text."""
+
+    def __init__(self, templates: tuple[Template, ...]):
+        texts = [words_of(t.text.encode()) for t in templates]
+        if min(map(len, texts)) < K:
+            raise ValueError(f"templates have {K} words at least")
+        self.sizes = [len(w) for w in texts]
+        self.number: dict[bytes, int] = {}
+        for w in texts:
+            for x in w:
+                self.number.setdefault(x, len(self.number))
+        #: (hash, template, position) of each k-gram, and its hash by its code.
+        self.rows, own = [], {}
+        for t, w in enumerate(texts):
+            codes = self.codes(np.array([self.number[x] for x in w], np.int64))
+            for k, code in enumerate(codes.tolist()):
+                own[code] = gram_hash(w[k : k + K])
+                self.rows.append((own[code], t, k))
+        self.known = np.array(sorted(own), np.int64)
+        self.hashes = np.array([own[c] for c in sorted(own)], np.int64)
 
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """A number for the words of each k-gram; negative if one of them is in no template."""
+        n = len(ids) - K + 1
+        code, bad = np.zeros(max(n, 0), np.int64), np.zeros(max(n, 0), bool)
+        for k in range(K if n > 0 else 0):
+            code = code * len(self.number) + ids[k : k + n]
+            bad |= ids[k : k + n] < 0
+        return np.where(bad, -1, code)
 
-def words_of(text: Column) -> Column:
-    """Words with A-Z lower-cased; null has none."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN)
-    return F.array_remove(parts, "")
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the k-grams that templates have too."""
+        get = self.number.get
+        code = self.codes(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
+        pos = np.flatnonzero(code >= 0)
+        at = np.searchsorted(self.known, code[pos])
+        hit = self.known[np.minimum(at, len(self.known) - 1)] == code[pos]
+        return pos[hit], self.hashes[at[hit]]
 
 
-def grams(words: Column) -> Column:
-    """The k-gram at each position; ``words`` is a column of a projection below, so that it is made once."""
-    n = F.greatest(F.size(words) - (K - 1), F.lit(0))
-    return F.transform(F.slice(words, 1, n), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, K)]))
+def scanned(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """(doc_id, n_words, pos, hash, row): every row with its template k-grams, stored under a number."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        grams = Grams(templates)
+        for batch in batches:
+            for part in pieces(batch):
+                found = []
+                for text in raw_texts(part, "text"):
+                    words = words_of(text)
+                    found.append((len(words), *grams.find(words)))
+                n, pos, hashes = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(pos, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_words", "pos", "hash"])
 
-def template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
-    """(hash, tpl_gram, tpl, tpl_pos) of all templates, by the same expressions as the documents'."""
-    df = spark.createDataFrame([(i, t.text) for i, t in enumerate(templates)], "tpl int, text string")
-    df = df.withColumn("words", words_of(F.col("text"))).select("tpl", F.posexplode(grams(F.col("words"))).alias("tpl_pos", "tpl_gram"))
-    return df.withColumn("hash", F.xxhash64("tpl_gram"))
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, pos array<long>, hash array<long>")
+    return stored(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def find_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENTENCES, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_words, spans) of every row; spans hold tpl, first and last start, end, share of votes."""
+def aligned(pos: np.ndarray, diagonal: np.ndarray, n_words: int) -> tuple[int, int, float]:
+    """(first word, end, share) of the longest alignment in order of voted words; the share is of the longer of template and span."""
+    steps = np.arange(K)
+    at = (pos[:, None] + steps).ravel()
+    of = (pos[:, None] - diagonal[:, None] + steps).ravel()
+    pairs = np.unique(np.stack([at, -of], axis=1), axis=0)  # by document word; of equal ones the later template word first
+    ends: list[int] = []  # of the best chains of each length, their last template words
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, t in enumerate((-pairs[:, 1]).tolist()):
+        j = bisect_left(ends, t)
+        before[k] = last[j - 1] if j else -1
+        if j == len(ends):
+            ends.append(t)
+            last.append(k)
+        else:
+            ends[j], last[j] = t, k
+    k = last[-1]
+    end = int(pairs[k, 0]) + 1
+    while before[k] >= 0:
+        k = before[k]
+    first = int(pairs[k, 0])
+    return first, end, len(ends) / max(n_words, end - first)
+
+
+def drift(n_words: int, similarity: float) -> int:
+    """Diagonals that words added to a place of a template can put between its votes."""
+    return max(GAP, int(n_words * (1 / similarity - 1)))
+
+
+def verified(diagonal: np.ndarray, votes: list[np.ndarray], n_words: int, similarity: float):
+    """(first, end, share) of the places on merged diagonals, which come in order with the positions that voted."""
+    spread, k = drift(n_words, similarity), 0
+    while k < len(diagonal):
+        to = int(np.searchsorted(diagonal, diagonal[k] + spread, "right"))
+        if K * sum(map(len, votes[k:to])) >= similarity * n_words:
+            first, end, share = aligned(np.concatenate(votes[k:to]), np.repeat(diagonal[k:to], [len(v) for v in votes[k:to]]), n_words)
+            if share >= similarity:
+                yield first, end, share
+                k = to
+                continue
+        k += 1
+
+
+def find_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_words, spans) of every row; spans hold tpl, first word, end and the aligned share."""
     spark = docs.sparkSession
-    sizes = [len(t.text.split()) for t in templates]
-    if max(sizes) - K + 1 > 62 or min(sizes) < K:
-        raise ValueError(f"templates have from {K} to {62 + K - 1} words")
-    pick = lambda values, tpl: F.element_at(F.array(*[F.lit(v) for v in values]), tpl + 1)
-    tpl = F.col("tpl")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"))
-    votes = (
-        keyed.select("doc_id", "__text", words_of(F.col("text")).alias("words"))
-        .select("doc_id", "__text", F.posexplode(grams(F.col("words"))).alias("pos", "gram"))
-        .withColumn("hash", F.xxhash64("gram"))
-        .join(F.broadcast(template_grams(spark, templates)), "hash").where("gram = tpl_gram")
-        .groupBy("doc_id", "__text", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"))
-        .agg(F.expr("bit_or(shiftleft(1L, tpl_pos))").alias("votes"))
-    )
-    # Each phrase keeps its diagonals; of the others, neighbouring ones are merged.
-    by_template = votes.groupBy("doc_id", "__text", "tpl").agg(F.array_sort(F.collect_list(F.struct("diagonal", "votes"))).alias("found"))
-    near = F.when(pick([t.phrase for t in templates], tpl), F.lit(-1)).otherwise(F.lit(GAP))
-    merged = F.aggregate(
-        "found",
-        F.expr("named_struct('done', cast(array() as array<struct<first:int,last:int,votes:bigint>>), 'open', cast(null as struct<first:int,last:int,votes:bigint>))"),
-        lambda acc, x: F.when(
-            acc["open"].isNotNull() & (x["diagonal"] - acc["open"]["last"] <= near),
-            F.struct(acc["done"].alias("done"), F.struct(acc["open"]["first"].alias("first"), x["diagonal"].alias("last"), acc["open"]["votes"].bitwiseOR(x["votes"]).alias("votes")).alias("open")),
-        ).otherwise(
-            F.struct(
-                F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-                F.struct(x["diagonal"].alias("first"), x["diagonal"].alias("last"), x["votes"].alias("votes")).alias("open"),
-            )
-        ),
-        lambda acc: F.concat(acc["done"], F.array(acc["open"])),
+    grams = Grams(templates)
+    seen = scanned(docs, templates)
+    rows = spark.createDataFrame(
+        [(*r, n - K + 1, drift(n, similarity), templates[r[1]].phrase) for r in grams.rows for n in [grams.sizes[r[1]]]], "hash long, tpl int, tpl_pos long, full int, gap int, phrase boolean")
+    diagonals = (
+        seen.select("row", F.explode(F.arrays_zip("pos", "hash")).alias("gram")).select("row", "gram.pos", "gram.hash")
+        .join(F.broadcast(rows), "hash")
+        .groupBy("row", "tpl", "full", "gap", "phrase", (F.col("pos") - F.col("tpl_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("votes"))
     )
-    share = F.bit_count(F.col("run.votes")) / pick([n - K + 1 for n in sizes], tpl)
-    least = pick([1.0 if t.phrase else float(similarity) for t in templates], tpl)
-    spans = (
-        by_template.select("doc_id", "__text", "tpl", F.explode(merged).alias("run"))
-        .select("doc_id", "__text", "tpl", "run.first", F.greatest("run.first", "run.last").alias("last"), share.alias("share"))
-        .where(F.col("share") >= least)
-        .groupBy("doc_id", "__text").agg(F.collect_list(F.struct("tpl", "first", "last", "share")).alias("spans"))
-        .withColumnRenamed("doc_id", "__id").withColumnRenamed("__text", "__key")
+    diagonals = stored(diagonals.where("n = full or not phrase"))
+    places = diagonals.where("n = full").select("row", "tpl", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("full") + K - 1).alias("end"), F.lit(1.0).alias("share"))
+    # Neighbouring diagonals are merged by a running count of the steps between them.
+    by = Window.partitionBy("row", "tpl").orderBy("diagonal")
+    step = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by), F.lit(0))
+    runs = (
+        diagonals.where("n < full").repartition("row", "tpl").withColumn("step", step).withColumn("run", F.sum(F.when(F.col("step") > F.col("gap"), 1).otherwise(0)).over(by))
+        .withColumn("all", F.sum("n").over(Window.partitionBy("row", "tpl", "run")))
+        .where(F.col("all") * K >= (F.col("full") + K - 1) * F.lit(float(similarity)))
+        .select("row", "tpl", "run", "diagonal", "votes").repartition("row", "tpl").sortWithinPartitions("row", "tpl", "run", "diagonal")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
-    none = F.expr("cast(array() as array<struct<tpl:int,first:int,last:int,share:double>>)")
-    counted = keyed.select("doc_id", "__text", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(spans, same, "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
+
+    def verify(batches):
+        for part, group in whole_groups(batches, 3, alone=True):
+            diagonal, tpl = part.column("diagonal").to_numpy(), part.column("tpl").to_numpy()
+            votes = [np.sort(v.values.to_numpy()) for v in part.column("votes")]
+            edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+            out = [(a, *x) for a, b in zip(edges, edges[1:]) for x in verified(diagonal[a:b], votes[a:b], grams.sizes[tpl[a]], similarity)]
+            if out:
+                at, first, end, share = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(pa.array(at)), part.column("tpl").take(pa.array(at)), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(share)],
+                    names=["row", "tpl", "first", "end", "share"])
+
+    spans = places.union(runs.mapInArrow(verify, "row long, tpl int, first long, end long, share double"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "end", "tpl", "share"))).alias("spans"))
+    none = F.expr("cast(array() as array<struct<first:bigint,end:bigint,tpl:int,share:double>>)")
+    return seen.select("row", "doc_id", "n_words").join(spans, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
 
 
-def digests(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + SENTENCES) -> DataFrame:
+def digests(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Word and place counts, and the labels of the phrases and of all templates, of every document."""
     phrase = [t.phrase for t in templates]
     is_phrase = lambda s: F.element_at(F.array(*[F.lit(x) for x in phrase]), s["tpl"] + 1)
     label = lambda s: F.element_at(F.array(*[F.lit(t.label) for t in templates]), s["tpl"] + 1)
     listed = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, label))), ",")
     found = find_spans(docs, templates).withColumn("base", F.filter("spans", is_phrase))
-    starts = F.transform("base", lambda s: s["first"].cast("long"))
+    starts = F.transform("base", lambda s: s["first"])
     return found.select(
         "doc_id",
         "n_words",

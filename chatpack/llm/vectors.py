@@ -185,8 +185,8 @@ def _with_partner(signs: np.ndarray, group: np.ndarray, radius: int, step: int =
     return out
 
 
-def whole_groups(batches, n_keys: int):
-    """Stretches of whole groups of a stream sorted by its first columns, with group numbers; groups of one row are left out.
+def whole_groups(batches, n_keys: int, alone: bool = False):
+    """Stretches of whole groups of a stream sorted by its first columns, with group numbers; groups of one row only if ``alone``.
 
     Rows of a group that goes on into the next batch are carried over to it.
     """
@@ -201,17 +201,17 @@ def whole_groups(batches, n_keys: int):
             last &= k == k[-1]
         first = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
         if first:
-            yield from _numbered([*held, batch.slice(0, first)], n_keys)
+            yield from _numbered([*held, batch.slice(0, first)], n_keys, alone)
             held = []
         elif end is not None and tuple(k[0] for k in keys) != end:
-            yield from _numbered(held, n_keys)
+            yield from _numbered(held, n_keys, alone)
             held = []
         held.append(batch.slice(first))
         end = tuple(k[-1] for k in keys)
-    yield from _numbered(held, n_keys)
+    yield from _numbered(held, n_keys, alone)
 
 
-def _numbered(parts: list[pa.RecordBatch], n_keys: int):
+def _numbered(parts: list[pa.RecordBatch], n_keys: int, alone: bool):
     if not parts:
         return
     rows = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -220,7 +220,7 @@ def _numbered(parts: list[pa.RecordBatch], n_keys: int):
         x = rows.column(k).to_numpy(zero_copy_only=False)
         new[1:] |= x[1:] != x[:-1]
     group = np.cumsum(new)
-    shared = np.bincount(group)[group] > 1
+    shared = np.bincount(group)[group] > (0 if alone else 1)
     if shared.any():
         yield rows.filter(pa.array(shared)), group[shared]
 

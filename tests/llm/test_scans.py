@@ -76,6 +76,30 @@ def test_licenses(spark):
     assert {r.doc_id: r.labels for r in got}[len(docs) - 2] == "mit"
 
 
+def test_license_spans_are_verified(spark):
+    """Scattered or shuffled k-grams are no place; edited whole licenses, and places one after the other, are."""
+    mit = next(t.text for t in licenses.WHOLE if t.label == "mit")
+    unlicense = next(t.text for t in licenses.SENTENCES if t.label == "unlicense")
+    w = unlicense.split()
+    scattered = " x ".join(" ".join(w[k : k + 3]) for k in range(len(w) - 2))
+    edited = mit.split()
+    for k in range(10, len(edited), 17):
+        edited[k] = "changed"
+    edited[70:70] = "some words of another author".split()
+    half = " ".join(mit.split()[:80])
+    docs = [scattered, " ".join(edited), half, f"{unlicense}. {unlicense}", " ".join(reversed(w)), "all rights reserved " * 3, "cc by nc " * 50_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, row string")
+    got = {r.doc_id: r for r in licenses.digests(df).collect()}
+    assert [got[i].labels for i in range(7)] == ["", "mit", "mit", "unlicense", "", "all-rights-reserved", "cc-by-nc"]
+    assert got[0].score == 0 and 0.8 <= got[1].score < 1 and got[3].score == 1
+    assert (got[6].n_base, got[6].first_word, got[6].last_word) == (50_000, 0, 149_997)
+    spans = {r.doc_id: r.spans for r in licenses.find_spans(df).collect()}
+    whole = [s for s in spans[1] if licenses.TEMPLATES[s.tpl] in licenses.WHOLE]
+    assert len(whole) == 1 and whole[0].first == 0 and abs(whole[0].end - len(edited)) <= 12  # words such as and/or are two
+    assert [(s.first, s.end) for s in spans[5]] == [(0, 3), (3, 6), (6, 9)]
+    assert licenses.digests(df.limit(0)).count() == 0
+
+
 def test_quality_rules(spark):
     good = [f"the cat number {i} sat near door {i} and said hello to friend {i} of mine." for i in range(60)]
     junk = [f"BUY*** NOW$$$ CLICK### {i}%%% FREE&&& CASH*** WIN$$$ BIG### DEAL%%% {i}$$$ HOT***" for i in range(30)]
