@@ -57,6 +57,52 @@ def test_url_models_separate_what_they_learned(spark):
     assert got == {1000: "block", 1001: "allow"}
 
 
+def test_url_scores_are_those_of_plain_models(spark):
+    """Every score is that of models counted character by character over all labelled urls, whatever the blocks."""
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, f"http://{rng.choice('abc')}{rng.choice(['x', 'yy'])}.{rng.choice(['org/en', 'com/fr', 'com/de', 'net'])}/{rng.randrange(40)}") for i in range(120)] + [(500, None), (501, "é")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    label = {r.url: r.label for r in urls.with_rule(df, URL_RULES).collect()}
+    n = [{}, {}]
+    for _, u in rows:
+        if label[u] is not None:
+            t = b"\x02" * 4 + u.encode() + b"\x03"
+            for i in range(4, len(t)):
+                for k in range(5):
+                    for key in ((t[i - k : i], t[i]), t[i - k : i]):
+                        n[label[u]][key] = n[label[u]].get(key, 0) + 1
+
+    def score(u):
+        t, out = b"\x02" * 4 + (u or "").encode() + b"\x03", 0.0
+        for i in range(4, len(t)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                p = [(n[m].get((t[i - k : i], t[i]), 0) + 2 * p[m]) / (n[m].get(t[i - k : i], 0) + 2) for m in (0, 1)]
+            out += np.log(p[1] / p[0])
+        return out / (len(t) - 4)
+
+    for block_rows in (100_000, 7):
+        got = urls.judge(df, URL_RULES, block_rows).collect()
+        expected = sorted((str(i), score(u)) for i, u in rows)
+        assert np.allclose([s for _, s in sorted((str(r.page_id), r.score) for r in got)], [s for _, s in expected])
+
+
+def test_url_rules_by_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["org", "a.org", "example.org", "x.Example.ORG", "com", "b.com", "borg", "xcom", "net", ""]
+    rows = [f"{rng.choice(['http://', 'x://', '', '://'])}{rng.choice(hosts)}{rng.choice(['/', '?', '#', ''])}{rng.choice(['es/1', 'en/1', 'en/2', 'fr/', 'de/', 'es', 'a?/de/'])}" for _ in range(300)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.label) for r in urls.with_rule(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), URL_RULES).collect()}
+    for i, u in enumerate(rows):
+        host = path = ""
+        if "://" in u:
+            rest = u[u.index("://") + 3 :]
+            cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+            host, tail = rest[:cut].lower(), rest[cut:]
+            path = tail[: min([tail.index(c) for c in "?#" if c in tail], default=len(tail))]
+        fits = [(h + p, int(v == "allow")) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (host, path, *max(fits, key=lambda r: len(r[0]), default=(None, None)))
+
+
 def test_licenses(spark):
     lower = {ord(c): c.lower() for c in string.ascii_uppercase}
     rng = random.Random(3)
