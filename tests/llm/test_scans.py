@@ -149,22 +149,45 @@ def test_license_spans_are_verified(spark):
 def test_quality_rules(spark):
     good = [f"the cat number {i} sat near door {i} and said hello to friend {i} of mine." for i in range(60)]
     junk = [f"BUY*** NOW$$$ CLICK### {i}%%% FREE&&& CASH*** WIN$$$ BIG### DEAL%%% {i}$$$ HOT***" for i in range(30)]
-    rows = list(enumerate(good + junk + [None, "", "one two", "a b c d e " * 20]))
+    rows = list(enumerate(good + junk + [None, "", "one two", "a b c d e " * 20, "x y\n\n x y\nz\n \nz\r\n<a> #1 | é"]))
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, bucket string")
-    trusted = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long")
-    got = {r.doc_id: r for r in quality_rules.score_documents(df, trusted).collect()}
+    trusted = spark.createDataFrame([(i,) for i in range(30)] + [(None,), (500,)], "doc_id long")
+    got = {r.doc_id: r for r in quality_rules.score_documents(df, trusted, 1 << 20).collect()}
+    counts = [{}, {}]
+    texts = {i: (t or "").split() for i, t in rows}
+    both = lambda w: [*((x,) for x in w), *zip(w, w[1:])]
+    for i, w in texts.items():
+        for g in both(w):
+            for m in (0, 1) if i < 30 else (0,):
+                counts[m][g] = counts[m].get(g, 0) + 1
+    share = sum(counts[1].values()) / sum(counts[0].values())
     for i, t in rows:
-        w = (t or "").split()
+        w = texts[i]
         windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
         again = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)}
-        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        plain = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), sum(x in lines[:k] for k, x in enumerate(lines)), len(again))
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == plain
         assert got[i].base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w))
-    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 94))
-    shuffled = quality_rules.count_grams(df, trusted.union(trusted), most=0)
-    assert sorted(shuffled.collect()) == sorted(quality_rules.count_grams(df, trusted).collect())
-    kept = quality_rules.filter_documents(df, trusted)
+        score = np.mean([np.log((counts[1].get(g, 0) + 10) / (counts[0][g] * share + 10)) for g in both(w)]) if w else 0.0
+        assert abs(got[i].score - score) < 0.01
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 95))
+    kept = quality_rules.filter_documents(df, trusted, 1 << 20)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60)) and kept.columns == df.columns
-    assert quality_rules.score_documents(df.limit(0), trusted.limit(0)).count() == 0
+    # Beyond the broadcast bounds of ids and of buckets, results are the same.
+    expected = sorted(map(str, got.values()))
+    for most, dense in ((0, 1 << 22), (10**6, 16), (0, 16)):
+        assert sorted(map(str, quality_rules.score_documents(df, trusted, 1 << 20, most, dense).collect())) == expected
+    assert sorted(r.doc_id for r in quality_rules.filter_documents(df, trusted, 1 << 20, 0, 16).collect()) == list(range(60))
+    for most, dense in ((10**6, 1 << 22), (0, 16)):
+        assert quality_rules.score_documents(df.limit(0), trusted.limit(0), 1 << 20, most, dense).count() == 0
+        alone = quality_rules.score_documents(df, trusted.limit(0), 1 << 20, most, dense).collect()
+        assert all(r.score == 0 and r.kept == (not r.base_failed) for r in alone)
+
+
+def test_buckets_grow_with_the_table(spark):
+    of = lambda n: quality_rules.buckets_for(spark.range(n).selectExpr("repeat('word ', 1000) as text"))
+    assert of(0) <= of(10) < of(100) < of(10_000)
 
 
 def test_trees_match_a_walk_row_by_row():
