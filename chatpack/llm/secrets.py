@@ -5,14 +5,16 @@ strings in a sensitive context (a word such as key, secret or credential shortly
 before them) that are not explained by what is known: a compressor primed with a
 dictionary of identifiers measures how many bytes the candidate adds to its
 surrounding text. A string that adds nearly a byte for each character is no word, no
-identifier and no copy of its surroundings, and is reported as ``novel``.
+identifier and no copy of its surroundings, and is reported as ``novel``. Long strings are measured in pieces,
+each after the ones before it; they, and hex digits, which hold fewer bits, need to add fewer bytes. Further
+occurrences of a string that was reported are reported too, though they add nothing to what stands before them.
 
 The dictionary holds common words of code and the names that are assigned to most
 often in all documents of the table. Names are counted with a map-side sum; the
 dictionary takes as many of the most frequent as fit its size, which bounds what
 the driver gets and broadcasts.
 
-Defined results: a null text counts as empty and has no spans; texts are scanned
+Defined results: a null text counts as empty and has no spans; a null id is a value like any other; texts are scanned
 whole, so a span may lie anywhere; repeated rows give repeated results; an empty table
 gives an empty table. Offsets are code points, ends are exclusive. Other columns are
 not read by the scan, and stay as they are when text is redacted.
@@ -21,6 +23,7 @@ not read by the scan, and stay as they are when text is redacted.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 
 import pyarrow as pa
 import zstandard
@@ -40,15 +43,18 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 ACCESS_CHARS = 18
 HEX = re.compile("[0-9a-f]{16,}")
 
-#: Sensitive words, as parts of a name, and what may stand between them and a candidate.
+#: Sensitive words, as parts of a name, and what may stand between them and a candidate. Only the word
+#: is consumed, so that a candidate may itself hold the word before the next one.
 CONTEXT = re.compile(
     r"(?:[kK][eE][yY]|SECRET|[sS]ecret|TOKEN|[tT]oken|PASS|[pP]ass(?:word|wd|phrase)|[pP]wd|PWD|[aA]uth(?:orization)?\b|AUTH|[cC]redential|[bB]earer|[sS]ignature|PRIVATE|[pP]rivate)"
-    r"[A-Za-z0-9_.-]{0,24}[\"']?\s{0,4}(?:[:=]{1,2}|=>|\bis\b|\bwith\b|\s)\s{0,4}[\"'<(]?([A-Za-z0-9+/_.=~$-]{12,})"
+    r"(?=[A-Za-z0-9_.-]{0,24}[\"']?\s{0,4}(?:[:=]{1,2}|=>|\bis\b|\bwith\b|\s)\s{0,4}[\"'<(]?([A-Za-z0-9+/_.=~$-]{12,}))"
 )
-#: Characters around a candidate that the compressor knows.
-BEFORE, AFTER = 256, 64
-#: Bytes that a candidate must add for each of its characters.
-NOVELTY = 0.9
+#: Characters around a candidate that the compressor knows, and of the pieces of long candidates.
+BEFORE, AFTER, PIECE = 256, 64, 64
+#: Bytes that a candidate must add for each of its characters. Hex digits hold four bits of the six of others; and
+#: among long candidates' own characters the compressor needs no more than these bits.
+NOVELTY, HEX_SHARE, LONG_SHARE = 0.9, 4 / 6, 6 / 8
+HEX_DIGITS = re.compile("[0-9a-f]+|[0-9A-F]+")
 DICTIONARY_BYTES = 32_768
 NAME = r"([A-Za-z_][A-Za-z0-9_.-]{2,40})[\"']? *[:=]"
 # Fixed value: words of code that any text may hold.
@@ -76,6 +82,10 @@ def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> byte
     return " ".join([CODE_WORDS, *reversed(words)]).encode()
 
 
+def pieces_of(size: int) -> int:
+    return max(1, round(size / PIECE))
+
+
 class Novelty:
     """Marginal compressed size of a string inside its surroundings."""
 
@@ -84,10 +94,15 @@ class Novelty:
         self.packer = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False)
 
     def ratio(self, text: str, start: int, end: int) -> float:
-        """Added bytes for each byte of ``text[start:end]``."""
-        before, after = text[max(0, start - BEFORE) : start].encode(), text[end : end + AFTER].encode()
-        own = text[start:end].encode()
-        return (len(self.packer.compress(before + own + after)) - len(self.packer.compress(before + after))) / len(own)
+        """Added bytes for each byte of ``text[start:end]``, measured in pieces of about ``PIECE`` characters."""
+        count = pieces_of(end - start)
+        edges = [start + (end - start) * k // count for k in range(count + 1)]
+        # Copies that follow do not explain the first one.
+        rest, added = text[end : end + AFTER].replace(text[start:end], "").encode(), 0
+        for a, b in zip(edges, edges[1:]):
+            before = text[max(0, a - BEFORE) : a].encode()
+            added += len(self.packer.compress(before + text[a:b].encode() + rest)) - len(self.packer.compress(before + rest))
+        return added / len(text[start:end].encode())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,19 +117,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """The fixed patterns' spans and the novel strings that none of them overlaps."""
-    spans = base_spans(text)
-    found = []
+    """The fixed patterns' spans, and the novel strings that neither they nor an earlier one overlap."""
+    taken = base_spans(text)
+    edges = _merged(taken)
+    found: list[tuple[int, int]] = []
+    tried = set()
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         word = text[a:b]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) and len(set(word)) < 12:
-            continue
-        if any(a < end and start < b for start, _, end in spans):
+        if (a, b) in tried or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) and len(set(word)) < 12:
             continue
-        if novelty.ratio(text, a, b) >= least:
-            found.append((a, 3, b))
-    return sorted(spans + found)
+        tried.add((a, b))
+        if not _overlaps(edges, a, b) and novelty.ratio(text, a, b) >= least * (HEX_SHARE if HEX_DIGITS.fullmatch(word) else 1) * (LONG_SHARE if pieces_of(b - a) > 1 else 1):
+            found.append((a, b))
+            insort(edges, (a, b))
+    for word in sorted({text[a:b] for a, b in found}):
+        at = text.find(word)
+        while at >= 0:
+            if not _overlaps(edges, at, at + len(word)):
+                found.append((at, at + len(word)))
+                insort(edges, found[-1])
+            at = text.find(word, at + len(word))
+    return sorted(taken + [(a, 3, b) for a, b in found])
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, as stretches in order that do not overlap."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _overlaps(edges: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the stretches meets (a, b)."""
+    k = bisect_left(edges, (b, -1))
+    return k > 0 and edges[k - 1][1] > a
 
 
 def scan(docs: DataFrame, least: float = NOVELTY) -> DataFrame:

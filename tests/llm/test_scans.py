@@ -25,13 +25,81 @@ def test_secret_spans(spark):
 
 
 def test_base_spans_are_leftmost():
+    """All kinds against a scan character by character."""
     rng = random.Random(5)
-    parts = ["token", "=", ":", " ", '"', "secret", "AKIA", "0123456789abcdef", "XYZ12345678901234", "a", "é"]
+    parts = ["token", "=", ":", " ", '"', "'", "secret", "Api_Key", "APIKEY", "passWD", "AKIA", "0123456789abcdef", "XYZ12345678901234", "a", "é", "-", "\n"]
+    words = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = string.ascii_letters + string.digits + "+/_.=-"
+
+    def assign(t):
+        at = 0
+        while at < len(t):
+            w = next((w for w in words if t[at : at + len(w)].lower() == w and t[at : at + len(w)].isascii()), None)
+            end = None
+            if w:
+                for quote in (0, 1):  # an optional quote may also be left out
+                    k = at + len(w)
+                    k += not quote and t[k : k + 1] in ("'", '"')
+                    k += len(t[k:]) - len(t[k:].lstrip(" "))
+                    if t[k : k + 1] in (":", "="):
+                        k += 1
+                        k += len(t[k:]) - len(t[k:].lstrip(" "))
+                        k += t[k : k + 1] in ("'", '"') and t[k : k + 1] != ""
+                        n = next((i for i, c in enumerate(t[k:]) if c not in value), len(t) - k)
+                        if n:
+                            end = k + n
+                            break
+            if end:
+                if n >= 12:
+                    yield at, 0, end
+                at = end
+            else:
+                at += 1
+
     hexed, access = re.compile("[0-9a-f]+"), re.compile("AKIA[A-Z0-9]+")
-    for _ in range(500):
+    n = 0
+    for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(12))
         plain = [(m.start(), 2, m.end()) for m in hexed.finditer(t) if len(m[0]) >= 16] + [(m.start(), 1, m.end()) for m in access.finditer(t) if len(m[0]) >= 18]
-        assert sorted(s for s in secrets.base_spans(t) if s[1]) == sorted(plain)
+        own = list(assign(t))
+        n += len(own)
+        assert secrets.base_spans(t) == sorted(plain + own)
+    assert n > 50
+
+
+def test_novel_strings():
+    """Recall over kinds and lengths of random strings, precision over words, names and paths in the same contexts."""
+    rng = random.Random(3)
+    novelty = secrets.Novelty(secrets.CODE_WORDS.encode())
+    prose = "the clerk wrote about the harbour and the weather of that year before they went home again "
+    kinds = {"base64": string.ascii_letters + string.digits + "+/", "alnum": string.ascii_letters + string.digits, "HEX": string.digits + "ABCDEF"}
+    missed = []
+    for name, letters in kinds.items():
+        for n in (20, 32, 64, 100, 200, 340, 600, 900, 3000):
+            for _ in range(10):
+                key = "".join(rng.choices(letters, k=n))
+                t = f"{prose}Authorization: Bearer {key} {prose}"
+                if (t.index(key), 3, t.index(key) + n) not in secrets.all_spans(t, novelty):
+                    missed.append((name, n))
+    assert len(missed) <= 0.03 * 270, missed
+    clean = ["the key is somewhere-in-the-harbour", "token: the_weather_of_that_year", "password = clerk_wrote_about_it", "private authorization_header",
+             "the secret is thethethethethethethe", "key=application/json", "credential is with the clerkwroteabout", "signature: abcdefghijklmnopqrstuvwxyz0123456789"]
+    assert sum(bool([s for s in secrets.all_spans(prose + c + " " + prose, novelty) if s[1] == 3]) for c in clean) <= 1
+    key = "Zk3jf9Qw8xLmP0aT"
+    t = f"token my_auth_token_value1 {key} and then {key}\n{prose * 20}{key}"
+    at = [m.start() for m in re.finditer(key, t)]
+    assert {(a, 3, a + 16) for a in at} <= set(secrets.all_spans(t, novelty)) and len(at) == 3
+    assert key not in secrets.without(t, secrets.all_spans(t, novelty))
+    assert secrets.all_spans("token: " * 20_000, novelty) == []
+
+
+def test_secrets_of_repeated_rows_and_no_rows(spark):
+    key = "A1b2" * 5
+    rows = [(1, f"token={key}"), (1, f"token={key}"), (None, f"token={key}"), (2, "x" * 300_000 + f" token={key}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in secrets.digests(df).collect())
+    assert [g[:2] for g in got] == [(0, 1), (1, 1), (1, 1), (2, 1)] and got[1] == got[2] and got[3][2] == "assign:300001:300027"
+    assert secrets.digests(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
 
 
 def test_urls(spark):
