@@ -1,15 +1,15 @@
 """Toxicity by compression distance: windows of text under a toxic and an ordinary dictionary.
 
-Two zstandard dictionaries are trained on labelled text. The ordinary one comes from
-zstandard's trainer over ordinary documents. The toxic one holds the same, and after it the
-words of toxic documents that stand out: those around byte n-grams that far more toxic
-than ordinary documents hold. A window that compresses better under the toxic dictionary
-than under the ordinary one is near toxic text. A document's score is a calibrated
+Two zstandard dictionaries are trained, each by zstandard's trainer. The ordinary one comes from ordinary
+documents. The toxic one comes from what stands out in toxic documents: the stretches of their text whose
+byte n-grams far more toxic than ordinary documents hold (of whole toxic documents the trainer takes what is common,
+which is ordinary). Toxic text is mostly ordinary, so a window is compressed under the ordinary dictionary,
+and under the ordinary one followed by the toxic one; what it gains is its distance. A document's score is a calibrated
 (logistic) function of its best windows' differences and of how many exceed thresholds.
 
 Everything is fitted on a bounded sample of labelled documents. Its counts are Spark
-aggregations; the driver gets the standing-out n-grams and words (each up to a fixed
-number), a fixed number of ordinary texts, and a row of numbers for each sampled document.
+aggregations; the driver gets the standing-out n-grams (up to a fixed number), fixed numbers of ordinary texts
+and of toxic stretches of bounded size for the trainers, and a row of numbers for each sampled document.
 Scoring is one pass without a shuffle.
 
 Defined results: a null text counts as empty: it has one empty window and a low score;
@@ -36,14 +36,12 @@ from chatpack.llm.labelled import is_held_out, sample
 MAX_ROWS = 30_000
 HELD_OUT = (4, 2)
 CUT = 0.3
-#: Bytes of a window and between windows, of the n-grams, and of the ordinary dictionary.
-WINDOW, STEP, GRAM, DICTIONARY = 64, 32, 6, 24_000
-#: N-grams and words that the driver takes, ordinary texts for the trainer, bytes of toxic words.
-MAX_GRAMS, MAX_WORDS, TRAINER_TEXTS, TOXIC_BYTES = 20_000, 3_000, 400, 16_000
+#: Bytes of a window and between windows, of the n-grams, and of the two dictionaries.
+WINDOW, STEP, GRAM, DICTIONARY, TOXIC_DICTIONARY = 64, 32, 5, 24_000, 1_500
+#: N-grams that the driver takes, ordinary texts and toxic documents for the trainers, and bytes of a toxic document's stretches.
+MAX_GRAMS, TRAINER_TEXTS, TRAINER_TOXIC, STRETCH_BYTES = 20_000, 400, 4_000, 2_048
 #: Log ratio of document shares from which an n-gram stands out, and the least share of toxic documents.
 LOG_RATIO, LEAST_SHARE = 4.0, 1 / 50
-#: Share of toxic documents that hold a word of the toxic dictionary, at least.
-LEAST_WORD_SHARE = 1 / 160
 #: Byte differences whose windows are counted; the last counts windows nearer to ordinary text.
 THRESHOLDS = (3, 4, 5, 6, 8)
 NEARER = -3
@@ -62,19 +60,22 @@ def word_grams(text: bytes) -> set[bytes]:
     return {g for k in range(len(t) - GRAM + 1) if b" " not in (g := t[k : k + GRAM])[1:]}
 
 
-def standing_words(text: bytes, grams: set[bytes]) -> set[bytes]:
-    """Stretches of words of a text that the given n-grams cover."""
-    t, out, start, end = normal(text), set(), -1, -1
+def stretches(text: bytes, grams: set[bytes], most: int = STRETCH_BYTES) -> bytes:
+    """The stretches of a text that the given n-grams cover, up to about ``most`` bytes of them."""
+    t, out, size, start, end = normal(text), [], 0, -1, -1
     for k in range(len(t) - GRAM + 1):
         if t[k : k + GRAM] in grams:
             if k > end:
                 if start >= 0:
-                    out.add(t[start:end])
+                    out.append(t[start:end])
+                    size += end - start
+                    if size >= most:
+                        break
                 start = k
             end = k + GRAM
-    if start >= 0:
-        out.add(t[start:end])
-    return {w for x in out for w in (b" " + v for v in x.split())}
+    if start >= 0 and size < most:
+        out.append(t[start:end])
+    return b"".join(x if x[:1] == b" " else b" " + x for x in out)
 
 
 @dataclass
@@ -149,15 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     )
     shared = docs.sparkSession.sparkContext.broadcast({bytes(r["item"]) for r in chosen})
 
-    def finder():
+    def cut_out():
         grams = shared.value
-        return lambda text: standing_words(text, grams)
+        return lambda b: [pa.array([stretches(t, grams) for t in raw_texts(b, "text")], pa.binary())]
 
-    found = _tallied(rows.where("label = 1"), finder).where(F.col("toxic") >= max(3, toxic * LEAST_WORD_SHARE)).orderBy(F.desc("toxic"), "item").limit(MAX_WORDS).collect()
-    words = b"".join(bytes(r["item"]) for r in reversed(found))[-TOXIC_BYTES:]
+    marked = map_rows(rows.where("label = 1"), cut_out, "part binary", ["part"]).where("length(part) > 0")
+    parts = [bytes(r["part"]) for r in marked.orderBy(F.xxhash64("part"), "part").limit(TRAINER_TOXIC).collect()]
     texts = [normal(r["text"].encode()) for r in rows.where("label = 0 and length(text) > 0").orderBy(F.xxhash64("text")).select("text").limit(TRAINER_TEXTS).collect()]
-    ordinary = _trained(texts)
-    model = Model(ordinary, ordinary + words, flat)
+    ordinary = _trained(texts, DICTIONARY)
+    model = Model(ordinary, ordinary + _trained(parts, TOXIC_DICTIONARY), flat)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -171,12 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     return model
 
 
-def _trained(texts: list[bytes]) -> bytes:
-    """The ordinary dictionary; small sets of texts, which the trainer refuses, are taken as they are."""
+def _trained(texts: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes; of small sets of texts, which the trainer refuses, the texts as they are."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, texts).as_bytes()
+        return zstandard.train_dictionary(size, texts).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[:DICTIONARY] or b"ordinary"
+        return b"".join(texts)[:size] or b"nothing"
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:

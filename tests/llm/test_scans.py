@@ -3,6 +3,7 @@ import re
 import string
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chatpack.llm import licenses, mixing, quality_model, quality_rules, secrets, toxicity, urls
 from chatpack.llm.queries import URL_RULES
@@ -281,8 +282,27 @@ def test_classifiers_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_model.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in got]) > 0.88
+    found = [r.toxic for r in got if r.predicted]
+    # 40 % of these few toxic documents hold words that no other toxic one has; README has the recall on larger tables.
+    assert sum(found) > 0.45 * sum(r.toxic for r in got) > 40 and np.mean(found) > 0.9
+
+
+def test_classifiers_do_not_depend_on_other_columns_or_copies(spark):
+    """Repeated rows, ties and a very long text have the scores of their texts."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    long = "word and some more " * 20_000
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6, long), (10**6, long), (10**6 + 1, long)], "doc_id long, text string")).withColumn("score", F.lit("x"))
+    for judge in (quality_model.judge, toxicity.judge):
+        rows = judge(more, labels).where("doc_id >= 1000000").collect()
+        assert len(rows) == 3 and len({(r.score, r.predicted) for r in rows}) == 1
+
+
+def test_stretches_are_covered_text():
+    grams = {b" scum", b"stupi", b"tupid"}
+    assert toxicity.stretches(b"A stupid  SCUM, or scu", grams) == b" stupid scum"
+    assert toxicity.stretches(b"", grams) == b""
 
 
 def test_classifiers_without_labels_or_texts(spark):
