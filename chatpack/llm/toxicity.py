@@ -37,7 +37,7 @@ MAX_ROWS = 30_000
 HELD_OUT = (4, 2)
 CUT = 0.3
 #: Bytes of a window and between windows, of the n-grams, and of the two dictionaries.
-WINDOW, STEP, GRAM, DICTIONARY, TOXIC_DICTIONARY = 64, 32, 5, 24_000, 1_500
+WINDOW, STEP, GRAM, DICTIONARY, TOXIC_DICTIONARY = 64, 32, 5, 24_000, 1_000
 #: N-grams that the driver takes, ordinary texts and toxic documents for the trainers, and bytes of a toxic document's stretches.
 MAX_GRAMS, TRAINER_TEXTS, TRAINER_TOXIC, STRETCH_BYTES = 20_000, 400, 4_000, 2_048
 #: Log ratio of document shares from which an n-gram stands out, and the least share of toxic documents.
