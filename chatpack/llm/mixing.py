@@ -12,13 +12,13 @@ passes over the blocks (a row for each ``BLOCK_ROWS`` documents at most, and no
 slots for which no block is left. All else is columns: a row's rank in its source
 gives its block, and the block gives its slot.
 
-Ranks need no task that sees a whole source. Rows are put in buckets by the hash of
+Ranks need no task that sees a whole source. Rows are put in buckets by the first digits of the digest of
 their id, about the square root of all rows in each; a row's rank is the rows in earlier
 buckets of its source plus its place in its bucket. A hot source has more buckets.
 
 Defined results: rows with a null source form the source "(none)"; sources that given
-weights leave out share one weight as "(other)"; every row keeps its place once (ties by
-hash, then id); no row is dropped; an empty table gives an empty table. Columns
+weights leave out share one weight as "(other)"; every row keeps its place once (in a source by
+the digest of its id, then the id; rows without an id come by the digest of nothing); no row is dropped; an empty table gives an empty table. Columns
 of the input keep their names and values, whatever they are.
 """
 
@@ -34,31 +34,11 @@ from pyspark.sql import functions as F
 from chatpack.llm.components import stored
 
 BLOCK_ROWS = 64
-PERIOD = 1024
-#: Default weights follow the number of rows to this power.
-TEMPER = 0.5
+#: Default weights are the square roots of the numbers of rows, in whole parts of so many.
+ROOT_PARTS = 1024
 NONE, OTHER = "(none)", "(other)"
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source, in all ``period``; at least one each, by largest remainder."""
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights are positive")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * spare for s, w in sorted(weights.items())}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(slots: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period, by earliest deadline first."""
-    return list(dealt([(s, k, k) for s, k in slots.items()], period))
-
-
 def dealt(sources, total: int):
     """(source, block, slot, release, deadline) of all blocks of ``sources`` (source, weight, blocks), by earliest deadline first.
 
@@ -102,11 +82,11 @@ def source_of(source: Column, named: list[str] | None) -> Column:
     return own if named is None else F.when(own.isin(named), own).otherwise(OTHER)
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row, mix_source, block, place, slot, release, deadline): each row of ``docs`` as a struct, with its place in the mix.
 
     ``weights`` has the target weight of each source; sources it leaves out share the
-    smallest of them. Without it, weights follow the sources' sizes, tempered.
+    smallest of them. Without it, weights are the square roots of the sources' sizes.
     """
     if weights and any(w <= 0 for w in weights.values()):
         raise ValueError("weights are positive")
@@ -120,22 +100,22 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         # A source that is named keeps its slots even without rows; "(other)" has some only with rows.
         shares_ = own.join(sizes, "mix_source", "left").where(F.col("n_rows").isNotNull() | F.col("mix_source").isin(named))
     else:
-        shares_ = sizes.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(TEMPER)))
+        shares_ = sizes.withColumn("weight", F.floor(F.sqrt("n_rows") * ROOT_PARTS).cast("double"))
     blocks = F.ceil(F.coalesce("n_rows", F.lit(0)) / block_rows).cast("long")
     kind = "mix_source string, block long, slot long, release long, deadline long"
     plan = stored(shares_.select("mix_source", "weight", blocks.alias("blocks")).coalesce(1).mapInArrow(_deal, kind))
 
-    hashed = F.xxhash64(F.lit(seed), F.col("row.doc_id"))
+    digest = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         .withColumn("mix_source", source_of(F.col("row.source"), named))
         .join(sizes.select("mix_source", "n_buckets"), "mix_source")
-        .withColumn("hash", hashed)
-        .withColumn("bucket", F.expr("pmod(hash, 1073741824L) * n_buckets div 1073741824L"))
+        .withColumn("digest", digest)
+        .withColumn("bucket", F.expr("cast(conv(substr(digest, 1, 8), 16, 10) as long) * n_buckets div 4294967296L"))
     )
     before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("mix_source", "bucket").count().select("mix_source", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("mix_source", "bucket").orderBy(F.expr("pmod(hash, 1073741824L)"), "hash", "row.doc_id")
+    inside = Window.partitionBy("mix_source", "bucket").orderBy("digest", "row.doc_id")
     ranked = rows.withColumn("nth", F.row_number().over(inside)).join(offsets, ["mix_source", "bucket"])
     rank = F.col("earlier") + F.col("nth") - 1
     block = F.floor(rank / block_rows).cast("long")

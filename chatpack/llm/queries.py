@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, secrets, simhash, toxicity, urls, vectors
+from chatpack.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The public vocabulary that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -78,6 +80,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"), trusted)
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op3_secrets that the fixed patterns give."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, path, rule of op4_urls, and the rule's verdict."""
+    verdict = F.when(F.col("label") == 1, "allow").when(F.col("label") == 0, "block").alias("rule_verdict")
+    return urls.with_rule(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", verdict)
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_licenses that the phrases give."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_quality_rules that the plain rules give."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return op10_quality_rules(spark, sf_dir).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -89,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
+    "secret_counts": secret_counts,
+    "url_rules": url_rules,
+    "license_places": license_places,
+    "quality_counts": quality_counts,
 }
-#: None of these results can be written in SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}

@@ -317,14 +317,13 @@ def test_classifiers_without_labels_or_texts(spark):
 def test_schedule_stays_within_a_block():
     rng = random.Random(4)
     for _ in range(20):
-        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 30))}
-        slots = mixing.shares(weights)
-        assert sum(slots.values()) == mixing.PERIOD
-        done = dict.fromkeys(slots, 0)
-        for n, (s, j, slot, release, deadline) in enumerate(mixing.schedule(slots)):
+        weights = {f"s{k}": rng.randint(1, 1000) for k in range(rng.randint(1, 30))}
+        total = sum(weights.values())
+        done = dict.fromkeys(weights, 0)
+        for n, (s, j, slot, release, deadline) in zip(range(1500), mixing.dealt([(s, k, 10**6) for s, k in weights.items()], total)):
             assert slot == n and release <= slot < deadline and j == done[s]
             done[s] += 1
-            assert all(abs(done[k] - slots[k] * (n + 1) / mixing.PERIOD) < 1 for k in slots)
+            assert all(abs(done[k] - weights[k] * (n + 1) / total) < 1 for k in weights)
 
 
 def test_mix_keeps_every_row(spark):
