@@ -49,6 +49,8 @@ SMOOTHING = 10.0
 REJECTED, MARGIN, BINS, RANGE = 0.002, 0.1, 20_000, 10.0
 #: Ids of trusted documents that are broadcast at most, and bits of the map that is broadcast of more of them.
 MAX_BROADCAST, BITS = 400_000, 1 << 26
+#: N-grams of a task that are counted together.
+WAITING = 1 << 20
 #: Words that a task remembers with their hash.
 CACHED_WORDS = 200_000
 
@@ -167,38 +169,40 @@ def count_grams(docs: DataFrame, trusted: DataFrame, buckets: int, most: int = M
 
     def counter(of_raw: bool):
         def run(batches):
-            known = _Hashes()
-            sums = [np.zeros(buckets if buckets <= dense else 0, np.int64) for _ in range(2)]
+            known, few = _Hashes(), buckets <= dense
+            sums = np.zeros((2, buckets if few else 0), np.int64)
             waiting, n = ([], []), 0
 
+            def joined(mark):
+                out = np.concatenate([np.zeros(0, np.int64), *waiting[mark]])
+                waiting[mark].clear()
+                return out
+
             def flushed():
-                k = np.unique(np.concatenate([*waiting[0], *waiting[1]]))
-                raw, target = (np.bincount(np.searchsorted(k, np.concatenate(w)), minlength=len(k)) if w else np.zeros(len(k), np.int64) for w in waiting)
-                waiting[0].clear(), waiting[1].clear()
-                yield from emitted(k, raw + target if of_raw else raw, target)
+                """Adds what waits to the sums, or emits it if there are too many buckets for them."""
+                raw, target = joined(0), joined(1)
+                k = None if few else np.unique(np.concatenate([raw, target]))
+                tally = lambda g: np.bincount(g, minlength=buckets) if few else np.bincount(np.searchsorted(k, g), minlength=len(k))
+                both = tally(target)
+                raw = tally(raw) + both if of_raw else np.zeros_like(both)
+                if few:
+                    sums[0] += raw
+                    sums[1] += both
+                else:
+                    yield from emitted(k, raw, both)
 
             for batch in batches:
                 marks = batch.column("target").to_pylist() if of_raw else [True] * batch.num_rows
                 for text, mark in zip(raw_texts(batch, "text"), marks):
-                    if not (words := text.split()):
-                        continue
-                    g = grams(words, known, buckets)
-                    if buckets <= dense:
-                        c = np.bincount(g)
-                        sums[0][: len(c)] += c if of_raw else 0
-                        if mark:
-                            sums[1][: len(c)] += c
-                    else:
-                        waiting[mark].append(g)
-                        n += len(g)
-                        if n > dense:
-                            yield from flushed()
-                            n = 0
-            if buckets <= dense:
-                seen = np.flatnonzero(sums[0] + sums[1])
-                yield from emitted(seen, sums[0][seen], sums[1][seen])
-            elif n:
-                yield from flushed()
+                    if words := text.split():
+                        waiting[mark].append(grams(words, known, buckets))
+                        n += len(waiting[mark][-1])
+                    if n > WAITING:
+                        yield from flushed()
+                        n = 0
+            yield from flushed()
+            seen = np.flatnonzero(sums[0] + sums[1])
+            yield from emitted(seen, sums[0][seen], sums[1][seen])
 
         return run
 
