@@ -25,18 +25,28 @@ def unmapped(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def merged_rules(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rules of both tables; those of the second win for equal patterns and come last."""
-    return first.join(second.select("pattern"), "pattern", "left_anti").select("priority", "pattern", "target").unionByName(second.select("priority", "pattern", "target"))
+    """Rules of both tables; those of the second win for equal patterns and come last, with priorities above all of the first."""
+    above = first.agg(F.max("priority") + 1).first()[0] or 0
+    least = second.agg(F.min("priority")).first()[0] or 0
+    moved = second.select((F.col("priority") - least + above).cast(first.schema["priority"].dataType).alias("priority"), "pattern", "target")
+    return first.join(second.select("pattern"), "pattern", "left_anti").select("priority", "pattern", "target").unionByName(moved)
 
 
 def inverse_rules(rules: DataFrame) -> DataFrame:
-    """Rules that lead back: targets become patterns, groups become templates."""
-    pattern = F.regexp_replace(F.regexp_replace("target", r"\.", r"\\."), r"\$\d+", "([0-9]+)")
-    # Each group of the pattern becomes the next number.
-    parts = F.split(F.regexp_replace("pattern", r"\\\.", "."), r"\(.*?\)")
-    target = F.aggregate(F.slice(parts, 2, F.size(parts) - 1), F.struct(F.get(parts, F.lit(0)).alias("s"), F.lit(0).alias("n")),
-                         lambda a, p: F.struct(F.concat(a["s"], F.lit("$"), (a["n"] + 1).cast("string"), p).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"])
-    return rules.select("priority", F.concat(pattern, F.lit("$")).alias("pattern"), target.alias("target"))
+    """Rules that lead back: targets become patterns that hold the groups, groups become templates.
+
+    Groups do not nest. A group that the target leaves out cannot be led back, which is an error.
+    """
+    groups = F.regexp_extract_all("pattern", F.lit(r"\([^()]*\)"), F.lit(0))
+    used = F.transform(F.regexp_extract_all("target", F.lit(r"\$(\d+)"), F.lit(1)), lambda n: n.cast("int"))
+    literal = F.split(F.regexp_replace("target", r"\.", r"\\."), r"\$\d+")
+    outer = F.split(F.regexp_replace("pattern", r"\\\.", "."), r"\([^()]*\)")
+    cut = rules.select("priority", "pattern", groups.alias("groups"), used.alias("used"), literal.alias("literal"), outer.alias("outer"))
+    pattern = F.concat(F.array_join(F.transform("literal", lambda x, i: F.concat(x, F.coalesce(F.get("groups", F.get("used", i) - 1), F.lit("")))), ""), F.lit("$"))
+    back = F.transform("outer", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("$"), F.array_position("used", i).cast("string"), x)))
+    lost = F.exists(F.sequence(F.lit(0), F.size("groups")), lambda i: (i > 0) & ~F.array_contains("used", i))
+    target = F.when(lost, F.raise_error(F.concat(F.lit("no way back: "), F.col("pattern")))).otherwise(F.array_join(back, ""))
+    return cut.select("priority", pattern.alias("pattern"), target.alias("target"))
 
 
 def expert_gaps(parts: DataFrame, experts: int) -> DataFrame:

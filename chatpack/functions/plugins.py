@@ -28,12 +28,17 @@ def token_measure(make: Callable[[], Callable[[str], Sequence[int]]], text_of: C
 
 
 def image_refs(messages: DataFrame, key: list[str], blocks: str = "blocks") -> DataFrame:
-    """(key..., ordinal, url) of the image blocks of each message, in order; blocks that name no image are left out.
+    """(key..., ordinal, url) of the image blocks of each message, in order, and image (its bytes) if blocks have such a field.
 
+    A block names its image by ``url``, ``path`` or ``file``, whichever it has first, or holds its bytes; others are left out.
     The urls are paths for ``spark.read.format("binaryFile")``; decoding is left to the caller.
     """
-    images = F.filter(blocks, lambda b: (b["type"] == "image") & b["url"].isNotNull())
-    return messages.select(*key, F.posexplode(images).alias("ordinal", "b")).select(*key, "ordinal", F.col("b.url").alias("url"))
+    fields = messages.schema[blocks].dataType.elementType.fieldNames()
+    named = [k for k in ("url", "path", "file") if k in fields]
+    held = [k for k in ("image",) if k in fields]
+    images = F.filter(blocks, lambda b: (b["type"] == "image") & F.coalesce(*[F.when(b[k].isNotNull(), True) for k in named + held], F.lit(False)))
+    url = F.coalesce(*[F.col(f"b.{k}") for k in named], F.lit(None).cast("string")).alias("url")
+    return messages.select(*key, F.posexplode(images).alias("ordinal", "b")).select(*key, "ordinal", url, *[F.col(f"b.{k}") for k in held])
 
 
 def guarded(blocks: Column, has_processor: bool) -> Column:

@@ -10,23 +10,28 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, in which the value is computed once and not at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rms_norm(x: Column, weight: Column | None = None, eps: float = 1e-6, plus_one: bool = False) -> Column:
     """x / sqrt(mean of squares + eps), times the weight or one plus the weight."""
     scale = 1 / F.sqrt(_sum(F.transform(x, lambda v: v.cast("double") * v)) / F.size(x) + eps)
     if weight is None:
-        return F.transform(x, lambda v: v * scale)
-    return F.zip_with(x, weight, lambda v, w: v * scale * (1 + w if plus_one else w))
+        return _with(scale, lambda s: F.transform(x, lambda v: v * s))
+    return _with(scale, lambda s: F.zip_with(x, weight, lambda v, w: v * s * (1 + w if plus_one else w)))
 
 
 def layer_norm(x: Column, eps: float = 1e-6) -> Column:
-    mean = _sum(x) / F.size(x)
-    var = _sum(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    centred = _with(_sum(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
+    scaled = lambda c: _with(F.sqrt(_sum(F.transform(c, lambda v: v * v)) / F.size(x) + eps), lambda s: F.transform(c, lambda v: v / s))
+    return _with(centred, scaled)
 
 
 def l2_norm(x: Column, eps: float = 1e-6) -> Column:
     scale = 1 / F.sqrt(_sum(F.transform(x, lambda v: v.cast("double") * v)) + eps)
-    return F.transform(x, lambda v: v * scale)
+    return _with(scale, lambda s: F.transform(x, lambda v: v * s))
 
 
 def sigmoid(x: Column) -> Column:
@@ -46,8 +51,14 @@ def gelu_tanh(x: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x)))
-    return F.transform(e, lambda v: v / _sum(e))
+    e = _with(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v.cast("double") - top)))
+    return _with(e, lambda e: _with(_sum(e), lambda total: F.transform(e, lambda v: v / total)))
+
+
+def global_norm(df: DataFrame, values: str) -> DataFrame:
+    """(norm): the root of the sum of squares over all arrays of a table, as of all gradients together."""
+    squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    return df.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("norm"))
 
 
 def rope_angles(position: Column, size: int, theta: float = 10_000.0) -> Column:

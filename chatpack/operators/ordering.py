@@ -31,8 +31,10 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
         path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
         placed.write.parquet(path)
         placed = spark.read.schema(placed.schema).parquet(path)
-    else:
+    elif spark.sparkContext.master.split("[")[0] == "local":
         placed = placed.persist()
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     counts = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__earlier"))

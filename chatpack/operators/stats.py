@@ -38,12 +38,19 @@ def histogram(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen"))
 
 
-def summary(messages: DataFrame, chunks: DataFrame) -> dict:
-    """The statistics document: distributions of messages and of chunks, and frequency tables of the chunks."""
+def image_shapes(images: DataFrame) -> dict[str, int]:
+    """How many of ``images`` (height, width, ordinal) have each shape, as "HxW"; most frequent first, then first seen."""
+    found = histogram(images, ["height", "width"], "ordinal").orderBy(F.desc("n"), "first_seen")
+    return {f"{r['height']}x{r['width']}": r["n"] for r in found.collect()}
+
+
+def summary(messages: DataFrame, chunks: DataFrame, images: DataFrame | None = None) -> dict:
+    """The statistics document: distributions of messages and of chunks, shapes of ``images``, and frequency tables of the chunks."""
     per = {"per_message": (messages, ["length", "text_tokens", "vision_tokens", "num_images"]),
            "per_chunk": (chunks, ["measured_length", "text_tokens", "vision_tokens", "vision_patches", "num_images", "num_messages"])}
     doc: dict = {k: {r["metric"]: {c: r[c] for c in r.asDict() if c != "metric"} for r in distributions(df, m).collect()} for k, (df, m) in per.items()}
     doc["per_message"]["num_messages"], doc["per_chunk"]["num_chunks"] = messages.count(), chunks.count()
+    doc["image_shapes"] = {} if images is None else image_shapes(images)
     doc["vision_variability"] = {
         f"{m}_per_chunk": {str(r["value"]): r["n"] for r in frequencies(chunks, m).orderBy("value").collect()} for m in ("num_images", "vision_tokens", "vision_patches")
     }

@@ -266,7 +266,10 @@ def chunk_decay(spark, sf_dir):
 def stream_pack(spark, sf_dir):
     """Conversations as a stream, packed with state, to a table that is read back."""
     c = read(spark, sf_dir, "conversations")
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = (shared or tempfile.mkdtemp(prefix="streams-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parquet*")
     rows = stream.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_idx"), chatml.char_length(F.col("role"), F.col("text")).alias("length"))
     packed = pack_stream(rows, MAX_LENGTH).select(F.col("session_id").alias("conv_id"), F.col("message_idx").alias("turn"), "length", "chunk_id")

@@ -290,6 +290,11 @@ def l2_norm(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", near(vecmath._sum(F.transform(vecmath.l2_norm(F.col("embedding")), F.abs))).alias("l1"))
 
 
+@query(f"SELECT {_near('sqrt(sum(x * x))')} AS norm FROM {_UNNEST}")
+def global_norm(spark, sf_dir):
+    return vecmath.global_norm(_vectors(spark, sf_dir), "embedding").select(near(F.col("norm")).alias("norm"))
+
+
 @query(f"SELECT vec_id, {_near('max(p)')} AS top, {_near('sum(p)')} AS total FROM (SELECT vec_id, exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w) AS p FROM {_UNNEST} WINDOW w AS (PARTITION BY vec_id)) GROUP BY vec_id")
 def softmax(spark, sf_dir):
     p = _vectors(spark, sf_dir).select("vec_id", vecmath.softmax(F.col("embedding")).alias("p"))

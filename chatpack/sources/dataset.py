@@ -124,9 +124,20 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     doc = metadata(spark, path)
     if kind and doc["kind"] != kind:
         raise ValueError(f"{path} is a {doc['kind']} dataset; a {kind} dataset is needed")
+    found = shards(spark, path)
+    if found != doc["num_shards"]:
+        raise FileNotFoundError(f"{path} has {found} of {doc['num_shards']} shards")
     return spark.read.parquet(f"{path}/records").drop("shard")
 
 
+def shards(spark: SparkSession, path: str) -> int:
+    """Shard folders of a dataset that hold a file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/records/shard=*/*.parquet")
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return len({f.getPath().getParent().getName() for f in files or []})
+
+
 def compile_jsonl(spark: SparkSession, source: str, path: str, messages_per_record: int = 128, records_per_shard: int = 10_000, overwrite: bool = False) -> dict[str, Any]:
     """A JSON Lines file as a payload dataset; num_sessions counts all lines that are not blank."""
     positive(messages_per_record=messages_per_record, records_per_shard=records_per_shard)

@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,20 +30,30 @@ def firsts(df):
 
 
 def test_chunks_span_blocks(spark, built):
-    path, doc = built([["10", "11", "12", "13", "14"]], batch=[[1], [2]])
-    rows = index.examples(spark, path).orderBy("chunk_id").select("num_messages", "session_id", F.expr("messages[0].content::string").alias("f"), F.to_json(F.col("session_meta")["batch"]).alias("b")).collect()
-    assert [tuple(r) for r in rows] == [(2, "train-000000001", "10", "[[1],[2]]"), (2, "train-000000001", "12", "[[1],[2]]"), (1, "train-000000001", "14", "[[1],[2]]")]
+    path, doc = built([["red", "ochre", "amber", "moss", "teal", "indigo", "plum"], ["alone"]], batch={"k": [4]})
+    rows = index.examples(spark, path).orderBy("session_id", "chunk_id").select("num_messages", "session_id", F.expr("messages[0].content::string").alias("f"), F.to_json(F.col("session_meta")["batch"]).alias("b")).collect()
+    starts = [(2, 1, "red"), (2, 1, "amber"), (2, 1, "teal"), (1, 1, "plum"), (1, 2, "alone")]
+    assert [tuple(r) for r in rows] == [(n, f"train-{line:09d}", first, '{"k":[4]}') for n, line, first in starts]
     per = doc["token_stats"]["per_chunk"]
-    assert per["num_chunks"] == 3 and per["measured_length"]["sum"] == 5 and doc["token_stats"]["per_message"]["length"]["mean"] == 1
+    assert per["num_chunks"] == 5 and per["measured_length"]["sum"] == 8 and doc["token_stats"]["image_shapes"] == {} and doc["token_stats"]["per_message"]["length"]["mean"] == 1
 
 
 def test_resume_and_shards(spark, built):
-    path, _ = built([[str(k) for k in range(10, 18)]])
+    names = list("abcdefghijkl")
+    path, _ = built([names])
     whole = index.training_stream(spark, path, 2, shuffle=False)
-    assert firsts(whole) == ["10", "12", "14", "16"]
-    assert firsts(index.training_stream(spark, path, 2, shuffle=False, start_batch=1)) == ["14", "16"]
+    assert firsts(whole) == names[::2]
+    assert firsts(index.training_stream(spark, path, 2, shuffle=False, start_batch=2)) == names[8::2]
     two = index.training_stream(spark, path, 1, shuffle=False, dp_size=2)
-    assert firsts(two.where("dp_index = 0")) == ["10", "12"] and firsts(two.where("dp_index = 1")) == ["14", "16"]
+    assert firsts(two.where("dp_index = 0")) == names[:6:2] and firsts(two.where("dp_index = 1")) == names[6::2]
+
+
+def test_a_lost_shard_is_noticed(spark, tmp_path):
+    dataset.compile_jsonl(spark, write(tmp_path / "a.jsonl", [["x"], ["y"], ["z"]]), str(tmp_path / "p"), records_per_shard=1)
+    assert dataset.read(spark, str(tmp_path / "p")).count() == 3
+    shutil.rmtree(tmp_path / "p/records/shard=1")
+    with pytest.raises(FileNotFoundError, match="2 of 3 shards"):
+        dataset.read(spark, str(tmp_path / "p"))
 
 
 def test_a_payload_is_no_index(spark, tmp_path):

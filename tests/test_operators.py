@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chatpack.functions import chatml, mapping, perf, segments, vision
+from chatpack.functions import chatml, mapping, perf, plugins, segments, vision
 from chatpack.operators import encode, iterate, packing, stats
 
 
@@ -137,6 +137,26 @@ def test_inverse_rules(spark):
     rules = spark.createDataFrame([(0, r"a\.([0-9]+)\.w", "layers.$1.kernel")], "priority int, pattern string, target string")
     back = mapping.map_keys(spark.createDataFrame([("layers.7.kernel",)], "key string"), mapping.inverse_rules(rules)).first()
     assert back.target == "a.7.w"
+    rules = spark.createDataFrame([(0, r"(q|k)_proj\.([0-9]+)\.w", "at.$2.$1.kernel"), (1, r"mlp\.(up|down)", "mlp_$1")], "priority int, pattern string, target string")
+    keys = spark.createDataFrame([("q_proj.3.w",), ("k_proj.12.w",), ("mlp.up",)], "key string")
+    there = mapping.map_keys(keys, rules).select(F.col("target").alias("key"))
+    assert {r.target for r in mapping.map_keys(there, mapping.inverse_rules(rules)).collect()} == {r.key for r in keys.collect()}
+    with pytest.raises(Exception, match="no way back"):
+        mapping.inverse_rules(spark.createDataFrame([(0, "(a)(b)", "x$1")], "priority int, pattern string, target string")).collect()
+
+
+def test_merged_rules_have_an_order(spark):
+    rule = lambda *r: spark.createDataFrame(list(r), "priority int, pattern string, target string")
+    got = mapping.merged_rules(rule((0, "a", "1"), (1, "b.*", "2")), rule((0, "a", "3"), (1, "b", "4"))).orderBy("priority").collect()
+    assert [tuple(r) for r in got] == [(1, "b.*", "2"), (2, "a", "3"), (3, "b", "4")]
+
+
+def test_images_by_other_keys(spark):
+    rows = spark.createDataFrame([(1, [("image", None, "p.png", None), ("image", None, None, b"x"), ("text", "u", None, None), ("image", None, None, None)])],
+                                 "i long, blocks array<struct<type:string,url:string,path:string,image:binary>>")
+    assert [(r.ordinal, r.url, r.image) for r in plugins.image_refs(rows, ["i"]).collect()] == [(0, "p.png", None), (1, None, b"x")]
+    shapes = stats.image_shapes(spark.createDataFrame([(4, 8, 0), (2, 2, 1), (4, 8, 2), (9, 9, 3)], "height int, width int, ordinal int"))
+    assert list(shapes.items()) == [("4x8", 2), ("2x2", 1), ("9x9", 1)]
 
 
 def test_stream_waits_for_early_messages(spark, tmp_path):
@@ -158,7 +178,6 @@ def test_stream_waits_for_early_messages(spark, tmp_path):
 
 
 def test_plugins(spark):
-    from chatpack.functions import plugins
 
     rows = spark.createDataFrame([(1, "a bb", [("text", None), ("image", "x.png"), ("image", None)])], "i int, t string, blocks array<struct<type:string,url:string>>")
     encode = plugins.text_tokenizer(lambda: lambda t: [len(w) for w in t.split()])
