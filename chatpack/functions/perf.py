@@ -124,10 +124,11 @@ def step_metrics(flops: Column, seconds: Column, tokens: Column, peak: Column, d
     }
 
 
-def step_times(events: DataFrame, ts: str, warmup: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds step_time: seconds since the previous row, 0 for the first ``warmup`` ones and for the first of all."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    seconds = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+def step_times(events: DataFrame, ts: str, warmup: int, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds step_time: seconds since the previous row, 0 for the first ``warmup`` ones and for the first of all; ``ties`` order equal times."""
+    w = Window.partitionBy(*by).orderBy(ts, *ties)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = at - F.lag(at).over(w)
     return events.withColumn("step_time", F.when(F.row_number().over(w) <= max(warmup, 1), 0.0).otherwise(seconds / 1e6))
 
 
@@ -138,11 +139,16 @@ def micro_batches(metrics: DataFrame, step: str) -> DataFrame:
         F.sum("flops").alias("flops"), F.sum("seconds").alias("seconds"))
 
 
+def due(step: Column, every: int) -> Column:
+    """Whether a step is logged."""
+    return F.pmod(step, F.lit(every)) == 0
+
+
 def logged(metrics: DataFrame, step: str, every: int) -> DataFrame:
     """Rows that are due for logging; a table without loss or grad_norm is an error."""
     if missing := {"loss", "grad_norm"} - set(metrics.columns):
         raise KeyError(sorted(missing))
-    return metrics.where(F.pmod(step, F.lit(every)) == 0)
+    return metrics.where(due(F.col(step), every))
 
 
 def retained(checkpoints: DataFrame, step: str, keep: int = 2) -> DataFrame:

@@ -73,22 +73,22 @@ def mrope_axis(i: Column) -> Column:
 
 def router(tokens: DataFrame, token: str, logits: str, k: int, renormalise: bool = True) -> DataFrame:
     """(token, expert, prob, rank, weight): the k likeliest experts of each token, ties to the lowest."""
-    probs = tokens.select(token, F.col(logits).alias("__x")).select(token, F.posexplode(softmax(F.col("__x"))).alias("expert", "prob"))
-    rank = F.row_number().over(Window.partitionBy(token).orderBy(F.desc("prob"), "expert"))
-    top = probs.withColumn("rank", rank).where(F.col("rank") <= k)
-    total = F.greatest(F.sum("prob").over(Window.partitionBy(token)), F.lit(1e-9))
-    return top.withColumn("weight", F.col("prob") / total if renormalise else F.col("prob"))
+    each = F.transform(softmax(F.col(logits)), lambda p, i: F.struct((-p).alias("minus"), i.alias("expert")))
+    top = tokens.select(token, F.slice(F.array_sort(each), 1, k).alias("__top"))
+    total = F.greatest(F.aggregate("__top", F.lit(0.0), lambda a, x: a - x["minus"]), F.lit(1e-9))
+    prob = -F.col("__at.minus")
+    return top.select(token, total.alias("__total"), F.posexplode("__top").alias("__rank", "__at")).select(
+        token, F.col("__at.expert").alias("expert"), prob.alias("prob"), (F.col("__rank") + 1).alias("rank"), (prob / F.col("__total") if renormalise else prob).alias("weight"))
 
 
 def balance_loss(tokens: DataFrame, token: str, logits: str, k: int, experts: int, coef: float = 1.0, kind: str = "switch") -> DataFrame:
     """Router auxiliary loss: ``switch`` (experts * shares * mean probabilities) or ``variance`` (squared distance from 1 / experts)."""
     probs = tokens.select(token, F.col(logits).alias("__x")).select(token, F.posexplode(softmax(F.col("__x"))).alias("expert", "prob"))
-    mean = probs.groupBy("expert").agg(F.avg("prob").alias("p"))
+    mean = probs.groupBy("expert").agg(F.avg("prob").alias("p"), F.count("*").alias("n"))
     if kind == "variance":
         return mean.agg((coef * F.sum((F.col("p") - 1 / experts) * (F.col("p") - 1 / experts))).alias("aux_loss"))
-    n = tokens.agg(F.count("*").alias("n"))
     share = router(tokens, token, logits, k).groupBy("expert").agg(F.count("*").alias("c"))
-    return share.join(mean, "expert").crossJoin(F.broadcast(n)).agg((coef * experts * F.sum(F.col("c") / F.col("n") * F.col("p"))).alias("aux_loss"))
+    return share.join(mean, "expert").agg((coef * experts * F.sum(F.col("c") / F.col("n") * F.col("p"))).alias("aux_loss"))
 
 
 def cross_entropy(df: DataFrame, logits: str, target: str, mask: str) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from chatpack.functions import chatml, segments
-from chatpack.operators import encode, iterate, packing, stats
-from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, token_ids, tokens
+from chatpack.operators import encode, index, iterate, packing, stats
+from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, shared_folder, token_ids, tokens
+from chatpack.sources import dataset
 from chatpack.streaming.packing import pack_stream
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -34,15 +32,27 @@ CASE WHEN f.cur + m.len > {MAX_LENGTH} THEN m.len ELSE f.cur + m.len END FROM f
 _CHUNKS = "SELECT conv_id, chunk_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS num_messages, CAST(sum(len) AS BIGINT) AS measured_length FROM f GROUP BY conv_id, chunk_id"
 
 
+def blocks(spark, sf_dir):
+    return dataset.message_blocks(messages(spark, sf_dir).withColumn("message", F.struct("role", "text")), 3)
+
+
+def compiled(spark, sf_dir):
+    """The conversations as a payload dataset in the shared folder, and its path."""
+    path = shared_folder(spark, "datasets")
+    rows = messages(spark, sf_dir).withColumn("message", F.struct("role", F.col("text").cast("variant").alias("content")))
+    records = dataset.message_blocks(rows, 3).withColumn("session_meta", F.create_map().cast("map<string,variant>"))
+    about = {"source_path": f"{sf_dir}/conversations.parquet", "messages_per_record": 3, "num_sessions": rows.select("session_id").distinct().count()}
+    dataset.write(dataset.with_record_idx(records, "session_id", "block_idx"), f"{path}/payload", dataset.PAYLOAD, about, 1000)
+    return path
+
+
 def assigned(spark, sf_dir):
     return packing.assign_chunks(messages(spark, sf_dir), MAX_LENGTH, oversize="own")
 
 
 @query("SELECT conv_id, turn // 3 AS block_idx, min(turn) AS message_start, max(turn) + 1 AS message_end, count(*) AS num_messages FROM conversations GROUP BY 1, 2")
 def session_blocks(spark, sf_dir):
-    block = F.floor(F.col("turn") / 3)
-    return read(spark, sf_dir, "conversations").groupBy("conv_id", block.alias("block_idx")).agg(
-        F.min("turn").alias("message_start"), (F.max("turn") + 1).alias("message_end"), F.count("*").alias("num_messages"))
+    return blocks(spark, sf_dir).select(F.col("session_id").alias("conv_id"), "block_idx", "message_start", "message_end", F.size("messages").cast("long").alias("num_messages"))
 
 
 @query(f"SELECT conv_id, turn, md5({_RENDER}) AS rendered FROM conversations")
@@ -75,9 +85,7 @@ def chunk_pointers(spark, sf_dir):
 @query(_PACKED + f"SELECT f.conv_id, chunk_id, count(*) AS num_messages, md5(string_agg({_RENDER}, '' ORDER BY f.turn)) AS example FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.turn GROUP BY 1, 2")
 def chunk_examples(spark, sf_dir):
     """Chunks resolved through their pointers into blocks of three messages."""
-    c = read(spark, sf_dir, "conversations")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
-    records = c.groupBy(F.col("conv_id").alias("session_id"), F.floor(F.col("turn") / 3).alias("block_idx")).agg(ordered.alias("messages")).withColumn("session_meta", F.lit(None).cast("string"))
+    records = blocks(spark, sf_dir).withColumn("session_meta", F.lit(None).cast("string"))
     pointers = chunk_pointers(spark, sf_dir).withColumnRenamed("conv_id", "session_id")
     text = F.array_join(F.transform("messages", lambda m: chatml.render(m["role"], m["text"])), "")
     return packing.resolve(pointers, records).select(F.col("session_id").alias("conv_id"), "chunk_id", F.size("messages").cast("long").alias("num_messages"), F.md5(text).alias("example"))
@@ -120,9 +128,42 @@ def role_histogram(spark, sf_dir):
     return stats.histogram(c, ["role"], "ordinal")
 
 
-@query("SELECT count(*) AS num_records, count(DISTINCT conv_id) AS num_sessions, CAST(ceil(count(*) / 100.0) AS BIGINT) AS num_shards FROM conversations")
+@query("SELECT count(*) AS num_records, count(DISTINCT conv_id) AS num_sessions, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS num_shards FROM (SELECT DISTINCT conv_id, turn // 3 FROM conversations)")
 def dataset_counts(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").agg(F.count("*").alias("num_records"), F.count_distinct("conv_id").alias("num_sessions"), F.ceil(F.count("*") / 100).cast("long").alias("num_shards"))
+    """What the sidecar of the compiled dataset says."""
+    doc = dataset.metadata(spark, f"{compiled(spark, sf_dir)}/payload")
+    return spark.createDataFrame([(doc["num_records"], doc["num_sessions"], doc["num_shards"])], "num_records long, num_sessions long, num_shards long")
+
+
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn // 3) - 1 AS record_idx, conv_id, turn // 3 AS block_idx, min(turn) AS message_start, max(turn) + 1 AS message_end, count(*) AS num_messages FROM conversations GROUP BY conv_id, turn // 3")
+def compiled_records(spark, sf_dir):
+    """Numbered records of the compiled dataset, read back from its shards."""
+    records = dataset.read(spark, f"{compiled(spark, sf_dir)}/payload", dataset.PAYLOAD)
+    return records.select("record_idx", F.col("session_id").alias("conv_id"), "block_idx", "message_start", "message_end", F.size("messages").cast("long").alias("num_messages"))
+
+
+def indexed(spark, sf_dir):
+    """The chunk index of the compiled dataset: its path and its sidecar with the statistics."""
+    path = compiled(spark, sf_dir)
+    return f"{path}/index", index.build_chunk_index(spark, f"{path}/payload", f"{path}/index", MAX_LENGTH)
+
+
+@query(_PACKED + ", c AS (" + _CHUNKS + ") " + _distribution_sql("SELECT len AS length FROM f", ["length"]) + " UNION ALL " + _distribution_sql("SELECT * FROM c", ["measured_length", "num_messages"]))
+def index_statistics(spark, sf_dir):
+    """Rows of the statistics document that is written beside the chunk index."""
+    doc = indexed(spark, sf_dir)[1]["token_stats"]
+    found = {"length": doc["per_message"]["length"]} | {m: doc["per_chunk"][m] for m in ("measured_length", "num_messages")}
+    names = {"sum": int, "min": int, "max": int, "mean": float, "median": float, "std": float, "p95": float, "p99": float}
+    kinds = ", ".join(f"{n} {'long' if t is int else 'double'}" for n, t in names.items())
+    return spark.createDataFrame([(m, *[t(v[n]) for n, t in names.items()]) for m, v in found.items()], f"metric string, {kinds}")
+
+
+@query(_PACKED + f"SELECT f.conv_id, chunk_id, count(*) AS num_messages, md5(string_agg({_RENDER}, '' ORDER BY f.turn)) AS example FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.turn GROUP BY 1, 2")
+def index_examples(spark, sf_dir):
+    """Chunks of the stored index, resolved from the shards of the payload."""
+    found = index.examples(spark, indexed(spark, sf_dir)[0])
+    text = F.array_join(F.transform("messages", lambda m: chatml.render(m["role"], index.content_text(m))), "")
+    return found.select(F.col("session_id").alias("conv_id"), "chunk_id", F.size("messages").cast("long").alias("num_messages"), F.md5(text).alias("example"))
 
 
 _N = "(SELECT count(*) FROM documents)"
@@ -205,11 +246,13 @@ def supervised_tokens(spark, sf_dir):
     return _masked(spark, sf_dir).select("conv_id", encode.supervised_tokens(F.col("mask")).alias("supervised"))
 
 
-@query(_IDS + ", p AS (SELECT conv_id, count(*) AS n, string_agg(token, ',' ORDER BY pos) AS ids FROM tok GROUP BY conv_id HAVING count(*) <= 512) SELECT conv_id, n, md5(ids || repeat(',0', CAST(512 - n AS INTEGER))) AS token_ids, n AS attended FROM p")
+@query(_IDS + ", p AS (SELECT conv_id, count(*) AS n, string_agg(token, ',' ORDER BY pos) AS ids FROM tok GROUP BY conv_id) SELECT conv_id, n, n <= 512 AS fits, md5(ids || repeat(',0', CAST(greatest(512 - n, 0) AS INTEGER))) AS token_ids, n AS attended FROM p")
 def padded_examples(spark, sf_dir):
-    ids = token_ids(spark, sf_dir).where(F.size("ids") <= 512)
+    """Padded to 512 tokens; conversations that are longer stay whole and do not fit."""
+    ids = token_ids(spark, sf_dir).withColumn("fits", F.size("ids") <= 512)
+    filled = F.when(F.col("fits"), encode.padded(F.col("ids"), 512, 0)).otherwise(F.col("ids"))
     attended = F.aggregate(encode.attention_mask(F.col("ids"), 512), F.lit(0).cast("long"), lambda a, x: a + x)
-    return ids.select("conv_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(encode.padded(F.col("ids"), 512, 0), ",")).alias("token_ids"), attended.alias("attended"))
+    return ids.select("conv_id", F.size("ids").cast("long").alias("n"), "fits", F.md5(F.array_join(filled, ",")).alias("token_ids"), attended.alias("attended"))
 
 
 _SEG = _IDS + ", g AS (SELECT *, CAST(sum(CASE WHEN token = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS segment FROM tok)"
@@ -266,10 +309,7 @@ def chunk_decay(spark, sf_dir):
 def stream_pack(spark, sf_dir):
     """Conversations as a stream, packed with state, to a table that is read back."""
     c = read(spark, sf_dir, "conversations")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = (shared or tempfile.mkdtemp(prefix="streams-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "streams")
     stream = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parquet*")
     rows = stream.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_idx"), chatml.char_length(F.col("role"), F.col("text")).alias("length"))
     packed = pack_stream(rows, MAX_LENGTH).select(F.col("session_id").alias("conv_id"), F.col("message_idx").alias("turn"), "length", "chunk_id")

@@ -194,21 +194,16 @@ def flops_vision(spark, sf_dir):
 @query(f"SELECT event_id, step_time, {_near('CASE WHEN step_time > 0 THEN 64 / step_time ELSE 0 END')} AS tokens_per_s, {_near('CASE WHEN step_time > 0 THEN 1e12 / 1e12 / step_time / 312 ELSE 0 END')} AS mfu FROM (SELECT event_id, CASE WHEN row_number() OVER w <= 2 THEN 0.0::DOUBLE ELSE (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE END AS step_time FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 def step_metrics(spark, sf_dir):
     """Times between a user's events as step times, with the metrics of a fixed step."""
-    e = read(spark, sf_dir, "events").withColumn("key", F.struct("ts", "event_id"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))) / 1e6
-    timed = e.withColumn("step_time", F.when(F.row_number().over(w) <= 2, 0.0).otherwise(seconds))
+    timed = perf.step_times(read(spark, sf_dir, "events"), "ts", 2, ("user_id",), ("event_id",))
     m = perf.step_metrics(F.lit(1e12), F.col("step_time"), F.lit(64), F.lit(312.0))
     return timed.select("event_id", "step_time", near(m["tokens_per_s"]).alias("tokens_per_s"), near(m["mfu"]).alias("mfu"))
 
 
-@query("SELECT user_id AS step, avg(value) AS loss, avg(abs(value)) AS grad_norm, count(*) AS supervised_tokens FROM events WHERE user_id % 10 = 0 GROUP BY 1".replace("avg(value)", _near("avg(value)")).replace("avg(abs(value))", _near("avg(abs(value))")))
+@query("SELECT user_id AS step, avg(value) AS loss, avg(abs(value)) AS grad_norm, count(*) AS supervised_tokens, user_id % 10 = 0 AS due FROM events GROUP BY 1".replace("avg(value)", _near("avg(value)")).replace("avg(abs(value))", _near("avg(abs(value))")))
 def micro_batch_metrics(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("step"), F.col("value").alias("loss"), F.abs("value").alias("grad_norm"), F.lit(1).alias("supervised_tokens"), F.lit(1.0).alias("flops"), F.lit(1.0).alias("seconds"))
-    m = perf.micro_batches(perf.logged(rows, "step", 10), "step")
-    return m.select("step", near(F.col("loss")).alias("loss"), near(F.col("grad_norm")).alias("grad_norm"), "supervised_tokens")
+    m = perf.micro_batches(rows, "step")
+    return m.select("step", near(F.col("loss")).alias("loss"), near(F.col("grad_norm")).alias("grad_norm"), "supervised_tokens", perf.due(F.col("step"), 10).alias("due"))
 
 
 @query("SELECT user_id AS step FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 2")
@@ -301,12 +296,12 @@ def softmax(spark, sf_dir):
     return p.select("vec_id", near(F.array_max("p")).alias("top"), near(vecmath._sum(F.col("p"))).alias("total"))
 
 
-_PROBS = f"SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, x FROM {_UNNEST} WHERE i < 8"
+_PROBS = f"SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, x FROM {_UNNEST}"
 _TOP = f"SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM ({_PROBS})"
 
 
 def _logits(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 8).alias("logits"))
+    return _vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("logits"))
 
 
 @query(f"SELECT vec_id, i AS expert, rank, {_near('p / sum(p) OVER (PARTITION BY vec_id)')} AS weight FROM ({_TOP}) WHERE rank <= 2")
@@ -315,19 +310,19 @@ def router_topk(spark, sf_dir):
     return r.select("vec_id", F.col("expert").cast("long").alias("expert"), F.col("rank").cast("long").alias("rank"), near(F.col("weight")).alias("weight"))
 
 
-@query(f"SELECT {_near('8 * sum(c / n * p)')} AS aux_loss FROM (SELECT i, count(*) AS c FROM ({_TOP}) WHERE rank <= 2 GROUP BY i) JOIN (SELECT i, avg(p) AS p FROM ({_PROBS}) GROUP BY i) USING (i), (SELECT count(*) AS n FROM embeddings)")
+@query(f"SELECT {_near('64 * sum(c / n * p)')} AS aux_loss FROM (SELECT i, count(*) AS c FROM ({_TOP}) WHERE rank <= 2 GROUP BY i) JOIN (SELECT i, avg(p) AS p FROM ({_PROBS}) GROUP BY i) USING (i), (SELECT count(*) AS n FROM embeddings)")
 def router_aux(spark, sf_dir):
-    return vecmath.balance_loss(_logits(spark, sf_dir), "vec_id", "logits", 2, 8).select(near(F.col("aux_loss")).alias("aux_loss"))
+    return vecmath.balance_loss(_logits(spark, sf_dir), "vec_id", "logits", 2, 64).select(near(F.col("aux_loss")).alias("aux_loss"))
 
 
-@query(f"SELECT {_near('sum((p - 0.125) * (p - 0.125))')} AS aux_loss FROM (SELECT i, avg(p) AS p FROM ({_PROBS}) GROUP BY i)")
+@query(f"SELECT {_near('sum((p - 0.015625) * (p - 0.015625))')} AS aux_loss FROM (SELECT i, avg(p) AS p FROM ({_PROBS}) GROUP BY i)")
 def router_variance(spark, sf_dir):
-    return vecmath.balance_loss(_logits(spark, sf_dir), "vec_id", "logits", 2, 8, kind="variance").select(near(F.col("aux_loss")).alias("aux_loss"))
+    return vecmath.balance_loss(_logits(spark, sf_dir), "vec_id", "logits", 2, 64, kind="variance").select(near(F.col("aux_loss")).alias("aux_loss"))
 
 
-@query(f"SELECT {_near('sum(-ln(p)) / greatest(count(*), 1)')} AS loss, count(*) AS tokens FROM ({_PROBS}) JOIN embeddings e USING (vec_id) WHERE i = e.label % 8 AND vec_id % 3 <> 0")
+@query(f"SELECT {_near('sum(-ln(p)) / greatest(count(*), 1)')} AS loss, count(*) AS tokens FROM ({_PROBS}) JOIN embeddings e USING (vec_id) WHERE i = e.label AND e.label <> 0")
 def masked_xent(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select(F.slice("embedding", 1, 8).alias("logits"), F.pmod("label", F.lit(8)).alias("target"), (F.col("vec_id") % 3 != 0).cast("int").alias("m"))
+    rows = _vectors(spark, sf_dir).select(F.col("embedding").alias("logits"), F.col("label").alias("target"), (F.col("label") != 0).cast("int").alias("m"))
     return vecmath.cross_entropy(rows, "logits", "target", "m").select(near(F.col("loss")).alias("loss"), "tokens")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that driver and executors share; a local session without one uses a temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (shared or tempfile.mkdtemp(prefix="chatpack-")).rstrip("/") + f"/{kind}/{uuid.uuid4().hex}"
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, message_idx, role, text, length) of the conversations."""
     c = read(spark, sf_dir, "conversations")

@@ -75,6 +75,19 @@ def blocks(sessions: DataFrame, messages_per_record: int = 128) -> DataFrame:
     )
 
 
+def message_blocks(messages: DataFrame, messages_per_record: int = 128, session: str = "session_id", position: str = "message_idx", message: str = "message") -> DataFrame:
+    """The records of ``blocks`` for a table that has a row for each message, at positions from 0.
+
+    Rows are grouped by record, so no session is held whole. Messages of equal position are in any order.
+    """
+    positive(messages_per_record=messages_per_record)
+    order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    found = F.collect_list(F.struct(F.col(position).alias("at"), F.col(message).alias("message")))
+    return messages.groupBy(F.col(session).alias("session_id"), F.floor(F.col(position) / messages_per_record).alias("block_idx")).agg(
+        F.min(position).alias("message_start"), (F.max(position) + 1).alias("message_end"),
+        F.transform(F.array_sort(found, order), lambda m: m["message"]).alias("messages"))
+
+
 def with_record_idx(df: DataFrame, *order: str) -> DataFrame:
     """Adds record_idx, the 0-based place in the given order, without a task that sees all rows.
 
