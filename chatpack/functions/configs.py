@@ -6,7 +6,7 @@ field is an error that names it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatpack.functions.mapping import dtype_of
@@ -28,6 +28,12 @@ EXPERT_FIELDS = {
 }
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of a JSON file, or of all of a folder and those below it."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
 def field(doc: Column, *names: str, kind: str = "bigint", default=None) -> Column:
     """The first of the fields that the document has; the default, or an error, without one."""
     found = [F.try_variant_get(doc, f"$.{n}", kind) for n in names]

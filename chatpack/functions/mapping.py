@@ -78,6 +78,35 @@ def inverse_order(order: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(order) - 1), lambda i: (F.array_position(order, i) - 1).cast("int"))
 
 
+def reshaped(shape: Column, target: Column) -> Column:
+    """The target shape, in which one -1 takes what is left; another number of elements is an error."""
+    product = lambda a: F.aggregate(a, F.lit(1).cast("long"), lambda n, x: n * x)
+    n, known = product(shape), product(F.filter(target, lambda x: x >= 0))
+    out = F.transform(target, lambda x: F.when(x >= 0, x.cast("long")).otherwise((n / F.nullif(known, F.lit(0))).cast("long")))
+    return F.when(product(out) == n, out).otherwise(F.raise_error(F.concat(F.lit("cannot reshape "), n, F.lit(" elements"))).cast("array<bigint>"))
+
+
+def flattened(docs: DataFrame, name: str, doc: str) -> DataFrame:
+    """(name, path, value) of the leaves of nested documents (variants): keys and list positions joined by dots.
+
+    One pass for each level of nesting; empty objects and lists give no row.
+    """
+    level, leaves = docs.select(name, F.lit(None).cast("string").alias("path"), F.col(doc).alias("value")), []
+    nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
+    while True:
+        leaves.append(level.where(~nested))
+        inner = level.where(nested).withColumnRenamed("value", "__outer")
+        if inner.isEmpty():
+            break
+        each = docs.sparkSession.tvf.variant_explode(F.col("__outer").outer())
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        level = inner.lateralJoin(each).select(name, F.concat_ws(".", "path", step).alias("path"), "value")
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("value", F.to_json("value"))
+
+
 def dtype_of(name: Column) -> Column:
     """Normal dtype name; bfloat16 is looked for before float16."""
     n = F.lower(name)

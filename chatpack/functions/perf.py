@@ -139,6 +139,11 @@ def micro_batches(metrics: DataFrame, step: str) -> DataFrame:
         F.sum("flops").alias("flops"), F.sum("seconds").alias("seconds"))
 
 
+def validation_means(rows: DataFrame, step: str) -> DataFrame:
+    """Mean loss and sum of tokens over the validation batches (step, loss, tokens) of each step."""
+    return rows.groupBy(step).agg(F.avg("loss").alias("loss"), F.sum("tokens").alias("tokens"))
+
+
 def due(step: Column, every: int) -> Column:
     """Whether a step is logged."""
     return F.pmod(step, F.lit(every)) == 0

@@ -63,3 +63,8 @@ def right_pads(tokens: Column, pad: int) -> Column:
     """Trailing pads of one row; a batch uses the largest of its rows."""
     first = F.array_position(F.reverse(F.transform(tokens, lambda t: t != pad)), True)
     return F.when(first > 0, first - 1).otherwise(F.size(tokens)).cast("long")
+
+
+def batch_right_pads(df: DataFrame, batch: str, tokens: str, pad: int) -> DataFrame:
+    """The largest number of trailing pads in each batch."""
+    return df.groupBy(batch).agg(F.max(right_pads(F.col(tokens), pad)).alias("right_pads"))

@@ -66,9 +66,33 @@ def rope_angles(position: Column, size: int, theta: float = 10_000.0) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size // 2 - 1)), lambda i: position / F.pow(F.lit(theta), 2 * i / size))
 
 
-def mrope_axis(i: Column) -> Column:
-    """The axis of frequency i in the interleaved layout: indices 1, 4, 7 take h, 2, 5, 8 take w, others t."""
-    return F.when(F.pmod(i, F.lit(3)) == 1, "h").when(F.pmod(i, F.lit(3)) == 2, "w").otherwise("t")
+def mrope_axis(i: Column, h: int | None = None, w: int | None = None) -> Column:
+    """The axis of frequency i in the interleaved layout: indices 1, 4, 7 take h, 2, 5, 8 take w, others t.
+
+    ``h`` and ``w`` are how many frequencies these axes have; without them they go on to the end.
+    """
+    of = lambda k, n: (F.pmod(i, F.lit(3)) == k) & (F.lit(True) if n is None else i < 3 * n)
+    return F.when(of(1, h), "h").when(of(2, w), "w").otherwise("t")
+
+
+def mrope_angles(t: Column, h: Column, w: Column, size: int, sections: tuple[int, int, int], theta: float = 10_000.0) -> Column:
+    """Angles of the size / 2 frequencies, each from the position of its axis."""
+    at = lambda i: mrope_axis(i, sections[1], sections[2])
+    position = lambda i: F.when(at(i) == "h", h).when(at(i) == "w", w).otherwise(t)
+    return F.transform(F.sequence(F.lit(0), F.lit(size // 2 - 1)), lambda i: position(i) / F.pow(F.lit(theta), 2 * i / size))
+
+
+def rotated(x: Column, angles: Column) -> Column:
+    """The first 2 * size(angles) parts turned by the angles, part i with part i + size(angles); parts beyond stay as they are."""
+    half = F.size(angles)
+
+    def part(turns):
+        turn = lambda i: F.get(turns, F.pmod(i, half))
+        of = lambda i, name: turn(i)[name]
+        return F.transform(x, lambda v, i: F.when(i < half, v.cast("double") * of(i, "cos") - F.get(x, i + half) * of(i, "sin"))
+                           .when(i < 2 * half, v.cast("double") * of(i, "cos") + F.get(x, i - half) * of(i, "sin")).otherwise(v.cast("double")))
+
+    return _with(F.transform(angles, lambda a: F.struct(F.cos(a).alias("cos"), F.sin(a).alias("sin"))), part)
 
 
 def router(tokens: DataFrame, token: str, logits: str, k: int, renormalise: bool = True) -> DataFrame:

@@ -81,3 +81,17 @@ def training_stream(spark: SparkSession, path: str, batch_size: int, shuffle: bo
     placed = iterate.batches(iterate.epochs(index, n, num_epochs, seed, shuffle, dp_size), own * num_epochs, batch_size, start_batch)
     resolved = examples(spark, path, index).select("session_id", "chunk_id", "session_meta", "messages")
     return placed.join(resolved, ["session_id", "chunk_id"])
+
+
+def save_state(spark: SparkSession, path: str, next_batch: int, **stream: Any) -> None:
+    """Keeps the place of a training stream beside its arguments, in a folder of its own for each place."""
+    doc = json.dumps({"start_batch": next_batch} | stream, sort_keys=True)
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/batch={next_batch}")
+
+
+def resumed_stream(spark: SparkSession, index_path: str, path: str) -> DataFrame:
+    """The rest of the stream whose latest place was saved."""
+    last = spark.read.text(path).orderBy(F.col("batch").cast("long").desc()).first()
+    if last is None:
+        raise ValueError(f"{path} holds no state")
+    return training_stream(spark, index_path, **json.loads(last["value"]))

@@ -282,6 +282,12 @@ def pad_counts(spark, sf_dir):
     return ids.select("conv_id", segments.left_pads(long).alias("left_pads"), segments.right_pads(F.col("ids"), 5).alias("right_pads"))
 
 
+@query(_IDS + "SELECT conv_id // 16 AS batch, max(right_pads) AS right_pads FROM (SELECT conv_id, count(*) - 1 - coalesce(max(pos) FILTER (WHERE token <> 5), -1) AS right_pads FROM tok GROUP BY conv_id) GROUP BY 1")
+def batch_right_pads(spark, sf_dir):
+    ids = token_ids(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 16))
+    return segments.batch_right_pads(ids, "batch", "ids", 5)
+
+
 @query(_IDS + "SELECT conv_id, pos, token, lead(token) OVER (PARTITION BY conv_id ORDER BY pos) AS next_token FROM tok")
 def next_token_targets(spark, sf_dir):
     t = segments.next_tokens(tokens(spark, sf_dir), "conv_id", "pos", "token")

@@ -344,3 +344,38 @@ def feature_scatter(spark, sf_dir):
     t = spark.range(60).select(F.pmod(i, F.lit(3)).alias("ex"), pos.alias("pos"), F.when(F.pmod(pos, F.lit(4)) == 1, 9).otherwise(0).alias("token_id"), F.concat(F.lit("t"), i.cast("string")).alias("embedding"))
     f = spark.range(9).select(F.floor(i / 3).alias("ex"), F.pmod(i, F.lit(3)).alias("ordinal"), F.concat(F.lit("f"), F.pmod(i, F.lit(3)).cast("string")).alias("feature"))
     return vecmath.scatter(t, f, "ex", "pos", 9).select("ex", "pos", "embedding")
+
+
+@query(f"""WITH v AS (SELECT vec_id, i, x, label, label / pow(10000.0, 2 * (i % 16) / 32.0) AS a FROM {_UNNEST} JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)),
+r AS (SELECT v.vec_id, v.i, CASE WHEN v.i < 16 THEN v.x * cos(v.a) - o.x * sin(v.a) WHEN v.i < 32 THEN v.x * cos(v.a) + o.x * sin(v.a) ELSE v.x END AS y
+FROM v LEFT JOIN v o ON o.vec_id = v.vec_id AND o.i = CASE WHEN v.i < 16 THEN v.i + 16 ELSE v.i - 16 END)
+SELECT vec_id, {_near("sum(y * (i + 1) / 64)")} AS turned FROM r GROUP BY vec_id""")
+def rope_rotation(spark, sf_dir):
+    """Half of each vector turned by the angles of its label's position."""
+    y = vecmath.rotated(F.col("embedding"), vecmath.rope_angles(F.col("label"), 32))
+    return _vectors(spark, sf_dir).select("vec_id", near(vecmath._sum(F.transform(y, lambda v, i: v * (i + 1) / 64))).alias("turned"))
+
+
+@query(f"SELECT p AS pos, k, {_near('CASE WHEN k % 3 = 1 AND k < 15 THEN p + 1 WHEN k % 3 = 2 AND k < 12 THEN p + 2 ELSE p END / pow(10000.0, 2 * k / 32.0)')} AS angle FROM range(20) a(p), range(16) b(k)")
+def mrope_angles(spark, sf_dir):
+    p = F.col("id")
+    each = spark.range(20).select(p.alias("pos"), F.posexplode(vecmath.mrope_angles(p, p + 1, p + 2, 32, (7, 5, 4))).alias("k", "angle"))
+    return each.select("pos", F.col("k").cast("long").alias("k"), near(F.col("angle")).alias("angle"))
+
+
+@query("SELECT i AS id, (3 * i) || ',8' AS shape FROM range(1, 6) r(i)")
+def shape_reshape(spark, sf_dir):
+    target = F.array(F.lit(-1), F.lit(8))
+    return spark.range(1, 6).select("id", F.array_join(mapping.reshaped(F.array(F.col("id"), F.lit(4), F.lit(6)), target), ",").alias("shape"))
+
+
+@query("SELECT * FROM (VALUES (1, 'layers.0.kernel', '2'), (1, 'layers.1.kernel', '3'), (1, 'name', '\"a\"'), (2, 'norm.scale.value', '0.5')) v(id, path, value)")
+def nested_paths(spark, sf_dir):
+    docs = [(1, '{"name": "a", "layers": [{"kernel": 2}, {"kernel": 3}], "none": {}}'), (2, '{"norm": {"scale": {"value": 0.5}}}')]
+    return mapping.flattened(spark.createDataFrame(docs, "id int, text string").withColumn("doc", F.parse_json("text")), "id", "doc")
+
+
+@query(f"SELECT user_id AS step, {_near('avg(value)')} AS loss, count(*) AS tokens FROM events GROUP BY 1")
+def validation_means(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("step"), F.col("value").alias("loss"), F.lit(1).alias("tokens"))
+    return perf.validation_means(rows, "step").select("step", near(F.col("loss")).alias("loss"), "tokens")

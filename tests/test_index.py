@@ -86,3 +86,33 @@ def test_configs(spark):
         configs.decoder(bad, "name", "text").collect()
     fam = configs.dispatch(spark.createDataFrame([("a-vl-2b",), ("a-1b",)], "m string"), "m", [("-vl-", "vision"), ("^a-", "text")])
     assert [r.family for r in fam.collect()] == ["vision", "text"]
+
+
+def test_saved_place(spark, built, tmp_path):
+    path, _ = built([[f"{i}a", f"{i}b"] for i in range(9)])
+    stream = {"batch_size": 2, "seed": 3, "num_epochs": 2}
+    for place in (0, 2, 10):
+        index.save_state(spark, str(tmp_path / f"state{place}"), place // 2, **stream)
+        index.save_state(spark, str(tmp_path / f"state{place}"), place, **stream)
+        rest = index.training_stream(spark, path, start_batch=place, **stream)
+        assert firsts(index.resumed_stream(spark, path, str(tmp_path / f"state{place}"))) == firsts(rest)
+
+
+def test_config_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "config.json").write_text('{\n"a": 1}')
+    (tmp_path / "m" / "notes.txt").write_text("no")
+    for path in (tmp_path, tmp_path / "m" / "config.json"):
+        assert [r.text for r in configs.read_documents(spark, str(path)).collect()] == ['{\n"a": 1}']
+
+
+def test_records_of_message_rows(spark):
+    rows = spark.createDataFrame([("s", i, f"m{i}") for i in (4, 0, 2, 1, 3)] + [("t", 0, None)], "session_id string, message_idx long, message string")
+    got = {(r.session_id, r.block_idx): (r.message_start, r.message_end, r.messages) for r in dataset.message_blocks(rows, 2).collect()}
+    assert got == {("s", 0): (0, 2, ["m0", "m1"]), ("s", 1): (2, 4, ["m2", "m3"]), ("s", 2): (4, 5, ["m4"]), ("t", 0): (0, 1, [None])}
+
+
+def test_reshape_of_other_size(spark):
+    bad = spark.range(1).select(mapping.reshaped(F.array(F.lit(2), F.lit(3)), F.array(F.lit(4), F.lit(-1))))
+    with pytest.raises(Exception, match="reshape"):
+        bad.collect()
