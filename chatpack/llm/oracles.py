@@ -97,8 +97,32 @@ select doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup
 from counts left join lines using (r) left join covered using (r)
 """
 
+SUFFIXES = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), parts as (
+  select doc_id, 500 * p as base, substr(h, 1000 * p + 1, 1198) as part from (select doc_id, h, unnest(range(length(h) // 1000 + 1)) as p from d)
+), strings as (
+  select doc_id, base + i as s, md5(substr(part, 2 * i + 1, 200)) as own from (select doc_id, base, part, unnest(range(length(part) // 2 - 99)) as i from parts)
+), later as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by own order by doc_id, s) as k from strings) where k > 1
+), numbered as (
+  select doc_id, s, sum(case when s <= before + 100 then 0 else 1 end) over (partition by doc_id order by s) as run
+  from (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from later)
+), runs as (
+  select doc_id, min(s) as a, max(s) + 100 as b, lag(max(s) + 100, 1, 0) over (partition by doc_id order by min(s)) as before from numbered group by doc_id, run
+), cut as (
+  select doc_id, count(*) as n_spans, cast(sum(b - a) as bigint) as n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept
+  from runs join d using (doc_id) group by doc_id
+)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join cut using (doc_id)
+"""
+
 ORACLE_SQL = {
     "op2_mixing": MIXING,
+    "op11_suffixes": SUFFIXES,
     "secret_counts": SECRET_COUNTS,
     "url_rules": URL_RULES,
     "license_places": LICENSE_PLACES,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, secrets, simhash, toxicity, urls, vectors
+from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, urls, vectors
 from chatpack.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The public vocabulary that the token queries use; operators take any path.
@@ -80,6 +80,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"), trusted)
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op3_secrets that the fixed patterns give."""
     return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffixes": op11_suffixes,
     "secret_counts": secret_counts,
     "url_rules": url_rules,
     "license_places": license_places,
