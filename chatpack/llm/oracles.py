@@ -120,9 +120,34 @@ select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, c
 from d left join cut using (doc_id)
 """
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = rf"""
+with t as (
+  select r, doc_id, unnest({_TERMS}) as term from (select row_number() over () as r, doc_id, text from documents)
+), sizes as (
+  select r, doc_id, count(*) as n from t group by r, doc_id
+), total as (
+  select count(*) as docs, cast(sum(n) as bigint) as length from sizes
+), q as (
+  select i, item_id, term, count(*) as times
+  from (select i, item_id, unnest({_TERMS}) as term from (select row_number() over () as i, item_id, text from benchmark)) group by i, item_id, term
+), tf as (
+  select r, term, count(*) as tf from t where term in (select term from q) group by r, term
+), w as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by term, docs
+), scores as (
+  select i, item_id, r, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) as bigint) as score
+  from q join tf using (term) join w using (term) join sizes using (r), total group by i, item_id, r, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10
+"""
+
 ORACLE_SQL = {
     "op2_mixing": MIXING,
     "op11_suffixes": SUFFIXES,
+    "op12_ranked": RANKED,
     "secret_counts": SECRET_COUNTS,
     "url_rules": URL_RULES,
     "license_places": LICENSE_PLACES,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, urls, vectors
+from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, ranked, secrets, simhash, suffixes, toxicity, urls, vectors
 from chatpack.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The public vocabulary that the token queries use; operators take any path.
@@ -85,6 +85,11 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score of the ten best documents of each benchmark item."""
+    return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op3_secrets that the fixed patterns give."""
     return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vectors": op9_vectors,
     "op10_quality_rules": op10_quality_rules,
     "op11_suffixes": op11_suffixes,
+    "op12_ranked": op12_ranked,
     "secret_counts": secret_counts,
     "url_rules": url_rules,
     "license_places": license_places,

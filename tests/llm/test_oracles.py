@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("benchmark", "documents", "pages"):
         duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
