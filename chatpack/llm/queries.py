@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, ranked, secrets, simhash, suffixes, toxicity, urls, vectors
+from chatpack.llm import bpe, licenses, mixing, quality_model, quality_rules, ranked, secrets, simhash, spelling, suffixes, toxicity, urls, vectors
 from chatpack.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The public vocabulary that the token queries use; operators take any path.
@@ -90,6 +90,11 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of the words of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op3_secrets that the fixed patterns give."""
     return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_suffixes": op11_suffixes,
     "op12_ranked": op12_ranked,
+    "op13_spelling": op13_spelling,
     "secret_counts": secret_counts,
     "url_rules": url_rules,
     "license_places": license_places,
