@@ -103,7 +103,7 @@ def _pieces(ids: list[int], texts: list[bytes], starts: list[int]) -> pa.RecordB
     own, counts = np.unique(m[~again], return_counts=True)
     crowded = own[counts > CROWD]
     salt = np.where(np.isin(m, crowded) & ~again, 1 + (s & 63), 0)
-    m[again] = -1 - (s[again] & 0xFFFFFF)
+    m[again] = -1 - (doc[again] * 0x9E3779B1 + at[again] & 0xFFFFFFFF)
     rows = [m, salt, s, doc, at, run, np.where(again, _COPY, _PIECE)]
     marks = [crowded, 0, np.iinfo(np.int64).min, 0, 0, 0, _MARK]
     columns = [np.concatenate([x, np.broadcast_to(y, len(crowded))]).astype(np.int64) for x, y in zip(rows, marks)]
