@@ -1,25 +1,27 @@
-"""Positions inside packed sequences, as windows over (row, pos, ...) tables."""
+"""Positions inside packed sequences, over (row, pos, ...) tables.
+
+A row may hold any number of tokens: values that run along a row are two-phase scans over ranges of
+positions, never windows over rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _by(row: str, pos: str):
-    return Window.partitionBy(row).orderBy(pos)
+from chatpack.operators.scans import scan
 
 
 def segment_start(df: DataFrame, row: str, pos: str, segment: str) -> DataFrame:
     """Adds kstart: the position at which the token's segment began."""
-    changed = F.lag(segment).over(_by(row, pos)).isNull() | (F.lag(segment).over(_by(row, pos)) != F.col(segment))
-    return df.withColumn("__from", F.when(changed, F.col(pos))).withColumn("kstart", F.max("__from").over(_by(row, pos))).drop("__from")
+    return scan(df, [row, pos], [row, segment], {"kstart": ("first", pos)})
 
 
 def segment_positions(df: DataFrame, row: str, pos: str, segment: str) -> DataFrame:
     """Adds position: relative to the first token of the row's largest segment; padding (segment 0) gets 2^30."""
-    first = F.min_by(F.col(pos), F.struct(-F.col(segment), F.col(pos))).over(Window.partitionBy(row))
-    return df.withColumn("position", F.when(F.col(segment) == 0, F.lit(1 << 30)).otherwise(F.col(pos) - first).cast("long"))
+    first = df.groupBy(row, segment).agg(F.min(pos).alias("__first")).groupBy(row).agg(F.max_by("__first", segment).alias("__first"))
+    position = F.when(F.col(segment) == 0, F.lit(1 << 30)).otherwise(F.col(pos) - F.col("__first")).cast("long")
+    return df.join(first, row).withColumn("position", position).drop("__first")
 
 
 def from_cu_seqlens(df: DataFrame, row: str, cu: str) -> DataFrame:
@@ -31,24 +33,26 @@ def from_cu_seqlens(df: DataFrame, row: str, cu: str) -> DataFrame:
 
 def text_positions(df: DataFrame, row: str, pos: str, mask: str) -> DataFrame:
     """Adds text_pos: tokens seen so far less one, 0 where masked."""
-    seen = F.sum(mask).over(_by(row, pos).rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return df.withColumn("text_pos", F.when(F.col(mask) == 1, seen).otherwise(0).cast("long"))
+    seen = scan(df, [row, pos], [row], {"__seen": ("sum", mask)})
+    return seen.withColumn("text_pos", F.when(F.col(mask) == 1, F.col("__seen") - 1).otherwise(0).cast("long")).drop("__seen")
 
 
 def next_tokens(df: DataFrame, row: str, pos: str, *columns: str) -> DataFrame:
     """Adds next_<column>; null at a row's end."""
-    return df.withColumns({f"next_{c}": F.lead(c).over(_by(row, pos)) for c in columns})
+    return scan(df, [row, pos], [row], {f"next_{c}": ("lead", c) for c in columns})
 
 
 def causal_conv(df: DataFrame, row: str, pos: str, x: str, taps: list[float]) -> DataFrame:
     """Adds conv: a causal convolution with zeros before the row; the last tap weighs the token itself."""
     k = len(taps)
-    terms = [F.lit(w) * F.coalesce(F.lag(x, k - 1 - i).over(_by(row, pos)), F.lit(0.0)) for i, w in enumerate(taps)]
-    return df.withColumn("conv", sum(terms[1:], terms[0]))
+    earlier = {f"__lag{k - 1 - i}": ("lag", x, k - 1 - i) for i in range(k - 1)}
+    found = scan(df, [row, pos], [row], earlier) if earlier else df
+    terms = [F.lit(w) * F.coalesce(F.col(c), F.lit(0.0)) for w, c in zip(taps, [*earlier, x])]
+    return found.withColumn("conv", sum(terms[1:], terms[0])).drop(*earlier)
 
 
 def chunk_decay(df: DataFrame, row: str, pos: str, g: str, chunk: int = 64) -> DataFrame:
-    """Adds decay: running sum of ``g`` inside chunks of positions."""
+    """Adds decay: running sum of ``g`` inside chunks of positions, which are windows of at most ``chunk`` tokens."""
     w = Window.partitionBy(row, F.floor(F.col(pos) / chunk)).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("decay", F.sum(g).over(w))
 
@@ -65,6 +69,15 @@ def right_pads(tokens: Column, pad: int) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(tokens)).cast("long")
 
 
+def pads(df: DataFrame, keys: list[str], pos: str, starts: Column, ends: Column) -> DataFrame:
+    """(keys..., left_pads, right_pads) of token rows: those before the first that ``starts`` the text, and after the last that
+    ``ends`` it; all of them if there is none. Counted from positions, so that no row is gathered."""
+    n = F.max(pos) + 1
+    return df.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(starts, F.col(pos))), n).cast("long").alias("left_pads"),
+        (n - 1 - F.coalesce(F.max(F.when(ends, F.col(pos))), F.lit(-1))).cast("long").alias("right_pads"))
+
+
 def batch_right_pads(df: DataFrame, batch: str, tokens: str, pad: int) -> DataFrame:
     """The largest number of trailing pads in each batch."""
     return df.groupBy(batch).agg(F.max(right_pads(F.col(tokens), pad)).alias("right_pads"))

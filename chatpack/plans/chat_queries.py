@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatpack.functions import chatml, segments
 from chatpack.operators import encode, index, iterate, packing, stats
+from chatpack.operators.scans import scan
 from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, shared_folder, token_ids, tokens
 from chatpack.sources import dataset
 from chatpack.streaming.packing import pack_stream
@@ -76,6 +77,19 @@ def pack_chunks(spark, sf_dir):
         F.col("session_id").alias("conv_id"), "chunk_id", F.col("first_message").alias("first_turn"), F.col("last_message").alias("last_turn"), "num_messages", "measured_length")
 
 
+_JOINED = _PACKED.replace("SELECT conv_id, turn, length", "SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id, conv_id * 1000 + turn AS turn, length").replace("PARTITION BY conv_id ORDER BY turn", "PARTITION BY CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END ORDER BY conv_id, turn")
+
+
+@query(_JOINED + "SELECT conv_id, turn, len AS length, chunk_id FROM f")
+def pack_hot_session(spark, sf_dir):
+    """A third of all conversations as one session, packed by ranges of messages."""
+    own = messages(spark, sf_dir).select(
+        F.when(F.col("session_id") % 3 == 0, 0).otherwise(F.col("session_id")).cast("long").alias("session_id"),
+        (F.col("session_id") * 1000 + F.col("message_idx")).alias("message_idx"), "length")
+    packed = packing.assign_chunks(own, MAX_LENGTH, oversize="own", session_rows=0)
+    return packed.select(F.col("session_id").alias("conv_id"), F.col("message_idx").alias("turn"), "length", "chunk_id")
+
+
 @query(_PACKED + f"SELECT conv_id, chunk_id, first_turn // 3 AS start_block, first_turn % 3 AS start_message_offset, last_turn // 3 AS end_block, last_turn % 3 + 1 AS end_message_offset FROM ({_CHUNKS})")
 def chunk_pointers(spark, sf_dir):
     chunks = packing.block_range(pack_chunks(spark, sf_dir), 3, "first_turn", "last_turn")
@@ -259,10 +273,8 @@ _SEG = _IDS + ", g AS (SELECT *, CAST(sum(CASE WHEN token = 1 THEN 1 ELSE 0 END)
 
 
 def _segments(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens(spark, sf_dir).withColumn("segment", F.sum((F.col("token") == START).cast("long")).over(w)).withColumn("pos", F.col("pos").cast("long"))
+    t = tokens(spark, sf_dir).withColumn("start", (F.col("token") == START).cast("int"))
+    return scan(t, ["conv_id", "pos"], ["conv_id"], {"segment": ("sum", "start")})
 
 
 @query(_SEG + " SELECT conv_id, pos, segment, min(pos) OVER (PARTITION BY conv_id, segment) AS kstart FROM g")
@@ -277,15 +289,13 @@ def segment_positions(spark, sf_dir):
 
 @query(_IDS + "SELECT conv_id, coalesce(min(pos) FILTER (WHERE token > 20), count(*)) AS left_pads, count(*) - 1 - coalesce(max(pos) FILTER (WHERE token <> 5), -1) AS right_pads FROM tok GROUP BY conv_id")
 def pad_counts(spark, sf_dir):
-    ids = token_ids(spark, sf_dir)
-    long = F.transform("ids", lambda t: F.when(t > 20, t).otherwise(0))
-    return ids.select("conv_id", segments.left_pads(long).alias("left_pads"), segments.right_pads(F.col("ids"), 5).alias("right_pads"))
+    return segments.pads(tokens(spark, sf_dir), ["conv_id"], "pos", F.col("token") > 20, F.col("token") != 5)
 
 
 @query(_IDS + "SELECT conv_id // 16 AS batch, max(right_pads) AS right_pads FROM (SELECT conv_id, count(*) - 1 - coalesce(max(pos) FILTER (WHERE token <> 5), -1) AS right_pads FROM tok GROUP BY conv_id) GROUP BY 1")
 def batch_right_pads(spark, sf_dir):
-    ids = token_ids(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 16))
-    return segments.batch_right_pads(ids, "batch", "ids", 5)
+    own = segments.pads(tokens(spark, sf_dir), ["conv_id"], "pos", F.col("token") > 20, F.col("token") != 5)
+    return own.groupBy(F.floor(F.col("conv_id") / 16).alias("batch")).agg(F.max("right_pads").alias("right_pads"))
 
 
 @query(_IDS + "SELECT conv_id, pos, token, lead(token) OVER (PARTITION BY conv_id ORDER BY pos) AS next_token FROM tok")

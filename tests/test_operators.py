@@ -28,6 +28,31 @@ def test_packing_matches_a_plain_loop(spark):
     assert got == {(s, i): c for s, x in sessions.items() for i, c in enumerate(chunks_of(x, 9))}
 
 
+@pytest.mark.parametrize("parts", [1, 9, 60])
+def test_a_session_packed_by_many_tasks(spark, parts):
+    """Ranges cut sessions, one of them into nearly all; chunks are those of a plain loop."""
+    rng = random.Random(parts)
+    sessions = {s: [rng.choice([0, 0, 1, 3, 9, 30]) for _ in range(rng.randint(1, 12) if s != 3 else 700)] for s in range(8)}
+    sessions |= {8: [0] * 60 + [9] + [0] * 60, 9: [40] * 20 + [1] * 90, 10: [1]}
+    rows = [(f"s{s:02}", i, n, i * 2) for s, x in sessions.items() for i, n in enumerate(x)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "session_id string, message_idx long, length long, more int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        for most in (1, 10, 64):
+            got = packing.assign_chunks(df, most, oversize="own", session_rows=5).collect()
+            expected = {(f"s{s:02}", i): c for s, x in sessions.items() for i, c in enumerate(chunks_of(x, most))}
+            assert {(r.session_id, r.message_idx): r.chunk_id for r in got} == expected and len(got) == len(rows)
+            assert all(r.more == 2 * r.message_idx for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_packing_rules(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([3, 3, 4, 1, 6])] + [(2, 0, 1)], "session_id long, message_idx long, length long")
     got = packing.describe_chunks(packing.assign_chunks(df, 6)).orderBy("session_id", "chunk_id").collect()
