@@ -101,6 +101,20 @@ def test_distribution(spark):
     assert list(stats.distributions(df.where("v > 9"), ["v"]).first())[1:] == [0] * 8
 
 
+def test_distributions_over_ranges_of_values(spark):
+    """Percentiles from running sums are those of the aggregate, by group, with null groups and values."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(-50, 50), 2**40]), rng.randint(0, 3)) for _ in range(700)] + [("c", 5, 5), ("d", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v long, w int").repartition(6)
+    for by in ((), ("g",)):
+        plain = sorted(map(str, stats.distributions(df, ["v", "w"], by).collect()))
+        assert plain == sorted(map(str, stats.distributions(df, ["v", "w"], by, values_at_once=0).collect())) and len(plain) == (10 if by else 2)
+    expected = df.where("g = 'a'").agg(F.percentile("v", F.lit(0.95)), F.stddev_pop("v"), F.avg("v")).first()
+    got = stats.distributions(df, ["v"], ("g",), values_at_once=0).where("g = 'a'").first()
+    assert (got.p95, got["mean"]) == pytest.approx((expected[0], expected[2]), abs=0.01) and got["std"] == pytest.approx(expected[1], rel=1e-9)
+    assert list(stats.distributions(df.where("w > 9"), ["v"], (), 0).first())[1:] == [0] * 8
+
+
 def test_epochs(spark):
     df = spark.range(8).withColumnRenamed("id", "record_idx")
     order = lambda seed: {d: [r.record_idx for r in iterate.epochs(df, 8, 1, seed, dp_size=2).where(F.col("dp_index") == d).orderBy("position").collect()] for d in (0, 1)}
