@@ -1,6 +1,6 @@
 """License scans by diagonal voting.
 
-Every rolling word k-gram of every document is hashed and joined with the positions of
+Every rolling word k-gram of every document is hashed, and the hashes are joined with the positions of
 equal k-grams in the license templates. A match votes for a diagonal, the document
 position minus the template position. A diagonal on which all of a template's k-grams
 vote is a place of it word for word. Of the other diagonals, neighbouring ones are merged
@@ -10,9 +10,13 @@ aligned in order, and the aligned words must be a given share of both the templa
 span they lie in. So k-grams of a template that are scattered over a text, or out of order, are no place.
 Phrases count only word for word.
 
+Sibling licenses differ in a word or two. Words that a template has and a similar one of another label lacks are
+its *decisive* words, which must all be aligned; and where places of different labels overlap, one with a larger share, or
+as large a share of a longer span, beats the others. Phrases are not part of that.
+
 The templates are configuration of a fixed size, so their k-grams are broadcast. One pass over the
-texts keeps the k-grams of which a template has the same words, as hashes; neither texts nor other
-k-grams leave it. What is found is stored with a number for each row, so that repeated rows
+texts hashes all k-grams and leaves out those whose hash a one-function Bloom filter of the templates' hashes excludes; the rest go
+to the join, which decides. Neither texts nor other k-grams leave the pass. What is found is stored with a number for each row, so that repeated rows
 are rows of their own, and the votes of that table are few.
 
 Defined results: a null or empty text has no words, no places and no labels; texts of
@@ -24,7 +28,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +70,18 @@ SENTENCES = (
     Template("gpl", "licensed under the gnu general public license"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     Template("lgpl", "under the terms of the gnu lesser general public license"),
+    Template("lgpl", "licensed under the gnu lesser general public license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     Template("agpl", "licensed under the gnu affero general public license"),
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    Template("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    Template("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -121,51 +133,65 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def gram_hash(words: list[bytes]) -> int:
-    """A k-gram's 64-bit hash, signed."""
-    h = xxhash.xxh64_intdigest(b" ".join(words))
-    return h - (1 << 64) if h >> 63 else h
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def gram_hashes(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes, signed, of all k-grams of a text with these word hashes."""
+    n = max(0, len(hashes) - K + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(K if n else 0):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h.view(np.int64)
 
 
 class Grams:
-    """The k-grams of the templates, found in the words of a text."""
+    """The k-grams of the templates, and the words of each that tell it from its siblings."""
 
-    def __init__(self, templates: tuple[Template, ...]):
+    #: Bits of a hash that the Bloom filter goes by.
+    BITS = 20
+
+    def __init__(self, templates: tuple[Template, ...], similarity: float = SIMILARITY):
         texts = [words_of(t.text.encode()) for t in templates]
         if min(map(len, texts)) < K:
             raise ValueError(f"templates have {K} words at least")
         self.sizes = [len(w) for w in texts]
-        self.number: dict[bytes, int] = {}
-        for w in texts:
-            for x in w:
-                self.number.setdefault(x, len(self.number))
-        #: (hash, template, position) of each k-gram, and its hash by its code.
-        self.rows, own = [], {}
+        #: (hash, template, position) of each k-gram.
+        self.rows = []
         for t, w in enumerate(texts):
-            codes = self.codes(np.array([self.number[x] for x in w], np.int64))
-            for k, code in enumerate(codes.tolist()):
-                own[code] = gram_hash(w[k : k + K])
-                self.rows.append((own[code], t, k))
-        self.known = np.array(sorted(own), np.int64)
-        self.hashes = np.array([own[c] for c in sorted(own)], np.int64)
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """A number for the words of each k-gram; negative if one of them is in no template."""
-        n = len(ids) - K + 1
-        code, bad = np.zeros(max(n, 0), np.int64), np.zeros(max(n, 0), bool)
-        for k in range(K if n > 0 else 0):
-            code = code * len(self.number) + ids[k : k + n]
-            bad |= ids[k : k + n] < 0
-        return np.where(bad, -1, code)
+            own = gram_hashes(np.array([word_hash(x) for x in w], np.uint64))
+            self.rows += [(h, t, k) for k, h in enumerate(own.tolist())]
+        self.filter = np.zeros(1 << self.BITS, bool)
+        self.filter[self._slot(np.array([r[0] for r in self.rows], np.int64))] = True
+        self.decisive = [decisive(w, [o for u, o in zip(templates, texts) if u.label != t.label and not u.phrase], similarity) if not t.phrase else set() for t, w in zip(templates, texts)]
+        self._words: dict[bytes, int] = {}
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes.view(np.uint64) >> np.uint64(64 - self.BITS)
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the k-grams that templates have too."""
-        get = self.number.get
-        code = self.codes(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
-        pos = np.flatnonzero(code >= 0)
-        at = np.searchsorted(self.known, code[pos])
-        hit = self.known[np.minimum(at, len(self.known) - 1)] == code[pos]
-        return pos[hit], self.hashes[at[hit]]
+        """Positions and hashes of the k-grams that the filter lets through."""
+        known = self._words
+        if len(known) > 500_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = word_hash(w)
+        hashes = gram_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        pos = np.flatnonzero(self.filter[self._slot(hashes)])
+        return pos, hashes[pos]
+
+
+def decisive(words: list[bytes], others: list[list[bytes]], similarity: float) -> set[int]:
+    """Positions of the words that are missing in another text of which so much of these words is a subsequence."""
+    out: set[int] = set()
+    for other in others:
+        if sum((Counter(words) & Counter(other)).values()) >= similarity * len(words):
+            common = {m.a + k for m in SequenceMatcher(None, words, other, autojunk=False).get_matching_blocks() for k in range(m.size)}
+            if len(common) >= similarity * len(words):
+                out |= set(range(len(words))) - common
+    return out
 
 
 def scanned(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
@@ -189,8 +215,8 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     return stored(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def aligned(pos: np.ndarray, diagonal: np.ndarray, n_words: int) -> tuple[int, int, float]:
-    """(first word, end, share) of the longest alignment in order of voted words; the share is of the longer of template and span."""
+def aligned(pos: np.ndarray, diagonal: np.ndarray, n_words: int) -> tuple[int, int, float, set[int]]:
+    """(first word, end, share, template words) of the longest alignment in order of voted words; the share is of the longer of template and span."""
     steps = np.arange(K)
     at = (pos[:, None] + steps).ravel()
     of = (pos[:, None] - diagonal[:, None] + steps).ravel()
@@ -207,11 +233,12 @@ def aligned(pos: np.ndarray, diagonal: np.ndarray, n_words: int) -> tuple[int, i
         else:
             ends[j], last[j] = t, k
     k = last[-1]
-    end = int(pairs[k, 0]) + 1
+    end, of = int(pairs[k, 0]) + 1, {-int(pairs[k, 1])}
     while before[k] >= 0:
         k = before[k]
+        of.add(-int(pairs[k, 1]))
     first = int(pairs[k, 0])
-    return first, end, len(ends) / max(n_words, end - first)
+    return first, end, len(ends) / max(n_words, end - first), of
 
 
 def drift(n_words: int, similarity: float) -> int:
@@ -219,24 +246,39 @@ def drift(n_words: int, similarity: float) -> int:
     return max(GAP, int(n_words * (1 / similarity - 1)))
 
 
-def verified(diagonal: np.ndarray, votes: list[np.ndarray], n_words: int, similarity: float):
+def verified(diagonal: np.ndarray, votes: list[np.ndarray], n_words: int, similarity: float, needed: set[int] = frozenset()):
     """(first, end, share) of the places on merged diagonals, which come in order with the positions that voted."""
     spread, k = drift(n_words, similarity), 0
     while k < len(diagonal):
         to = int(np.searchsorted(diagonal, diagonal[k] + spread, "right"))
         if K * sum(map(len, votes[k:to])) >= similarity * n_words:
-            first, end, share = aligned(np.concatenate(votes[k:to]), np.repeat(diagonal[k:to], [len(v) for v in votes[k:to]]), n_words)
-            if share >= similarity:
+            first, end, share, of = aligned(np.concatenate(votes[k:to]), np.repeat(diagonal[k:to], [len(v) for v in votes[k:to]]), n_words)
+            if share >= similarity and needed <= of:
                 yield first, end, share
                 k = to
                 continue
         k += 1
 
 
+def best(spans: list[tuple], templates: tuple[Template, ...]) -> list[tuple]:
+    """Of spans (first, end, tpl, share) in order: the phrases, and those that no overlapping one of another label beats."""
+    rank = lambda s: (round(s[3], 9), s[1] - s[0])
+    beaten, open_ = set(), []
+    for i, s in enumerate(spans):
+        if templates[s[2]].phrase:
+            continue
+        open_ = [j for j in open_ if spans[j][1] > s[0]]
+        for j in open_:
+            if templates[spans[j][2]].label != templates[s[2]].label and rank(spans[j]) != rank(s):
+                beaten.add(j if rank(spans[j]) < rank(s) else i)
+        open_.append(i)
+    return [s for i, s in enumerate(spans) if i not in beaten]
+
+
 def find_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, n_words, spans) of every row; spans hold tpl, first word, end and the aligned share."""
     spark = docs.sparkSession
-    grams = Grams(templates)
+    grams = Grams(templates, similarity)
     seen = scanned(docs, templates)
     rows = spark.createDataFrame(
         [(*r, n - K + 1, drift(n, similarity), templates[r[1]].phrase) for r in grams.rows for n in [grams.sizes[r[1]]]], "hash long, tpl int, tpl_pos long, full int, gap int, phrase boolean")
@@ -262,7 +304,7 @@ def find_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, sim
             diagonal, tpl = part.column("diagonal").to_numpy(), part.column("tpl").to_numpy()
             votes = [np.sort(v.values.to_numpy()) for v in part.column("votes")]
             edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
-            out = [(a, *x) for a, b in zip(edges, edges[1:]) for x in verified(diagonal[a:b], votes[a:b], grams.sizes[tpl[a]], similarity)]
+            out = [(a, *x) for a, b in zip(edges, edges[1:]) for x in verified(diagonal[a:b], votes[a:b], grams.sizes[tpl[a]], similarity, grams.decisive[tpl[a]])]
             if out:
                 at, first, end, share = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -271,6 +313,14 @@ def find_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, sim
 
     spans = places.union(runs.mapInArrow(verify, "row long, tpl int, first long, end long, share double"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "end", "tpl", "share"))).alias("spans"))
+
+    def resolve(batches):
+        for batch in batches:
+            kept = [best([tuple(s.values()) for s in own], templates) for own in batch.column("spans").to_pylist()]
+            names = ("first", "end", "tpl", "share")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([[dict(zip(names, s)) for s in own] for own in kept], batch.schema.field("spans").type)], names=["row", "spans"])
+
+    spans = spans.mapInArrow(resolve, spans.schema)
     none = F.expr("cast(array() as array<struct<first:bigint,end:bigint,tpl:int,share:double>>)")
     return seen.select("row", "doc_id", "n_words").join(spans, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
 

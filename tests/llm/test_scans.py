@@ -191,6 +191,37 @@ def test_licenses(spark):
     assert {r.doc_id: r.labels for r in got}[len(docs) - 2] == "mit"
 
 
+def test_each_template_has_its_own_label_only(spark):
+    texts = [t.text for t in licenses.TEMPLATES]
+    edited = [" ".join(w for k, w in enumerate(t.text.split()) if k != 3) for t in licenses.WHOLE]
+    df = spark.createDataFrame(list(enumerate(f"see here {t} and so on" for t in texts + edited)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.digests(df).collect()}
+    labels = [t.label for t in licenses.TEMPLATES + licenses.WHOLE]
+    assert [set(got[i].split(",")) for i in range(len(labels))] == [{x} for x in labels]
+
+
+def test_sibling_licenses(spark):
+    cases = {
+        "licensed under a creative commons attribution 4.0 international license": "cc-by",
+        "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "licensed under a creative commons attribution noncommercial 4.0 international public license": "cc-by-nc",
+        "Licensed under the GNU Lesser General Public License": "lgpl",
+        "licensed under the gnu general public license": "gpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+        "you may share it under the terms of the gnu general public license": "",
+    }
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.digests(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_overlapping_places():
+    t = (licenses.Template("a", "x y z"), licenses.Template("b", "x y w"), licenses.Template("p", "x y z", True), licenses.Template("a", "x y z w"))
+    spans = [(0, 9, 0, 0.9), (0, 9, 2, 1.0), (3, 8, 1, 1.0), (5, 10, 3, 0.8), (10, 20, 0, 0.8), (30, 40, 0, 1.0), (30, 40, 1, 1.0)]
+    assert licenses.best(spans, t) == [spans[k] for k in (1, 2, 4, 5, 6)]
+
+
 def test_license_spans_are_verified(spark):
     """Scattered or shuffled k-grams are no place; edited whole licenses, and places one after the other, are."""
     mit = next(t.text for t in licenses.WHOLE if t.label == "mit")
