@@ -2,14 +2,15 @@
 
 Two zstandard dictionaries are trained, each by zstandard's trainer. The ordinary one comes from ordinary
 documents. The toxic one comes from what stands out in toxic documents: the stretches of their text whose
-byte n-grams far more toxic than ordinary documents hold (of whole toxic documents the trainer takes what is common,
-which is ordinary). Toxic text is mostly ordinary, so a window is compressed under the ordinary dictionary,
+byte n-grams far more toxic than ordinary documents hold, in enough different contexts (copies of a document repeat
+theirs; of whole toxic documents the trainer takes what is common, which is ordinary). Toxic text is mostly ordinary, so a window is compressed under the ordinary dictionary,
 and under the ordinary one followed by the toxic one; what it gains is its distance. A document's score is a calibrated
 (logistic) function of its best windows' differences and of how many exceed thresholds.
 
 Everything is fitted on a bounded sample of labelled documents. Its counts are Spark
-aggregations; the driver gets the standing-out n-grams (up to a fixed number), fixed numbers of ordinary texts
-and of toxic stretches of bounded size for the trainers, and a row of numbers for each sampled document.
+aggregations; the driver gets the n-grams that toxic documents share (up to a fixed number), fixed numbers of ordinary texts
+of bounded size and of toxic documents' different stretches for the trainers, and a row of numbers for each sampled document.
+Lengths, ratio and dictionary sizes were chosen by cross-validation inside the rows that are not held out.
 Scoring is one pass without a shuffle.
 
 Defined results: a null text counts as empty: it has one empty window and a low score;
@@ -20,10 +21,13 @@ empty table. A null id is not held out. Only doc_id and text are read for a scor
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +40,13 @@ from chatpack.llm.labelled import is_held_out, sample
 MAX_ROWS = 30_000
 HELD_OUT = (4, 2)
 CUT = 0.3
-#: Bytes of a window and between windows, of the n-grams, and of the two dictionaries.
-WINDOW, STEP, GRAM, DICTIONARY, TOXIC_DICTIONARY = 64, 32, 5, 24_000, 1_000
-#: N-grams that the driver takes, ordinary texts and toxic documents for the trainers, and bytes of a toxic document's stretches.
-MAX_GRAMS, TRAINER_TEXTS, TRAINER_TOXIC, STRETCH_BYTES = 20_000, 400, 4_000, 2_048
-#: Log ratio of document shares from which an n-gram stands out, and the least share of toxic documents.
+#: Bytes of a window and between windows, of the shortest matches, and of the two dictionaries.
+WINDOW, STEP, MATCH, DICTIONARY, TOXIC_DICTIONARY = 64, 32, 6, 24_000, 1_000
+#: Bytes of the n-grams, and of the contexts before and after them that are told apart.
+GRAMS, BEFORE, AFTER = (6, 7, 8), 4, 6
+#: N-grams that the driver takes, ordinary texts and toxic documents of the trainers' sample, and characters of the sample's longest ordinary text.
+MAX_GRAMS, TRAINER_TEXTS, TRAINER_TOXIC, TRAINER_LONGEST = 200_000, 400, 4_000, 50_000
+#: Log ratio of shares from which an n-gram stands out, and the least share of toxic documents and least number of contexts for each of them.
 LOG_RATIO, LEAST_SHARE = 4.0, 1 / 50
 #: Byte differences whose windows are counted; the last counts windows nearer to ordinary text.
 THRESHOLDS = (3, 4, 5, 6, 8)
@@ -54,27 +60,28 @@ def normal(text: bytes) -> bytes:
     return b" " + b" ".join(text.lower().split()) + b" "
 
 
-def word_grams(text: bytes) -> set[bytes]:
-    """Byte n-grams that lie in one word, or start with the space before it."""
+def word_grams(text: bytes, known: set[bytes] | None = None) -> Iterator[tuple[bytes, int, bytes]]:
+    """(n-gram, place, text) of the byte n-grams that lie in one word, or start with the space before it."""
     t = normal(text)
-    return {g for k in range(len(t) - GRAM + 1) if b" " not in (g := t[k : k + GRAM])[1:]}
-
-
-def stretches(text: bytes, grams: set[bytes], most: int = STRETCH_BYTES) -> bytes:
-    """The stretches of a text that the given n-grams cover, up to about ``most`` bytes of them."""
-    t, out, size, start, end = normal(text), [], 0, -1, -1
-    for k in range(len(t) - GRAM + 1):
-        if t[k : k + GRAM] in grams:
-            if k > end:
-                if start >= 0:
-                    out.append(t[start:end])
-                    size += end - start
-                    if size >= most:
-                        break
-                start = k
-            end = k + GRAM
-    if start >= 0 and size < most:
-        out.append(t[start:end])
+    for n in GRAMS:
+        for k in range(len(t) - n + 1):
+            g = t[k : k + n]
+            if (known is None or g in known) and b" " not in g[1:]:
+                yield g, k, t
+
+
+def stretches(text: bytes, grams: set[bytes]) -> bytes:
+    """The different stretches of a text that the given n-grams cover, each after a space."""
+    marks = sorted((k, k + len(g)) for g, k, _ in word_grams(text, grams))
+    t, out, end = normal(text), {}, -1
+    for a, b in marks:
+        if a > end:
+            if end >= 0:
+                out[t[start:end]] = None
+            start = a
+        end = max(end, b)
+    if marks:
+        out[t[start:end]] = None
     return b"".join(x if x[:1] == b" " else b" " + x for x in out)
 
 
@@ -86,9 +93,9 @@ class Model:
 
 
 def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
-    """Matches of five bytes or more only, so that chance matches of short syllables cost nothing."""
+    """Longer matches only, so that chance matches of short syllables cost nothing."""
     params = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=16, chain_log=16, search_log=6, min_match=5, target_length=16,
+        window_log=16, hash_log=16, chain_log=16, search_log=6, min_match=MATCH, target_length=16,
         strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
@@ -110,29 +117,43 @@ class Windows:
         return np.array([self.row(t) for t in texts], np.float64).reshape(-1, NUMBERS)
 
 
-def _tallied(rows: DataFrame, make) -> DataFrame:
-    """(item, toxic, ordinary): documents of each label that hold an item; summed by task first."""
+def _shared_grams(toxic_rows: DataFrame, least: float) -> DataFrame:
+    """(item, toxic): n-grams and the documents that hold them, of at least ``least``; summed by task first."""
 
     def run(batches):
-        find, n = make(), {}
+        n: Counter = Counter()
 
         def out():
-            items = list(n)
-            both = np.array([n[k] for k in items], np.int64).reshape(-1, 2)
-            for at in range(0, len(items), 20_000):
-                s = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(items[s], pa.binary()), pa.array(both[s, 0]), pa.array(both[s, 1])], names=["item", "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["item", "toxic"])
 
         for batch in batches:
-            for text, label in zip(raw_texts(batch, "text"), batch.column("label").to_pylist()):
-                for item in find(text):
-                    n.setdefault(item, [0, 0])[0 if label else 1] += 1
+            for text in raw_texts(batch, "text"):
+                n.update({g for g, _, _ in word_grams(text)})
                 if len(n) > 500_000:
                     yield from out()
                     n.clear()
         yield from out()
 
-    return rows.mapInArrow(run, "item binary, toxic long, ordinary long").groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return toxic_rows.select("text").mapInArrow(run, "item binary, toxic long").groupBy("item").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+
+
+def _contexts(rows: DataFrame, grams) -> DataFrame:
+    """(item, contexts, ordinary): in how many contexts toxic documents have an n-gram, and how many ordinary documents have it."""
+
+    def run(batches):
+        known, ordinary, contexts = grams.value, Counter(), set()
+        for batch in batches:
+            for text, label in zip(raw_texts(batch, "text"), batch.column("label").to_pylist()):
+                if label:
+                    contexts.update((g, xxhash.xxh64_intdigest(t[max(0, k - BEFORE) : k] + b"\0" + t[k + len(g) : k + len(g) + AFTER]) >> 1) for g, k, t in word_grams(text, known))
+                else:
+                    ordinary.update({g for g, _, _ in word_grams(text, known)})
+        items = [*ordinary, *(g for g, _ in contexts)]
+        n = pa.array([*ordinary.values(), *[0] * len(contexts)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.binary()), n, pa.array([*[None] * len(ordinary), *(c for _, c in contexts)], pa.int64())], names=["item", "ordinary", "context"])
+
+    found = rows.mapInArrow(run, "item binary, ordinary long, context long")
+    return found.groupBy("item").agg(F.count_distinct("context").alias("contexts"), F.sum("ordinary").alias("ordinary"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
@@ -143,11 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     if not toxic or not plain:
         flat[-1] = 30.0 if toxic else -30.0
         return Model(b"ordinary", b"toxic", flat)
-    ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("ordinary") + 0.5) / (plain + 1))
-    chosen = (
-        _tallied(rows, lambda: word_grams).where((F.col("toxic") >= max(3, toxic * LEAST_SHARE)) & (ratio >= LOG_RATIO))
-        .orderBy(F.desc("toxic"), "item").limit(MAX_GRAMS).collect()
-    )
+    context = docs.sparkSession.sparkContext
+    least = max(3, toxic * LEAST_SHARE)
+    common = _shared_grams(rows.where("label = 1"), least).orderBy(F.desc("toxic"), "item").limit(MAX_GRAMS).collect()
+    known = context.broadcast({bytes(r["item"]) for r in common})
+    ratio = F.log((F.col("contexts") + 0.5) / (toxic + 1)) - F.log((F.col("ordinary") + 0.5) / (plain + 1))
+    chosen = _contexts(rows, known).where((F.col("contexts") >= least) & (ratio >= LOG_RATIO)).collect()
     shared = docs.sparkSession.sparkContext.broadcast({bytes(r["item"]) for r in chosen})
 
     def cut_out():
@@ -155,8 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
         return lambda b: [pa.array([stretches(t, grams) for t in raw_texts(b, "text")], pa.binary())]
 
     marked = map_rows(rows.where("label = 1"), cut_out, "part binary", ["part"]).where("length(part) > 0")
-    parts = [bytes(r["part"]) for r in marked.orderBy(F.xxhash64("part"), "part").limit(TRAINER_TOXIC).collect()]
-    texts = [normal(r["text"].encode()) for r in rows.where("label = 0 and length(text) > 0").orderBy(F.xxhash64("text")).select("text").limit(TRAINER_TEXTS).collect()]
+    parts = [bytes(r["part"]) for r in marked.distinct().orderBy(F.xxhash64("part"), "part").limit(TRAINER_TOXIC).collect()]
+    texts = [normal(r["text"].encode()) for r in rows.where(f"label = 0 and length(text) between 1 and {TRAINER_LONGEST}").orderBy(F.xxhash64("text")).select("text").limit(TRAINER_TEXTS).collect()]
     ordinary = _trained(texts, DICTIONARY)
     model = Model(ordinary, ordinary + _trained(parts, TOXIC_DICTIONARY), flat)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)

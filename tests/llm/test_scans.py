@@ -317,7 +317,7 @@ def test_classifiers_on_held_out_rows(spark):
     got = toxicity.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
     found = [r.toxic for r in got if r.predicted]
     # 40 % of these few toxic documents hold words that no other toxic one has; README has the recall on larger tables.
-    assert sum(found) > 0.45 * sum(r.toxic for r in got) > 40 and np.mean(found) > 0.8
+    assert sum(found) > 0.6 * sum(r.toxic for r in got) > 40 and np.mean(found) > 0.8
 
 
 def test_classifiers_do_not_depend_on_other_columns_or_copies(spark):
@@ -331,11 +331,22 @@ def test_classifiers_do_not_depend_on_other_columns_or_copies(spark):
 
 
 def test_stretches_are_covered_text():
-    grams = {b" scum", b"stupi", b"tupid"}
-    assert toxicity.stretches(b"A stupid  SCUM, or scu", grams) == b" stupid scum"
+    grams = {b" stupi", b"stupid", b" scummy", b"ut sup"}
+    assert toxicity.stretches(b"A stupid  SCUMMY, or scum. Stupid but super. A stupid", grams) == b" stupid scummy stupid"
     assert toxicity.stretches(b"", grams) == b""
 
 
+def test_contexts_tell_copies_from_words(spark):
+    """A word in many surroundings has a context for each; copies of a text have one together."""
+    rows = [(f"{'pq'[k % 2]}{k} wicked {k}", 1) for k in range(6)] + [("once copied text", 1)] * 6 + [("some wicked thing", 0), (None, 1)]
+    df = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    shared = spark.sparkContext.broadcast({b" wicke", b" copie", b"nothin"})
+    got = {bytes(r["item"]): (r.contexts, r.ordinary) for r in toxicity._contexts(df, shared).collect()}
+    assert got == {b" wicke": (6, 1), b" copie": (1, 0)}
+    found = {bytes(r["item"]): r.toxic for r in toxicity._shared_grams(df.where("label = 1"), 6).collect()}
+    assert found[b" wicke"] == found[b" copied"] == 6 and b"some w" not in found
+
+
 def test_classifiers_without_labels_or_texts(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (None, "some words here", "s")], "doc_id long, text string, score string")
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
