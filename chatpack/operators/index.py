@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatpack.functions import chatml
-from chatpack.operators import iterate, packing, stats
+from chatpack.operators import iterate, packing, permute, stats
 from chatpack.sources import dataset
 
 #: A measure takes a message (role, content as variant) and gives its length, or a struct with length and
@@ -78,7 +78,8 @@ def training_stream(spark: SparkSession, path: str, batch_size: int, shuffle: bo
     about = dataset.metadata(spark, path)
     index = dataset.read(spark, path, dataset.INDEX)
     n, own = about["num_records"], about["num_records"] // max(1, dp_size)
-    placed = iterate.batches(iterate.epochs(index, n, num_epochs, seed, shuffle, dp_size), own * num_epochs, batch_size, start_batch)
+    stream = permute.epochs(index, n, num_epochs, seed, dp_size) if shuffle else iterate.epochs(index, n, num_epochs, seed, False, dp_size)
+    placed = iterate.batches(stream, own * num_epochs, batch_size, start_batch)
     resolved = examples(spark, path, index).select("session_id", "chunk_id", "session_meta", "messages")
     return placed.join(resolved, ["session_id", "chunk_id"])
 

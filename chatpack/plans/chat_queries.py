@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatpack.functions import chatml, segments
-from chatpack.operators import encode, index, iterate, packing, stats
+from chatpack.operators import encode, index, iterate, packing, permute, stats
 from chatpack.operators.scans import scan
 from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, shared_folder, token_ids, tokens
 from chatpack.sources import dataset
@@ -227,6 +227,41 @@ def resume_after(spark, sf_dir):
     return _batches(spark, sf_dir, 5)
 
 
+def _mixed_sql(x: str, key: str) -> str:
+    """The mixing function of the epoch permutation."""
+    p = permute.PRIME
+    a, b, c = permute.FACTORS
+    t = f"(({x})::BIGINT % {p} * {a} + ({x})::BIGINT // {p} * {permute.STEPS[0]} + {key}) % {p}"
+    t = f"list_transform([{t}], lambda t: (xor(t, t >> {permute.STEPS[1]}) * {b} + {permute.STEPS[0]}) % {p})"
+    return f"list_transform({t}, lambda t: (xor(t, t >> {permute.STEPS[2]}) * {c} + {key}) % {p})[1]"
+
+
+def _permuted_sql(dp: int, epochs: int = 2, seed: int = 7) -> str:
+    own = f"({_N} // {dp})"
+    return f"""WITH RECURSIVE own AS (SELECT CAST({own} AS BIGINT) AS n), every AS (SELECT e, s, {_mixed_sql(_mixed_sql(_mixed_sql(str(seed), "1") + " + e", "2") + " + s", "3")} AS base FROM range({epochs}) a(e), range({dp}) b(s)),
+rounds AS (SELECT e, s, r, {_mixed_sql("base + r", "4")} AS a, {_mixed_sql("base + r", "5")} AS b FROM every, own, range(200) c(r) WHERE r < 3 * length(ltrim(bin(n), '0'))),
+walk AS (SELECT doc_id, e, doc_id // n AS s, CAST(0 AS BIGINT) AS r, doc_id % n AS x FROM documents, own, range({epochs}) a(e) WHERE doc_id < n * {dp}
+UNION ALL SELECT doc_id, e, s, r + 1, CASE WHEN ({_mixed_sql("greatest(x, p)", "a")} >> {permute.STEPS[3]}) & 1 = 1 THEN p ELSE x END
+FROM (SELECT walk.*, a, ((a * {permute.PRIME} + b) % n - x + n) % n AS p FROM walk JOIN rounds USING (e, s, r), own)),
+done AS (SELECT doc_id AS record_idx, e AS epoch, s AS dp_index, e * n + x AS position FROM walk, own WHERE r = 3 * length(ltrim(bin(n), '0')))
+"""
+
+
+@query(_permuted_sql(1) + "SELECT * FROM done")
+def permuted_epochs(spark, sf_dir):
+    """Two epochs in the order of a keyed permutation, without an exchange."""
+    docs, n = _records(spark, sf_dir)
+    return permute.epochs(docs, n, num_epochs=2, seed=7).select("record_idx", "epoch", "dp_index", "position")
+
+
+@query(_permuted_sql(4) + "SELECT *, position // 16 AS batch_id, position % 16 AS slot FROM done, own WHERE position >= 80 AND position < 2 * n // 16 * 16".replace("SELECT *", "SELECT record_idx, epoch, dp_index, position"))
+def permuted_batches(spark, sf_dir):
+    """All whole batches after the fifth of four shards, found by their places."""
+    docs, n = _records(spark, sf_dir)
+    found = permute.batches(docs, n, 16, 5, max(0, 2 * (n // 4) // 16 - 5), seed=7, dp_size=4)
+    return found.select("record_idx", "epoch", "dp_index", "position", "batch_id", "slot")
+
+
 @query(f"SELECT b AS num_batches, CASE WHEN b <= 0 THEN 1 ELSE greatest(1, (16 * b + {_N} // 4 - 1) // ({_N} // 4)) END AS epochs FROM range(0, 200, 20) r(b)")
 def required_epochs(spark, sf_dir):
     _, n = _records(spark, sf_dir)
