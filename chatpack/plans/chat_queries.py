@@ -9,6 +9,7 @@ from chatpack.operators import encode, index, iterate, packing, permute, stats
 from chatpack.operators.scans import scan
 from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, shared_folder, token_ids, tokens
 from chatpack.sources import dataset
+from chatpack.sources.batches import batch_stream
 from chatpack.streaming.packing import pack_stream
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -262,6 +263,17 @@ def permuted_batches(spark, sf_dir):
     return found.select("record_idx", "epoch", "dp_index", "position", "batch_id", "slot")
 
 
+@query(_permuted_sql(4) + "SELECT record_idx, epoch, dp_index, position, position // 16 AS batch_id, position % 16 AS slot FROM done, own WHERE position < 2 * n // 16 * 16")
+def resumed_batch_stream(spark, sf_dir):
+    """All batches by a stream that is stopped after the third and started again: what both runs have written."""
+    _, n = _records(spark, sf_dir)
+    out = shared_folder(spark, "streams")
+    for until in (3, 1 << 40):
+        stream = batch_stream(spark, records=n, batch_size=16, num_epochs=2, seed=7, dp_size=4, until=until)
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 @query(f"SELECT b AS num_batches, CASE WHEN b <= 0 THEN 1 ELSE greatest(1, (16 * b + {_N} // 4 - 1) // ({_N} // 4)) END AS epochs FROM range(0, 200, 20) r(b)")
 def required_epochs(spark, sf_dir):
     _, n = _records(spark, sf_dir)
