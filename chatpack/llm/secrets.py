@@ -6,7 +6,8 @@ before them) that are not explained by what is known: a compressor primed with a
 dictionary of identifiers measures how many bytes the candidate adds to its
 surrounding text. A string that adds nearly a byte for each character is no word, no
 identifier and no copy of its surroundings, and is reported as ``novel``. Long strings are measured in pieces,
-each after the ones before it; they, and hex digits, which hold fewer bits, need to add fewer bytes. Further
+each after the ones before it; they, and hex digits (with or without dashes, as in a UUID), which hold fewer bits, need to add fewer
+bytes. A password in the user part of a URL counts as in a sensitive context. Further
 occurrences of a string that was reported are reported too, though they add nothing to what stands before them.
 
 The dictionary holds common words of code and the names that are assigned to most
@@ -46,15 +47,26 @@ HEX = re.compile("[0-9a-f]{16,}")
 #: Sensitive words, as parts of a name, and what may stand between them and a candidate. Only the word
 #: is consumed, so that a candidate may itself hold the word before the next one.
 CONTEXT = re.compile(
-    r"(?:[kK][eE][yY]|SECRET|[sS]ecret|TOKEN|[tT]oken|PASS|[pP]ass(?:word|wd|phrase)|[pP]wd|PWD|[aA]uth(?:orization)?\b|AUTH|[cC]redential|[bB]earer|[sS]ignature|PRIVATE|[pP]rivate)"
+    r"(?:[kK][eE][yY]|SECRET|[sS]ecret|TOKEN|[tT]oken|PASS|[pP]ass(?:word|wd|phrase)|[pP]wd|PWD|[aA]uth(?:orization)?\b|AUTH|[cC]redential|[bB]earer|[sS]ignature|PRIVATE|[pP]rivate|[wW]ebhook|WEBHOOK|[jJ]wt|JWT|[hH]mac|HMAC|[dD]sn\b|DSN\b)"
     r"(?=[A-Za-z0-9_.-]{0,24}[\"']?\s{0,4}(?:[:=]{1,2}|=>|\bis\b|\bwith\b|\s)\s{0,4}[\"'<(]?([A-Za-z0-9+/_.=~$-]{12,}))"
 )
+#: The password in a URL, up to the sign before its host.
+URL_PASSWORD = re.compile(r"://[^\s:/@'\"<>]{1,64}:([A-Za-z0-9+_.=~$!%^&*-]{8,})(?=@)")
 #: Characters around a candidate that the compressor knows, and of the pieces of long candidates.
 BEFORE, AFTER, PIECE = 256, 64, 64
 #: Bytes that a candidate must add for each of its characters. Hex digits hold four bits of the six of others; and
 #: among long candidates' own characters the compressor needs no more than these bits.
-NOVELTY, HEX_SHARE, LONG_SHARE = 0.9, 4 / 6, 6 / 8
+NOVELTY, HEX_SHARE, LONG_SHARE = 0.8, 4 / 6, 6 / 8
+#: Of more characters the share varies less by chance, so that less will do.
+MIDDLE, MIDDLE_SHARE = 20, 0.9
+#: Dates, versions, and names or paths of several words are no secrets, whatever they add.
+PLAIN = re.compile(
+    r"\d{4}-\d\d-\d\d(?:[T_ ].*)?|(?:[A-Za-z]++[-_])*+v?\d+(?:\.\d++)++(?:[-_.][A-Za-z]++\d*+)*+"
+    r"|[A-Za-z][a-z]++(?:[-_./]+[a-z]{2,}+|[-_./]*+[A-Z][a-z]++)++(?:[-_./]?\d{1,3})?(?:\.[a-z]{2,5})?"
+)
 HEX_DIGITS = re.compile("[0-9a-f]+|[0-9A-F]+")
+#: Signs that divide a string and hold nothing.
+DIVIDING = str.maketrans("", "", "-_.")
 DICTIONARY_BYTES = 32_768
 NAME = r"([A-Za-z_][A-Za-z0-9_.-]{2,40})[\"']? *[:=]"
 # Fixed value: words of code that any text may hold.
@@ -105,6 +117,15 @@ class Novelty:
         return added / len(text[start:end].encode())
 
 
+def needed(word: str, least: float) -> float:
+    """Bytes that a candidate must add for each of its characters."""
+    if len(word) >= MIDDLE:
+        least *= MIDDLE_SHARE
+    digits = word.translate(DIVIDING)
+    share = HEX_SHARE * len(digits) / len(word) if HEX_DIGITS.fullmatch(digits) else 1
+    return least * share * (LONG_SHARE / MIDDLE_SHARE if pieces_of(len(word)) > 1 else 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns; each kind leftmost and without overlaps."""
     out = []
@@ -122,13 +143,15 @@ def all_spans(text: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple
     edges = _merged(taken)
     found: list[tuple[int, int]] = []
     tried = set()
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
+    candidates = [m.span(1) for m in CONTEXT.finditer(text)] + ([m.span(1) for m in URL_PASSWORD.finditer(text)] if "://" in text else [])
+    for a, b in sorted(candidates):
         word = text[a:b]
         if (a, b) in tried or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) and len(set(word)) < 12:
             continue
+        if PLAIN.fullmatch(word):
+            continue
         tried.add((a, b))
-        if not _overlaps(edges, a, b) and novelty.ratio(text, a, b) >= least * (HEX_SHARE if HEX_DIGITS.fullmatch(word) else 1) * (LONG_SHARE if pieces_of(b - a) > 1 else 1):
+        if not _overlaps(edges, a, b) and novelty.ratio(text, a, b) >= needed(word, least):
             found.append((a, b))
             insort(edges, (a, b))
     for word in sorted({text[a:b] for a, b in found}):
