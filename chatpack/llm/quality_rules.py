@@ -20,7 +20,8 @@ Defined results: a null or empty text has no words, all its counts are 0 and it
 rejected by the plain rules; texts are read whole; repeated rows count as often as
 they occur; without a trusted document every
 score is 0 and the plain rules decide; an empty table
-gives an empty table. Documents without a label, or with a null id, are raw only.
+gives an empty table. Documents without a label, or with a null id, are raw only;
+ids may be of any type, and are compared as text unless all are integers; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatpack.llm.arrow import pieces, raw_texts
 from chatpack.llm.components import stored
@@ -127,35 +129,50 @@ def buckets_for(docs: DataFrame) -> int:
     return 1 << max(LEAST_BUCKETS, int(BUCKETS_PER_ROOT * size**0.5)).bit_length()
 
 
+def _free(name: str, *tables: DataFrame) -> str:
+    """``name``, with signs after it until no table has such a column."""
+    while any(name in t.columns for t in tables):
+        name += "_"
+    return name
+
+
+def _ids(docs: DataFrame, trusted: DataFrame, name: str) -> tuple[Column, DataFrame]:
+    """The documents' ids, and the distinct trusted ones in a column ``name``, of a type that both have."""
+    whole = all(isinstance(t.schema["doc_id"].dataType, T.IntegralType) for t in (docs, trusted))
+    own = F.col("doc_id").cast("long" if whole else "string")
+    return own, trusted.select(own.alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
 def marked(docs: DataFrame, trusted: DataFrame, most: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame | None]:
     """(text, target) of documents, whether each is one of ``trusted`` by its doc_id; and (text) of more trusted ones, beyond a broadcast."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("__doc"))
+    own, ids = _ids(docs, trusted, "__id")
+    rows = docs.select("text", own.alias("__doc"))
     if ids.count() <= most:
         marks = F.broadcast(ids.withColumn("target", F.lit(True)))
         return rows.join(marks, F.col("__doc") == F.col("__id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), None
-    return rows.select("text", F.lit(False).alias("target")), targets(docs, trusted, most).select("text")
+    return rows.select("text", F.lit(False).alias("target")), targets(docs.select("doc_id", "text"), trusted, most).select("text")
 
 
 def targets(docs: DataFrame, trusted: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs`` whose doc_id is one of ``trusted``."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
-    same = F.col("doc_id").cast("long") == F.col("__id")
+    key, mark = _free("__id", docs), _free("__bit", docs)
+    own, ids = _ids(docs, trusted, key)
+    same = own == F.col(key)
     if ids.count() <= most:
         return docs.join(F.broadcast(ids), same, "left_semi")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    words = ids.select(bit("__id").alias("k")).groupBy(F.floor(F.col("k") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(k % 32 as int)))").alias("bits")).toArrow()
+    words = ids.select(bit(key).alias("k")).groupBy(F.floor(F.col("k") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(k % 32 as int)))").alias("bits")).toArrow()
     found = np.zeros(BITS // 32, np.uint32)
     found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def some(batches):
         for batch in batches:
-            k = batch.column("__bit").to_numpy()
+            k = batch.column(mark).to_numpy()
             hit = shared.value[k // 32] >> (k % 32).astype(np.uint32) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).drop_columns(["__bit"])
+            yield batch.filter(pa.array(hit.astype(bool))).drop_columns([mark])
 
-    thinned = docs.where("doc_id is not null").withColumn("__bit", bit(F.col("doc_id").cast("long"))).mapInArrow(some, docs.schema)
+    thinned = docs.where("doc_id is not null").withColumn(mark, bit(own)).mapInArrow(some, docs.schema)
     return thinned.join(ids, same, "left_semi")
 
 
@@ -274,7 +291,8 @@ def scored(docs: DataFrame, counts: DataFrame, buckets: int, make, schema: str,
 
     totals = counts.agg(F.sum("target_n"), F.sum("raw_n")).first()
     share = (totals[0] or 0) / max(totals[1] or 0, 1)
-    numbered = stored(docs.withColumn("__block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long")))
+    block_of = _free("__block", docs)
+    numbered = stored(docs.withColumn(block_of, F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long")))
 
     def needed(batches):
         known = _Hashes()
@@ -285,14 +303,14 @@ def scored(docs: DataFrame, counts: DataFrame, buckets: int, make, schema: str,
                 k = np.unique(np.concatenate([np.zeros(0, np.int64), *(grams(t.split(), known, buckets) for t in raw_texts(own, "text"))]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], names=["__block", "bucket"])
 
-    parts = numbered.select("__block", "text").mapInArrow(needed, "__block long, bucket long").distinct().join(counts, "bucket")
+    parts = numbered.select(F.col(block_of).alias("__block"), "text").mapInArrow(needed, "__block long, bucket long").distinct().join(counts, "bucket")
 
     def together(rows: pa.Table, part: pa.Table) -> pa.Table:
         part, known = part.sort_by("bucket"), _Hashes()
         m = Model(part.column("target_n").to_numpy(), part.column("raw_n").to_numpy() * share, share, buckets, part.column("bucket").to_numpy())
-        return pa.Table.from_batches([make(p, m, known) for b in rows.drop_columns(["__block"]).combine_chunks().to_batches() for p in pieces(b)])
+        return pa.Table.from_batches([make(p, m, known) for b in rows.drop_columns([block_of]).combine_chunks().to_batches() for p in pieces(b)])
 
-    return numbered.groupBy("__block").cogroup(parts.groupBy("__block")).applyInArrow(together, schema)
+    return numbered.groupBy(block_of).cogroup(parts.groupBy("__block")).applyInArrow(together, schema)
 
 
 def threshold_of(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int, most: int = MAX_BROADCAST, dense: int = DENSE) -> float:

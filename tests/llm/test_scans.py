@@ -246,6 +246,71 @@ def test_license_spans_are_verified(spark):
     assert licenses.digests(df.limit(0)).count() == 0
 
 
+def _random(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_novel_secrets_and_names(spark):
+    """Of a table of strings in code: random ones after sensitive words are found, names, paths, dates and versions are not."""
+    import base64
+    import string
+    import uuid
+
+    rng = random.Random(77)
+    alnum, words = string.ascii_letters + string.digits, "user account session manager handler default factory config value index table".split()
+    code = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(6)) for _ in range(3))
+    camel = lambda n: rng.choice(words) + "".join(rng.choice(words).capitalize() for _ in range(n))
+    b64 = lambda n: base64.b64encode(rng.randbytes(n)).decode().rstrip("=")
+    secret = {
+        "uuid": lambda: f'client_key = "{uuid.UUID(bytes=rng.randbytes(16))}"',
+        "jwt": lambda: f"Authorization: Bearer {b64(27)}.{b64(60)}.{b64(32)}",
+        "base64": lambda: f'signature = "{b64(32)}"',
+        "alnum": lambda: f'private_key = "{_random(rng, alnum, 24)}"',
+        "url": lambda: f'db = "postgres://bob:{_random(rng, alnum, 14)}@db.internal:5432/app"',
+    }
+    plain = [lambda: f"key = {camel(3)}", lambda: f"keys: {'_'.join(rng.choice(words) for _ in range(4))}", lambda: f"bearer {camel(3)}2", lambda: f"auth = {rng.choice(words)}/{camel(1)}/7.json",
+             lambda: f"key: version-1.{rng.randint(0, 9)}.{rng.randint(0, 99)}-{rng.choice(words)}", lambda: f'key="2024-0{rng.randint(1, 9)}-11T10:00"', lambda: f'url = "http://localhost:8080/{camel(2)}@home"']
+    rows = [(kind, make()) for kind, make in secret.items() for _ in range(60)] + [("plain", rng.choice(plain)()) for _ in range(300)]
+    docs = [(i, f"{code()}\n{line}\n{code()}", kind, line) for i, (kind, line) in enumerate(rows)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, kind string, line string")
+    found = {r.doc_id for r in secrets.scan(df.select("doc_id", "text")).collect() if any(s.kind == "novel" for s in r.spans)}
+    share = {k: np.mean([i in found for i, _, kind, _ in docs if kind == k]) for k in [*secret, "plain"]}
+    assert share["plain"] == 0 and min(share[k] for k in secret) > 0.8 and share["uuid"] >= 0.9, share
+    assert np.mean([share[k] for k in secret]) > 0.93
+
+
+def test_marginal_bytes_are_those_of_whole_compressions():
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(b"known_words and_names", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
+    novelty, rng = secrets.Novelty(b"known_words and_names"), random.Random(3)
+    for _ in range(50):
+        word, before, after = (_random(rng, "abcXYZ0189", n) for n in (rng.randint(12, 90), rng.randint(0, 300), rng.randint(0, 90)))
+        text, a, b = before + word + after, len(before), len(before) + len(word)
+        cuts = [a + len(word) * k // max(1, round(len(word) / 64)) for k in range(max(1, round(len(word) / 64)) + 1)]
+        size = lambda x: len(packer.compress(x.encode()))
+        added = sum(size(text[max(0, x - 256) : x] + text[x:y] + after[:64]) - size(text[max(0, x - 256) : x] + after[:64]) for x, y in zip(cuts, cuts[1:]))
+        assert novelty.ratio(text, a, b) == added / len(word)
+
+
+def test_quality_rules_with_any_columns_and_ids(spark):
+    """Columns named like the rules' own, and ids that are text, give the same rows."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(30)) for _ in range(40)]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    for most, dense in ((10, 1 << 22), (0, 1 << 22), (0, 16)):
+        expected = {r.doc_id: (r.score, r.kept) for r in quality_rules.score_documents(plain, trusted, 1 << 20, most, dense).collect()}
+        kept = sorted(r.doc_id for r in quality_rules.filter_documents(plain, trusted, 1 << 20, most, dense).collect())
+        more = plain.selectExpr("concat('d', doc_id) as doc_id", "text", "doc_id as __id", "1 as __bit", "2 as __block", "3 as target", "4 as bucket", "'x' as score")
+        named = trusted.selectExpr("concat('d', doc_id) as doc_id", "doc_id as __id")
+        got = {int(r.doc_id[1:]): (r.score, r.kept) for r in quality_rules.score_documents(more, named, 1 << 20, most, dense).collect()}
+        assert got == expected
+        rest = quality_rules.filter_documents(more, named, 1 << 20, most, dense)
+        assert rest.columns == more.columns and sorted(r["__id"] for r in rest.collect()) == kept
+
+
 def test_quality_rules(spark):
     good = [f"the cat number {i} sat near door {i} and said hello to friend {i} of mine." for i in range(60)]
     junk = [f"BUY*** NOW$$$ CLICK### {i}%%% FREE&&& CASH*** WIN$$$ BIG### DEAL%%% {i}$$$ HOT***" for i in range(30)]
