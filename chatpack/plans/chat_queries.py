@@ -157,6 +157,21 @@ def compiled_records(spark, sf_dir):
     return records.select("record_idx", F.col("session_id").alias("conv_id"), "block_idx", "message_start", "message_end", F.size("messages").cast("long").alias("num_messages"))
 
 
+@query(f"SELECT conv_id, turn // 3 AS block_idx, min(turn) AS message_start, max(turn) + 1 AS message_end, count(*) AS num_messages, md5(string_agg({_RENDER}, '' ORDER BY turn)) AS text FROM conversations GROUP BY 1, 2")
+def jsonl_records(spark, sf_dir):
+    """Records compiled from JSON Lines files that hold the conversations, blank lines between them."""
+    path = shared_folder(spark, "datasets")
+    c = read(spark, sf_dir, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))))
+    own = F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    lines = c.groupBy("conv_id").agg(own.alias("messages")).select(F.concat(F.to_json(F.struct("conv_id", "messages")), F.lit("\n")).alias("value"))
+    lines.write.text(f"{path}/lines")
+    dataset.compile_jsonl(spark, f"{path}/lines", f"{path}/payload", messages_per_record=3, records_per_shard=500)
+    records = dataset.read(spark, f"{path}/payload", dataset.PAYLOAD)
+    text = F.array_join(F.transform("messages", lambda m: chatml.render(m["role"], index.content_text(m))), "")
+    return records.select(F.col("session_meta")["conv_id"].cast("long").alias("conv_id"), "block_idx", "message_start", "message_end", F.size("messages").cast("long").alias("num_messages"), F.md5(text).alias("text"))
+
+
 def indexed(spark, sf_dir):
     """The chunk index of the compiled dataset: its path and its sidecar with the statistics."""
     path = compiled(spark, sf_dir)

@@ -8,13 +8,17 @@ and a line's number is its place in its split plus the lines of the splits befor
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatpack.operators.storage import stored
+
 MESSAGE = "struct<role:string,content:variant>"
 SIDECAR = "metadata"
+RECORDS = "records"
 PAYLOAD, INDEX = "payload", "index"
 
 
@@ -24,14 +28,24 @@ def positive(**values: int) -> None:
             raise ValueError(f"{name} must be positive, not {v}")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, stem, source_line, value) of every physical line."""
-    raw = spark.read.text(path).select(
+def line_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, first, earlier, filled): each split's first row id, the lines of its file before it, and its lines that are not blank."""
+    counts = _raw_lines(spark, path).groupBy("file", "split").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.count_if(F.col("value").rlike(r"\S")).alias("filled"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), "filled")
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value"), F.monotonically_increasing_id().alias("at")
     )
-    counts = raw.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+
+
+def read_lines(spark: SparkSession, path: str, offsets: DataFrame | None = None) -> DataFrame:
+    """(file, stem, source_line, value) of every physical line; ``offsets`` are those of ``line_offsets``, if they are there already."""
+    raw = _raw_lines(spark, path)
+    offsets = (line_offsets(spark, path) if offsets is None else offsets).drop("filled")
     # Rows of a split are consecutive, so their ids are; the offsets have a row for each split only.
     numbered = raw.join(F.broadcast(offsets), ["file", "split"]) if offsets.count() <= 100_000 else raw.join(offsets, ["file", "split"])
     stem = F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1)
@@ -42,12 +56,12 @@ def session_id(stem: Column, line: Column) -> Column:
     return F.format_string("%s-%09d", stem, line)
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, offsets: DataFrame | None = None) -> DataFrame:
     """(session_id, source_line, session_meta, messages) of every line that is not blank.
 
     A line without a list of messages is an error. Its own session_id is ignored.
     """
-    lines = read_lines(spark, path).where(F.col("value").rlike(r"\S"))
+    lines = read_lines(spark, path, offsets).where(F.col("value").rlike(r"\S"))
     doc = F.parse_json("value")
     kind = F.schema_of_variant(F.variant_get("doc", "$.messages", "variant"))
     ok = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
@@ -102,22 +116,48 @@ def with_record_idx(df: DataFrame, *order: str) -> DataFrame:
 def write(df: DataFrame, path: str, kind: str, metadata: dict[str, Any], records_per_shard: int, overwrite: bool = False) -> dict[str, Any]:
     """Records (with record_idx) as Parquet shards and a sidecar; no records is an error.
 
-    A non-empty folder is refused unless ``overwrite``.
+    A non-empty folder is refused unless ``overwrite``. The shards of each write go to a folder of their own, and the
+    sidecar that names it is written last, as one file under a new version: readers see the dataset of before or the
+    new one, whatever fails in between. The version before stays readable until the next write. Records and
+    shards are counted by the write itself.
     """
     positive(records_per_shard=records_per_shard)
     spark = df.sparkSession
-    if exists(spark, path) and not overwrite:
+    taken = exists(spark, path)
+    if taken and not overwrite:
         raise FileExistsError(path)
-    shard = F.floor(F.col("record_idx") / records_per_shard).cast("int")
-    df.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "record_idx").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/records")
-    n, shards = spark.read.parquet(f"{path}/records").agg(F.count("*"), F.count_distinct("shard")).first()
+    versions = _versions(spark, path)
+    version = max(versions, default=0) + 1
+    folder = f"records-{uuid.uuid4().hex}" if taken else RECORDS
+    shard, seen = F.floor(F.col("record_idx") / records_per_shard).cast("int"), Observation()
+    ordered = df.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "record_idx")
+    counted = ordered.observe(seen, F.count(F.lit(1)).alias("n"), F.max("shard").alias("last"))
+    counted.write.partitionBy("shard").parquet(f"{path}/{folder}")
+    n = seen.get["n"]
     if not n:
+        _delete(spark, f"{path}/{folder}")
         raise ValueError("a dataset needs at least one record")
-    doc = {"version": 1, "kind": kind, "num_records": n, "num_shards": shards, "records_per_shard": records_per_shard} | metadata
-    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{SIDECAR}")
+    doc = {"version": 1, "kind": kind, "num_records": n, "num_shards": seen.get["last"] + 1, "records_per_shard": records_per_shard, "records": folder} | metadata
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/{SIDECAR}/v={version}")
+    for old in sorted(versions)[:-1]:
+        _delete(spark, f"{path}/{versions[old].get('records', RECORDS)}")
+        _delete(spark, f"{path}/{SIDECAR}/v={old}")
     return doc
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, dict[str, Any]]:
+    """The sidecars of all versions that were committed."""
+    if not exists(spark, f"{path}/{SIDECAR}"):
+        return {}
+    found = spark.read.schema("value string, v int").text(f"{path}/{SIDECAR}").collect()
+    return {r["v"]: json.loads(r["value"]) for r in found}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder of any file system that Spark reads holds something."""
     jvm = spark.sparkContext._jvm
@@ -127,9 +167,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def metadata(spark: SparkSession, path: str) -> dict[str, Any]:
-    if path.endswith((".jsonl", ".json")) or not exists(spark, f"{path}/{SIDECAR}"):
+    """The sidecar of the last version."""
+    versions = {} if path.endswith((".jsonl", ".json")) else _versions(spark, path)
+    if not versions:
         raise ValueError(f"{path} is no compiled dataset: it has no sidecar")
-    return json.loads(spark.read.text(f"{path}/{SIDECAR}").first()[0])
+    return versions[max(versions)]
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -137,16 +179,16 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     doc = metadata(spark, path)
     if kind and doc["kind"] != kind:
         raise ValueError(f"{path} is a {doc['kind']} dataset; a {kind} dataset is needed")
-    found = shards(spark, path)
+    found = shards(spark, path, doc["records"])
     if found != doc["num_shards"]:
         raise FileNotFoundError(f"{path} has {found} of {doc['num_shards']} shards")
-    return spark.read.parquet(f"{path}/records").drop("shard")
+    return spark.read.parquet(f"{path}/{doc['records']}").drop("shard")
 
 
-def shards(spark: SparkSession, path: str) -> int:
-    """Shard folders of a dataset that hold a file."""
+def shards(spark: SparkSession, path: str, folder: str = RECORDS) -> int:
+    """Shard folders of a dataset's records that hold a file."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/records/shard=*/*.parquet")
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}/shard=*/*.parquet")
     files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
     return len({f.getPath().getParent().getName() for f in files or []})
 
@@ -154,7 +196,7 @@ def shards(spark: SparkSession, path: str) -> int:
 def compile_jsonl(spark: SparkSession, source: str, path: str, messages_per_record: int = 128, records_per_shard: int = 10_000, overwrite: bool = False) -> dict[str, Any]:
     """A JSON Lines file as a payload dataset; num_sessions counts all lines that are not blank."""
     positive(messages_per_record=messages_per_record, records_per_shard=records_per_shard)
-    sessions = read_sessions(spark, source)
-    records = with_record_idx(blocks(sessions, messages_per_record), "session_id", "block_idx")
-    n = read_lines(spark, source).where(F.col("value").rlike(r"\S")).count()
+    offsets = stored(line_offsets(spark, source))
+    records = with_record_idx(blocks(read_sessions(spark, source, offsets), messages_per_record), "session_id", "block_idx")
+    n = offsets.agg(F.sum("filled")).first()[0] or 0
     return write(records, path, PAYLOAD, {"source_path": source, "messages_per_record": messages_per_record, "num_sessions": n}, records_per_shard, overwrite)

@@ -57,3 +57,22 @@ def test_errors(spark, tmp_path):
         dataset.compile_jsonl(spark, source, str(tmp_path / "ok"))
     with pytest.raises(ValueError, match="index dataset is needed"):
         dataset.read(spark, str(tmp_path / "ok"), dataset.INDEX)
+
+
+def test_a_failed_write_leaves_the_dataset_of_before(spark, tmp_path):
+    path = str(tmp_path / "d")
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "record_idx").withColumn("x", F.lit(n))
+    assert dataset.write(rows(5), path, dataset.PAYLOAD, {}, 2)["num_shards"] == 3
+    broken = rows(9).withColumn("x", F.when(F.col("record_idx") == 8, F.raise_error("lost").cast("int")).otherwise(1))
+    with pytest.raises(Exception, match="lost"):
+        dataset.write(broken, path, dataset.PAYLOAD, {}, 2, overwrite=True)
+    with pytest.raises(ValueError, match="at least one"):
+        dataset.write(rows(0), path, dataset.PAYLOAD, {}, 2, overwrite=True)
+    before = dataset.read(spark, path)
+    assert dataset.metadata(spark, path)["num_records"] == before.count() == 5
+    for n in (7, 8):
+        dataset.write(rows(n), path, dataset.PAYLOAD, {}, 2, overwrite=True)
+        assert dataset.metadata(spark, path)["num_records"] == dataset.read(spark, path).count() == n
+        if n == 7:
+            assert before.count() == 5  # a reader of the version before goes on
+    assert len(list((tmp_path / "d/metadata").glob("v=*"))) == 2
