@@ -13,10 +13,13 @@ from chatpack.functions import chatml
 from chatpack.operators import iterate, packing, permute, stats
 from chatpack.sources import dataset
 
-#: A measure takes a message (role, content as variant) and gives its length, or a struct with length and
-#: any of vision_tokens, vision_patches and num_images.
+#: A measure takes a message (role, content as variant) and gives its length, or a struct with length and any of
+#: vision_tokens, vision_patches, num_images and image_sizes (an array of height and width).
 Measure = Callable[[Column], Column]
 MEASURES = ("vision_tokens", "vision_patches", "num_images")
+SIZES = "array<struct<height:long,width:long>>"
+#: Fields of an example that no meta field of the same name replaces.
+RESERVED = ("session_id", "chunk_id", "messages")
 
 
 def content_text(message: Column) -> Column:
@@ -51,7 +54,9 @@ def build_chunk_index(spark: SparkSession, payload_path: str, path: str, max_len
     fields = rows.schema["m"].dataType.fieldNames() if rows.schema["m"].dataType.typeName() == "struct" else []
     of = lambda name: F.coalesce(F.col(f"m.{name}").cast("long"), F.lit(0)) if name in fields else F.lit(0).cast("long")
     length = F.col("m.length") if fields else F.col("m")
-    measured = rows.select("session_id", "message_idx", "block_idx", "record_idx", length.cast("long").alias("length"), *[of(k).alias(k) for k in MEASURES])
+    sized = "image_sizes" in fields
+    own = [of(k).alias(k) for k in MEASURES] + ([F.col("m.image_sizes").cast(SIZES).alias("image_sizes")] if sized else [])
+    measured = rows.select("session_id", "message_idx", "block_idx", "record_idx", length.cast("long").alias("length"), *own)
     messages = packing.assign_chunks(measured, max_length).withColumn("text_tokens", F.col("length") - F.col("vision_tokens")).persist()
     n = about["messages_per_record"]
     chunks = packing.describe_chunks(messages, extra=MEASURES).withColumn("text_tokens", F.col("measured_length") - F.col("vision_tokens"))
@@ -59,7 +64,9 @@ def build_chunk_index(spark: SparkSession, payload_path: str, path: str, max_len
     dataset.write(
         dataset.with_record_idx(pointers, "session_id", "chunk_id"), path, dataset.INDEX,
         {"payload_path": payload_path, "payload_num_records": about["num_records"], "max_length": max_length, "profile_metadata": profile or {}}, records_per_shard, overwrite)
-    doc = stats.summary(messages, dataset.read(spark, path))
+    place = F.struct("record_idx", "message_idx", "k").alias("ordinal")
+    images = messages.select("record_idx", "message_idx", F.posexplode("image_sizes").alias("k", "size")).select("size.height", "size.width", place) if sized else None
+    doc = stats.summary(messages, dataset.read(spark, path), images)
     spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/token_stats")
     messages.unpersist()
     return dataset.metadata(spark, path) | {"token_stats": doc}
@@ -72,6 +79,21 @@ def examples(spark: SparkSession, path: str, chunks: DataFrame | None = None) ->
     return packing.resolve(own, dataset.read(spark, about["payload_path"], dataset.PAYLOAD))
 
 
+def rendered(message: Column) -> Column:
+    """The message in ChatML."""
+    return chatml.render(message["role"], content_text(message))
+
+
+def example_fields(found: DataFrame) -> DataFrame:
+    """``found`` (session_id, chunk_id, session_meta, messages) with example: its meta fields and its own, by name, as variants.
+
+    Meta fields named like its own give way to them.
+    """
+    meta = F.map_filter(F.coalesce("session_meta", F.create_map().cast("map<string,variant>")), lambda k, v: ~k.isin(*RESERVED))
+    own = F.create_map(*[c for k in RESERVED for c in (F.lit(k), F.to_variant_object(F.col(k)) if k == "messages" else F.col(k).cast("variant"))])
+    return found.withColumn("example", F.map_concat(meta, own))
+
+
 def training_stream(spark: SparkSession, path: str, batch_size: int, shuffle: bool = True, seed: int = 0, num_epochs: int = 1, dp_size: int = 1, start_batch: int = 0) -> DataFrame:
     """Examples with dp_index, batch_id and slot: shuffled, sharded, batched and cut at the resume point."""
     dataset.positive(batch_size=batch_size)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatpack.functions import mapping, perf, vecmath, vision
-from chatpack.plans.tables import read
+from chatpack.plans.tables import read, shared_folder
+from chatpack.streaming.metrics import metrics_sink, read_metrics
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -206,6 +207,17 @@ def micro_batch_metrics(spark, sf_dir):
     return m.select("step", near(F.col("loss")).alias("loss"), near(F.col("grad_norm")).alias("grad_norm"), "supervised_tokens", perf.due(F.col("step"), 10).alias("due"))
 
 
+@query(f"SELECT user_id AS step, count(*) AS rows, {_near('avg(value)')} AS loss FROM events WHERE user_id % 5 = 0 GROUP BY 1")
+def metrics_stream(spark, sf_dir):
+    """Metrics of the events as a stream that is given twice, logged every fifth step."""
+    out, events = shared_folder(spark, "streams"), read(spark, sf_dir, "events")
+    for attempt in range(2):
+        stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+        metrics_sink(stream, f"{out}/metrics", f"{out}/state{attempt}", "user_id", ("value",)).awaitTermination()
+    found = read_metrics(spark, f"{out}/metrics", ("value",), every=5)
+    return found.select("step", "rows", near(F.col("value")).alias("loss"))
+
+
 @query("SELECT user_id AS step FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 2")
 def retained_checkpoints(spark, sf_dir):
     return perf.retained(read(spark, sf_dir, "events").select(F.col("user_id").alias("step")).distinct(), "step")

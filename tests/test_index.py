@@ -116,3 +116,40 @@ def test_reshape_of_other_size(spark):
     bad = spark.range(1).select(mapping.reshaped(F.array(F.lit(2), F.lit(3)), F.array(F.lit(4), F.lit(-1))))
     with pytest.raises(Exception, match="reshape"):
         bad.collect()
+
+
+def test_image_shapes_come_from_the_measure(spark, tmp_path):
+    dataset.compile_jsonl(spark, write(tmp_path / "a.jsonl", [["xx", "y"], ["zzz", "x", "y"]]), str(tmp_path / "p"), messages_per_record=2)
+    size = lambda n: F.struct((n * 2).cast("int").alias("height"), F.lit(8).alias("width"))
+
+    def measure(m):
+        n = F.length(index.content_text(m))
+        return F.struct(F.lit(3).alias("length"), n.alias("num_images"), F.array_repeat(size(n), n).alias("image_sizes"))
+
+    doc = index.build_chunk_index(spark, str(tmp_path / "p"), str(tmp_path / "i"), 6, measure)["token_stats"]
+    assert list(doc["image_shapes"].items()) == [("2x8", 3), ("6x8", 3), ("4x8", 2)] or list(doc["image_shapes"].items()) == [("6x8", 3), ("2x8", 3), ("4x8", 2)]
+    assert doc["per_message"]["num_images"]["sum"] == 8
+
+
+def test_own_fields_come_before_meta(spark, built):
+    path, _ = built([["a", "b"]], chunk_id=77, messages_seen=5, label={"x": 1})
+    row = index.example_fields(index.examples(spark, path)).select(F.expr("example['chunk_id']::long").alias("c"), F.expr("variant_get(example['label'], '$.x', 'int')").alias("x"), F.expr("variant_get(example['messages'], '$[1].role', 'string')").alias("r"), F.map_keys("example").alias("k")).first()
+    assert (row.c, row.x, row.r) == (0, 1, "assistant") and sorted(row.k) == ["chunk_id", "label", "messages", "messages_seen", "session_id"]
+
+
+def test_index_of_tokens_by_the_command_line(spark, tmp_path, capsys):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"hello": 0, "<unk>": 1}, unk_token="<unk>"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    from chatpack import cli
+
+    cli.main(["compile", write(tmp_path / "a.jsonl", [["hello hello", "x"]]), str(tmp_path / "p")])
+    capsys.readouterr()
+    cli.main(["index", str(tmp_path / "p"), str(tmp_path / "i"), "--max-length", "50", "--tokenizer", str(tmp_path / "t.json"), "--profile", "model=small"])
+    doc = json.loads(capsys.readouterr().out.splitlines()[-1])
+    text = "<|im_start|>user\nhello hello<|im_end|>\n"
+    assert doc["token_stats"]["per_message"]["length"]["max"] == len(own.encode(text).ids) and doc["profile_metadata"] == {"model": "small", "tokenizer": str(tmp_path / "t.json")}
+    with pytest.raises(SystemExit):
+        cli.main(["index", str(tmp_path / "p"), str(tmp_path / "j"), "--max-length", "50", "--profile", "none"])

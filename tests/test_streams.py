@@ -2,6 +2,7 @@ import pytest
 
 from chatpack.operators import permute
 from chatpack.sources.batches import BatchReader, batch_stream
+from chatpack.streaming.metrics import metrics_sink, read_metrics
 
 
 def run(stream, folder, name="rows", sink="parquet"):
@@ -30,3 +31,17 @@ def test_batch_offsets():
     assert got == list(range(6, 18))
     with pytest.raises(ValueError):
         BatchReader({"records": "3", "batch_size": "1", "dp_size": "4"})
+
+
+def test_metrics_of_a_replayed_stream_are_written_once(spark, tmp_path):
+    rows = [(k % 4, float(k) if k % 5 else None, 1) for k in range(40)]
+    schema = "step long, loss double, tokens long"
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for attempt in range(2):  # the second one starts without a checkpoint, so that all batches come again
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        metrics_sink(stream, f"{tmp_path}/out", f"{tmp_path}/state{attempt}", "step", ("loss",), ("tokens",)).awaitTermination()
+        got = {r.step: (r.rows, r.loss, r.tokens) for r in read_metrics(spark, f"{tmp_path}/out", ("loss",), ("tokens",)).collect()}
+        mean = lambda s: [x for k, x, _ in rows if k == s and x is not None]
+        assert got == {s: (10, sum(mean(s)) / len(mean(s)), 10) for s in range(4)}
+    assert {r.step for r in read_metrics(spark, f"{tmp_path}/out", ("loss",), every=2).collect()} == {0, 2}
