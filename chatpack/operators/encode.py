@@ -1,10 +1,13 @@
-"""Supervision masks and padded examples as array columns."""
+"""Supervision masks and padded examples, as array columns and as token rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatpack.operators.scans import scan
+from chatpack.operators.storage import stored
+
 
 def positions_of(ids: Column, token: int) -> Column:
     """0-based positions of a token."""
@@ -16,7 +19,7 @@ def with_loss_mask(df: DataFrame, ids: str, start: int, end: int, assistant: int
 
     The k-th start belongs to the k-th end, as far as both exist. A span adds 1 where it opens and
     takes 1 after its end, so crossing spans of malformed input may give other values. The
-    spans are columns of their own, so that they are found once for a row.
+    spans are columns of their own, so that they are found once for a row. For rows of many turns see ``loss_mask_rows``.
     """
     token = F.col(ids)
     spans = F.transform(
@@ -31,6 +34,24 @@ def with_loss_mask(df: DataFrame, ids: str, start: int, end: int, assistant: int
     )
 
 
+def loss_mask_rows(tokens: DataFrame, row: str, pos: str, token: str, start: int, end: int, assistant: int, name: str = "loss_mask") -> DataFrame:
+    """``tokens`` (row, pos, token, ...) with the mask of ``with_loss_mask``, for rows of any number of tokens.
+
+    Start and end markers get their numbers by running counts and meet by number; spans become steps up and
+    down, and the mask is their running sum. A token costs the same however many turns there are.
+    """
+    marks = tokens.select(row, pos, token).withColumns({"__s": (F.col(token) == start).cast("int"), "__e": (F.col(token) == end).cast("int")})
+    numbered = scan(marks, [row, pos], [row], {"__starts": ("sum", "__s"), "__ends": ("sum", "__e"), "__next": ("lead", token)})
+    numbered = stored(numbered.where("__s + __e > 0"))
+    starts = numbered.where("__s = 1").select(row, F.col("__starts").alias("__nth"), (F.col(pos) + 3).alias("__open"), (F.col("__next") == assistant).alias("__own"))
+    ends = numbered.where("__e = 1").select(row, F.col("__ends").alias("__nth"), (F.col(pos) + 1).alias("__close"))
+    spans = starts.where("__own").join(ends, [row, "__nth"])
+    steps = spans.select(row, F.inline(F.array(F.struct(F.col("__open").alias(pos), F.lit(1).alias("__step")), F.struct(F.col("__close").alias(pos), F.lit(-1).alias("__step")))))
+    steps = steps.groupBy(row, pos).agg(F.sum("__step").alias("__step"))
+    stepped = tokens.join(steps, [row, pos], "left").select(*tokens.columns, F.coalesce("__step", F.lit(0)).alias("__step"))
+    return scan(stepped, [row, pos], [row], {name: ("sum", "__step")}).drop("__step")
+
+
 def padded(values: Column, length: int, fill: int) -> Column:
     """Right-padded to a length; longer arrays are an error."""
     n = F.size(values)

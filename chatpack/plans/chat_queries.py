@@ -172,6 +172,16 @@ def jsonl_records(spark, sf_dir):
     return records.select(F.col("session_meta")["conv_id"].cast("long").alias("conv_id"), "block_idx", "message_start", "message_end", F.size("messages").cast("long").alias("num_messages"), F.md5(text).alias("text"))
 
 
+@query("WITH r AS (SELECT row_number() OVER (ORDER BY conv_id, turn // 3) - 1 AS record_idx, conv_id, turn // 3 AS block_idx, count(*) AS num_messages FROM conversations GROUP BY conv_id, turn // 3) SELECT i AS place, r.* FROM range(100) w(i) JOIN r ON r.record_idx = (i * 7919) % (SELECT count(*) FROM r)")
+def scattered_records(spark, sf_dir):
+    """A hundred scattered records of the compiled conversations, with their places in the request."""
+    path = f"{compiled(spark, sf_dir)}/payload"
+    n = dataset.metadata(spark, path)["num_records"]
+    wanted = spark.range(100).select(F.col("id").alias("place"), (F.col("id") * 7919 % n).alias("record_idx"))
+    found = dataset.records_at(spark, path, wanted, dataset.PAYLOAD)
+    return found.select("place", "record_idx", F.col("session_id").alias("conv_id"), "block_idx", F.size("messages").cast("long").alias("num_messages"))
+
+
 def indexed(spark, sf_dir):
     """The chunk index of the compiled dataset: its path and its sidecar with the statistics."""
     path = compiled(spark, sf_dir)
@@ -317,6 +327,12 @@ def loss_mask_tokens(spark, sf_dir):
     return _masked(spark, sf_dir).select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("mask", ",")).alias("mask"))
 
 
+@query(_IDS + "SELECT conv_id, pos, token, mask::BIGINT AS mask FROM mask")
+def loss_mask_rows(spark, sf_dir):
+    """The mask of every token as a row, by running sums over ranges."""
+    return encode.loss_mask_rows(tokens(spark, sf_dir), "conv_id", "pos", "token", START, END, ASSISTANT, "mask")
+
+
 @query(_IDS + "SELECT conv_id, CAST(sum(mask) FILTER (WHERE pos > 0) AS BIGINT) AS supervised FROM mask GROUP BY conv_id")
 def supervised_tokens(spark, sf_dir):
     return _masked(spark, sf_dir).select("conv_id", encode.supervised_tokens(F.col("mask")).alias("supervised"))

@@ -19,6 +19,8 @@ from chatpack.operators.storage import stored
 MESSAGE = "struct<role:string,content:variant>"
 SIDECAR = "metadata"
 RECORDS = "records"
+#: Record numbers that are filters of a scan.
+ADDRESSES = 1000
 PAYLOAD, INDEX = "payload", "index"
 
 
@@ -174,7 +176,7 @@ def metadata(spark: SparkSession, path: str) -> dict[str, Any]:
     return versions[max(versions)]
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, kind: str | None = None, keep_shard: bool = False) -> DataFrame:
     """The records of a dataset; another kind than asked for is an error."""
     doc = metadata(spark, path)
     if kind and doc["kind"] != kind:
@@ -182,7 +184,33 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     found = shards(spark, path, doc["records"])
     if found != doc["num_shards"]:
         raise FileNotFoundError(f"{path} has {found} of {doc['num_shards']} shards")
-    return spark.read.parquet(f"{path}/{doc['records']}").drop("shard")
+    rows = spark.read.parquet(f"{path}/{doc['records']}")
+    return rows if keep_shard else rows.drop("shard")
+
+
+def records_at(spark: SparkSession, path: str, wanted: DataFrame, kind: str | None = None) -> DataFrame:
+    """The records with the numbers in ``wanted`` (record_idx, ...), joined with its columns.
+
+    A number is an address: it gives the record's shard, and shards are sorted by it. Only addressed shards are listed, and
+    in them only the row groups and pages whose range of numbers has wanted ones are read, as far as
+    the wanted numbers are few enough (ADDRESSES) to be a filter; then, and for any number of them, a join picks the records.
+    """
+    doc = metadata(spark, path)
+    size = doc["records_per_shard"]
+    rows = read(spark, path, kind, keep_shard=True)
+    some = wanted.select(F.col("record_idx").cast("long").alias("i")).distinct().limit(ADDRESSES + 1).collect()
+    if len(some) <= ADDRESSES:
+        numbers = sorted(r["i"] for r in some if r["i"] is not None)
+        ranges: dict[int, list[int]] = {}
+        for i in numbers:
+            ranges.setdefault(i // size, []).append(i)
+        near = F.lit(False)
+        for own in ranges.values():
+            near = near | F.col("record_idx").between(own[0], own[-1])
+        rows = rows.where(F.col("shard").isin(list(ranges)) & near & F.col("record_idx").isin(numbers))
+        return rows.drop("shard").join(F.broadcast(wanted), "record_idx")
+    own = wanted.withColumn("shard", F.floor(F.col("record_idx") / size).cast("int"))
+    return rows.join(own, ["shard", "record_idx"]).drop("shard")
 
 
 def shards(spark: SparkSession, path: str, folder: str = RECORDS) -> int:

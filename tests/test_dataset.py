@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,15 @@ def test_a_failed_write_leaves_the_dataset_of_before(spark, tmp_path):
         if n == 7:
             assert before.count() == 5  # a reader of the version before goes on
     assert len(list((tmp_path / "d/metadata").glob("v=*"))) == 2
+
+
+def test_records_at_read_their_shards_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "d")
+    dataset.write(spark.range(1000).selectExpr("id as record_idx", "id * 2 as x"), path, dataset.PAYLOAD, {}, 100)
+    wanted = spark.createDataFrame([(i, "w") for i in (5, 7, 410, 410, 999, 5000)], "record_idx long, tag string")
+    got = dataset.records_at(spark, path, wanted)
+    assert sorted((r.record_idx, r.x, r.tag) for r in got.collect()) == [(i, 2 * i, "w") for i in (5, 7, 410, 410, 999)]
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert re.search(r"PartitionFilters: \[.*shard", plan) and "In(record_idx" in plan
+    monkeypatch.setattr(dataset, "ADDRESSES", 2)
+    assert sorted(r.record_idx for r in dataset.records_at(spark, path, wanted).collect()) == [5, 7, 410, 410, 999]

@@ -84,6 +84,8 @@ def test_loss_mask(spark):
     for r in encode.with_loss_mask(df, "ids", 1, 6, 3).collect():
         assert r.loss_mask == mask_of(r.ids, 1, 6, 3), r.ids
     assert mask_of(cases[0], 1, 6, 3) == [0] * 9 + [1, 1, 0]
+    rows = encode.loss_mask_rows(df.select("i", F.posexplode("ids").alias("pos", "token")), "i", "pos", "token", 1, 6, 3).collect()
+    assert {(r.i, r.pos): r.loss_mask for r in rows} == {(i, k): m for i, c in enumerate(cases) for k, m in enumerate(mask_of(c, 1, 6, 3))}
 
 
 def test_padding(spark):
