@@ -144,10 +144,44 @@ select item_id, cast(rank as integer) as rank, doc_id, score
 from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10
 """
 
+#: crc32 goes byte by byte over a table of 256 steps; near words share what is left when a letter is taken out.
+SPELLING = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as steps
+), runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, run, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents)
+  where length(run) >= 7 group by all
+), coded as (
+  select run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(b) // 2), lambda k: cast('0x' || substr(b, 2 * k + 1, 2) as bigint))),
+    lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) as h
+  from (select run, times, hex(encode(id || ':' || run)) as b from runs), crc
+), words as (
+  select word, cast(sum(times) as bigint) as n
+  from (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from coded)
+  where length(word) >= 7 group by word having sum(times) >= 2
+), cut as (
+  select word, n, k, left(word, k) as head, substr(word, k + 2) as tail from (select word, n, unnest(range(length(word))) as k from words)
+), near as (
+  select a.word, b.word as other, b.n as other_n from cut a join cut b on a.head = b.head and a.tail = b.tail and a.k = b.k and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join words b on a.head || a.tail = b.word
+  union select b.word, a.word, a.n from cut a join words b on a.head || a.tail = b.word
+), best as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as form, max(other_n) as form_n from near group by word
+), forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * n then form end as form, case when form_n >= 10 * n then form_n end as form_n from words w left join best using (word)
+), walk as (
+  select word, word as root from forms union all select walk.word, forms.form from walk join forms on forms.word = walk.root where forms.form is not null
+)
+select word, form, last_root as root, n, n_near, form_n
+from forms join (select walk.word, walk.root as last_root from walk join forms on forms.word = walk.root where forms.form is null) using (word)
+"""
+
 ORACLE_SQL = {
     "op2_mixing": MIXING,
     "op11_suffixes": SUFFIXES,
     "op12_ranked": RANKED,
+    "op13_spelling": SPELLING,
     "secret_counts": SECRET_COUNTS,
     "url_rules": URL_RULES,
     "license_places": LICENSE_PLACES,
