@@ -106,15 +106,30 @@ def training_stream(spark: SparkSession, path: str, batch_size: int, shuffle: bo
     return placed.join(resolved, ["session_id", "chunk_id"])
 
 
-def save_state(spark: SparkSession, path: str, next_batch: int, **stream: Any) -> None:
-    """Keeps the place of a training stream beside its arguments, in a folder of its own for each place."""
-    doc = json.dumps({"start_batch": next_batch} | stream, sort_keys=True)
-    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/batch={next_batch}")
+def save_state(spark: SparkSession, path: str, next_batch: int, step: int | None = None, rng: list[int] | None = None, metrics: dict[str, float] | None = None, every: int = 1, keep: int = 2, **stream: Any) -> bool:
+    """One checkpoint of a run: the place of its stream with the stream's arguments, its step, random state and metrics.
+
+    All of it is one file in a folder of its own for each place, so it is there as a whole or not at all. Steps that are no
+    multiple of ``every`` are not saved (False comes back); of the others the last ``keep`` stay.
+    """
+    if step is not None and step % every:
+        return False
+    doc = {"stream": {"start_batch": next_batch} | stream, "step": step, "rng": rng, "metrics": metrics or {}}
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/batch={next_batch}")
+    places = spark.read.schema("value string, batch long").text(path).select("batch").orderBy(F.desc("batch"))
+    for old in [r["batch"] for r in places.collect()][keep:]:
+        dataset.delete(spark, f"{path}/batch={old}")
+    return True
+
+
+def saved_state(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The latest checkpoint: stream, step, rng and metrics."""
+    last = spark.read.schema("value string, batch long").text(path).orderBy(F.desc("batch")).first()
+    if last is None:
+        raise ValueError(f"{path} holds no state")
+    return json.loads(last["value"])
 
 
 def resumed_stream(spark: SparkSession, index_path: str, path: str) -> DataFrame:
     """The rest of the stream whose latest place was saved."""
-    last = spark.read.text(path).orderBy(F.col("batch").cast("long").desc()).first()
-    if last is None:
-        raise ValueError(f"{path} holds no state")
-    return training_stream(spark, index_path, **json.loads(last["value"]))
+    return training_stream(spark, index_path, **saved_state(spark, path)["stream"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatpack.functions import chatml, segments
-from chatpack.operators import encode, index, iterate, packing, permute, stats
+from chatpack.operators import encode, index, iterate, measures, packing, permute, stats
 from chatpack.operators.scans import scan
 from chatpack.plans.tables import ASSISTANT, END, MAX_LENGTH, START, messages, read, shared_folder, token_ids, tokens
 from chatpack.sources import dataset
@@ -182,6 +182,18 @@ def scattered_records(spark, sf_dir):
     return found.select("place", "record_idx", F.col("session_id").alias("conv_id"), "block_idx", F.size("messages").cast("long").alias("num_messages"))
 
 
+@query(f"SELECT conv_id, turn, length({_RENDER}) AS length FROM conversations")
+def stored_measures(spark, sf_dir):
+    """Messages of the compiled records with measures that were stored before, joined bucket by bucket."""
+    records = dataset.read(spark, f"{compiled(spark, sf_dir)}/payload", dataset.PAYLOAD)
+    rows = index.message_rows(records).withColumn("message_offset", F.col("message_idx") - F.col("block_idx") * 3)
+    n = measures.buckets_for(rows.count())
+    own = measures.bucketed(rows.select("record_idx", "message_offset", index.char_measure(F.col("message")).alias("length")), n)
+    messages_ = measures.bucketed(rows.select("record_idx", "message_offset", "session_id", "message_idx"), n)
+    found = measures.with_measures(messages_, own)
+    return found.select(F.col("session_id").alias("conv_id"), F.col("message_idx").alias("turn"), "length")
+
+
 def indexed(spark, sf_dir):
     """The chunk index of the compiled dataset: its path and its sidecar with the statistics."""
     path = compiled(spark, sf_dir)

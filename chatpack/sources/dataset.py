@@ -137,13 +137,13 @@ def write(df: DataFrame, path: str, kind: str, metadata: dict[str, Any], records
     counted.write.partitionBy("shard").parquet(f"{path}/{folder}")
     n = seen.get["n"]
     if not n:
-        _delete(spark, f"{path}/{folder}")
+        delete(spark, f"{path}/{folder}")
         raise ValueError("a dataset needs at least one record")
     doc = {"version": 1, "kind": kind, "num_records": n, "num_shards": seen.get["last"] + 1, "records_per_shard": records_per_shard, "records": folder} | metadata
     spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/{SIDECAR}/v={version}")
     for old in sorted(versions)[:-1]:
-        _delete(spark, f"{path}/{versions[old].get('records', RECORDS)}")
-        _delete(spark, f"{path}/{SIDECAR}/v={old}")
+        delete(spark, f"{path}/{versions[old].get('records', RECORDS)}")
+        delete(spark, f"{path}/{SIDECAR}/v={old}")
     return doc
 
 
@@ -155,7 +155,7 @@ def _versions(spark: SparkSession, path: str) -> dict[int, dict[str, Any]]:
     return {r["v"]: json.loads(r["value"]) for r in found}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

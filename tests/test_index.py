@@ -153,3 +153,16 @@ def test_index_of_tokens_by_the_command_line(spark, tmp_path, capsys):
     assert doc["token_stats"]["per_message"]["length"]["max"] == len(own.encode(text).ids) and doc["profile_metadata"] == {"model": "small", "tokenizer": str(tmp_path / "t.json")}
     with pytest.raises(SystemExit):
         cli.main(["index", str(tmp_path / "p"), str(tmp_path / "j"), "--max-length", "50", "--profile", "none"])
+
+
+def test_checkpoints_hold_all_of_a_run(spark, built, tmp_path):
+    path, _ = built([list("abcdefghijkl")])
+    state = str(tmp_path / "run")
+    for step in range(1, 8):
+        index.save_state(spark, state, step, step, rng=[step, 9], metrics={"loss": 1 / step}, every=2, batch_size=1, seed=4)
+    assert index.saved_state(spark, state) == {"stream": {"start_batch": 6, "batch_size": 1, "seed": 4}, "step": 6, "rng": [6, 9], "metrics": {"loss": 1 / 6}}
+    assert sorted(p.name for p in (tmp_path / "run").glob("batch=*")) == ["batch=4", "batch=6"]
+    whole = firsts(index.training_stream(spark, path, 1, seed=4))
+    assert sorted(whole) == list("acegik") and firsts(index.resumed_stream(spark, path, state)) == whole[6:]
+    shutil.rmtree(tmp_path / "run/batch=6")
+    assert firsts(index.resumed_stream(spark, path, state)) == whole[4:]

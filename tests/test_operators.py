@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatpack.functions import chatml, mapping, perf, plugins, segments, vision
-from chatpack.operators import encode, iterate, packing, stats
+from chatpack.operators import encode, iterate, measures, packing, stats
 
 
 def chunks_of(lengths, most):
@@ -235,3 +235,15 @@ def test_vision_budget(spark):
     assert plan.status == "ok" and [tuple(g) for g in plan.grids] == [(1, 2, 22), (1, 2, 2)]
     assert one.select(vision.pad_plan(F.lit(16), F.lit(1), 20, 1, 2).alias("p")).first().p.status != "ok"
     assert vision.budget_divides(64, 3, 2) and not vision.budget_divides(63, 1, 2)
+
+
+def test_stored_measures_meet_without_an_exchange(spark):
+    rows = spark.range(500).selectExpr("id div 7 as record_idx", "id % 7 as message_offset", "id * 3 as x")
+    own = measures.bucketed(rows.selectExpr("record_idx", "message_offset", "x + 1 as length", "x as more"), 4)
+    found = measures.with_measures(measures.bucketed(rows.where("record_idx > 2"), 4), own)
+    assert "Exchange" not in found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    got = found.collect()
+    assert len(got) == 500 - 21 and all(r.length == r.x + 1 and r.more == r.x for r in got)
+    with pytest.raises(Exception, match="no measure of message 6 of record 3"):
+        measures.with_measures(measures.bucketed(rows, 4), measures.bucketed(own.where("record_idx <> 3 or message_offset <> 6"), 4)).collect()
+    assert [measures.buckets_for(n, 10) for n in (0, 1, 10, 11, 25, 41)] == [1, 1, 1, 2, 4, 8]
