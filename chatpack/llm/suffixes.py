@@ -39,6 +39,8 @@ SEED = 24
 SCAN = 1 << 20
 #: Pieces with one minimizer that are sorted together, and pieces of a block.
 CELL = 8192
+#: Minimizers of several cells that are broadcast.
+BROADCAST_ROWS = 65_536
 #: Pieces with one minimizer in a scanned block from which on they are dealt out by their content.
 CROWD = 64
 
@@ -334,8 +336,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     marks = stored(found.mapInArrow(_settle, _MARKED))
     shared = marks.where("m is not null")
     counts = shared.groupBy("m").count().where(F.col("count") > CELL)
-    parts = counts.select("m", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    shared = shared.join(parts, "m", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = stored(counts.select("m", F.ceil(F.col("count") / CELL).cast("int").alias("parts")))
+    # Few minimizers are so frequent; beyond the bound they are joined by a shuffle.
+    few = parts.count() <= BROADCAST_ROWS
+    shared = shared.join(F.broadcast(parts) if few else parts, "m", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = shared.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("m", "parts", "doc", "at", "run")).alias("pieces"))
     cut = docs.join(own, "__doc").select("text", "pieces").mapInArrow(_cut, "m long, parts int, doc long, at long, text binary")
     part = F.pmod(F.xxhash64("doc", "at"), F.col("parts").cast("long")).alias("part")
